@@ -14,37 +14,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _lookup(dim: DataFrame, key_map: dict[str, str], value: str, alias: str) -> DataFrame:
-    """Rename a lookup's key columns to the transaction columns they match."""
-    return dim.select(*[F.col(d).alias(t) for t, d in key_map.items()], F.col(value).alias(alias))
-
-
 def make_human_readable(tr: DataFrame, participants: DataFrame, routes: DataFrame,
                         locations: DataFrame) -> DataFrame:
     """Five left joins adding operator, transfer-operator, route and location names.
 
     Location codes arrive as text and are cast to int first (``try_cast``:
     a malformed code becomes null instead of failing the job). The destination
-    name is resolved under the *tapping* operator.
+    name is resolved under the *tapping* operator. The two participant joins
+    and the two location joins read the same lookup plan, so a broadcast of
+    each lookup is built once and reused.
     """
-    tr = tr.withColumn("originlocation", F.expr("try_cast(originlocation as int)")).withColumn(
-        "destinationlocation", F.expr("try_cast(destinationlocation as int)")
+    t = tr.withColumns({
+        "originlocation": F.expr("try_cast(originlocation as int)"),
+        "destinationlocation": F.expr("try_cast(destinationlocation as int)"),
+    }).alias("t")
+    p = participants.select("participantid", "participantname")
+    r = routes.select("participantid", "routeid", "routename").alias("r")
+    loc = locations.select("participantid", "locationcode", "locationname")
+    p1, p2, lo, ld = p.alias("p1"), p.alias("p2"), loc.alias("lo"), loc.alias("ld")
+    c = F.col
+    out = (
+        t.join(p1, c("t.operatorid") == c("p1.participantid"), "left")
+        .join(p2, c("t.transferoperator") == c("p2.participantid"), "left")
+        .join(r, (c("t.operatorid") == c("r.participantid")) & (c("t.routeid") == c("r.routeid")), "left")
+        .join(lo, (c("t.originlocation") == c("lo.locationcode")) & (c("t.operatorid") == c("lo.participantid")),
+              "left")
+        .join(ld, (c("t.destinationlocation") == c("ld.locationcode"))
+              & (c("t.operatorid") == c("ld.participantid")), "left")
+    )
+    return out.select(
+        *[c(f"t.{name}").alias(name) for name in tr.columns],
+        c("p1.participantname").alias("participantname"),
+        c("p2.participantname").alias("participantname_transfer"),
+        c("r.routename").alias("routename"),
+        c("lo.locationname").alias("locationname_origin"),
+        c("ld.locationname").alias("locationname_destination"),
     )
-    p_op = _lookup(participants, {"operatorid": "participantid"}, "participantname", "participantname")
-    p_tr = _lookup(participants, {"transferoperator": "participantid"}, "participantname",
-                   "participantname_transfer")
-    r = _lookup(routes, {"operatorid": "participantid", "routeid": "routeid"}, "routename", "routename")
-    lo = _lookup(locations, {"originlocation": "locationcode", "operatorid": "participantid"},
-                 "locationname", "locationname_origin")
-    ld = _lookup(locations, {"destinationlocation": "locationcode", "operatorid": "participantid"},
-                 "locationname", "locationname_destination")
-    out = tr
-    for dim, keys in ((p_op, ["operatorid"]), (p_tr, ["transferoperator"]),
-                      (r, ["operatorid", "routeid"]), (lo, ["originlocation", "operatorid"]),
-                      (ld, ["destinationlocation", "operatorid"])):
-        out = out.join(dim, keys, "left")
-    return out.select(*tr.columns, "participantname", "participantname_transfer", "routename",
-                      "locationname_origin", "locationname_destination")
 
 
 def product_meta(contract_map: DataFrame, products: DataFrame) -> DataFrame:

@@ -94,10 +94,16 @@ def day_of_transactions(raw: DataFrame, start_date: str, participants: DataFrame
 
 
 def sample_day_of_transactions(raw: DataFrame, start_date: str, n_users: int, participants: DataFrame,
-                               routes: DataFrame, locations: DataFrame, seed: int = 0, **kw) -> DataFrame:
-    """Taps of ``n_users`` sampled cards on one service day, made readable."""
+                               routes: DataFrame, locations: DataFrame, seed: int = 0, check: bool = True,
+                               **kw) -> DataFrame:
+    """Taps of ``n_users`` sampled cards on one service day, made readable.
+
+    ``check=False`` skips the population check (an extra job) and returns all
+    cards when fewer than ``n_users`` exist.
+    """
     day = fares_for_day(raw, start_date, **kw)
-    return make_human_readable(sample_user_transactions(day, n_users, seed), participants, routes, locations)
+    return make_human_readable(sample_user_transactions(day, n_users, seed, check), participants, routes,
+                               locations)
 
 
 def write_day_table(day: DataFrame, path: str, service_date: str, mode: str = "overwrite") -> None:

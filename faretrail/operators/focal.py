@@ -87,7 +87,10 @@ def as_focal_journeys(tr: DataFrame, focal: int = FOCAL_OPERATOR, window_min: fl
     # Dependency radius: identify (1) feeding stage 1 (1) feeding stage 2 (1).
     out = order.apply(riders, build, halo=3)
     out = out.where(F.col("is_focal") & F.col("locationname_destination").isNotNull())
-    return out.select(*FOCAL_JOURNEY_COLUMNS) if project else out
+    if not project:
+        return out
+    # Pass-through columns absent from the input (e.g. tripsequencenumber) are skipped.
+    return out.select(*[c for c in FOCAL_JOURNEY_COLUMNS if c in out.columns])
 
 
 def focal_to_focal(tr: DataFrame, focal: int = FOCAL_OPERATOR, window_min: float = ADJACENT_WINDOW_MIN,

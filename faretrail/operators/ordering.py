@@ -133,9 +133,11 @@ class CardOrder:
         # Edges hold at most 2*halo rows per segment: a bounded window per card.
         w_card = Window.partitionBy(*self.keys).orderBy(*self._order_cols())
         seg = F.col(SEGMENT)
-        ahead = [F.lead(SEGMENT, j).over(w_card) for j in range(1, halo + 1)]
-        behind = [F.lag(SEGMENT, j).over(w_card) for j in range(1, halo + 1)]
-        targets = F.array_distinct(F.filter(F.array(*ahead, *behind), lambda s: s.isNotNull() & (s != seg)))
+        near = [F.lead(SEGMENT, j).over(w_card).alias(f"_a{j}") for j in range(1, halo + 1)]
+        near += [F.lag(SEGMENT, j).over(w_card).alias(f"_b{j}") for j in range(1, halo + 1)]
+        names = [f"_a{j}" for j in range(1, halo + 1)] + [f"_b{j}" for j in range(1, halo + 1)]
+        edges = edges.select("*", *near)
+        targets = F.array_distinct(F.filter(F.array(*names), lambda s: s.isNotNull() & (s != seg)))
         return edges.select(
             *[c for c in tagged.columns if c not in (SEGMENT, HALO)],
             F.explode(targets).alias(SEGMENT),

@@ -39,6 +39,10 @@ SEGMENT_ROWS = 2_000_000
 
 KEY = ["cardid_anony", "sequencenumber", "transaction_time"]
 
+# Hot-card detection per (application, dataset, threshold): the input tables
+# are immutable for the life of a session, so one scan serves all queries.
+_ORDER_CACHE: dict[tuple, CardOrder] = {}
+
 
 class Inputs:
     """Base frames of one data directory, built lazily and shared by queries."""
@@ -54,10 +58,17 @@ class Inputs:
     def taps(self) -> DataFrame:
         return src.day_taps(self.raw)
 
+    @cached_property
+    def nation(self) -> DataFrame:
+        return src.read_table(self.spark, self.sf_dir, "nation")
+
+    @cached_property
+    def part(self) -> DataFrame:
+        return src.read_table(self.spark, self.sf_dir, "part")
+
     @cached_property
     def dims(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        return (src.participants(self.spark, self.sf_dir), src.routes(self.spark, self.sf_dir),
-                src.locations(self.spark, self.sf_dir))
+        return (src.participants_from(self.nation), src.routes_from(self.part), src.locations_from(self.part))
 
     @cached_property
     def enriched(self) -> DataFrame:
@@ -72,12 +83,16 @@ class Inputs:
         """
         if self.segment_rows is None:
             return CardOrder.plain()
-        detected = CardOrder.detect(self.taps.select("cardid_anony", "transaction_time"), self.segment_rows)
-        if detected.hot.isEmpty():
-            return CardOrder.plain()
-        # The hot list is small (at most rows / segment_rows); checkpoint it so
-        # every window stage reuses it instead of re-aggregating the taps.
-        return dataclasses.replace(detected, hot=detected.hot.checkpoint(eager=True))
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.segment_rows)
+        if key not in _ORDER_CACHE:
+            detected = CardOrder.detect(self.taps.select("cardid_anony", "transaction_time"), self.segment_rows)
+            if detected.hot.isEmpty():
+                _ORDER_CACHE[key] = CardOrder.plain()
+            else:
+                # The hot list is small (at most rows / segment_rows); checkpoint it
+                # so every window stage reuses it instead of re-aggregating the taps.
+                _ORDER_CACHE[key] = dataclasses.replace(detected, hot=detected.hot.checkpoint(eager=True))
+        return _ORDER_CACHE[key]
 
     @cached_property
     def rides_enriched(self) -> DataFrame:
@@ -89,7 +104,7 @@ class Inputs:
 
     @cached_property
     def rule_classified(self) -> DataFrame:
-        rules = src.transfer_rules(self.spark, self.sf_dir)
+        rules = src.transfer_rules_from(self.nation)
         return classify_rule_transfers(self.enriched, rules, self.order)
 
     @cached_property
@@ -101,7 +116,7 @@ class Inputs:
         return reports.transfer_shares(self.transfer_db)
 
     def products(self) -> tuple[DataFrame, DataFrame]:
-        return (src.contract_product_map(self.spark, self.sf_dir), src.products(self.spark, self.sf_dir))
+        return (src.contract_product_map_from(self.nation), src.products_from(self.nation))
 
 
 # ---------------------------------------------------------------------------
@@ -230,7 +245,8 @@ def q_day_transactions(i: Inputs) -> DataFrame:
 
 
 def q_sample_day(i: Inputs) -> DataFrame:
-    return sample_day_of_transactions(i.raw, SERVICE_DATE, SAMPLE_CARDS, *i.dims, seed=SAMPLE_SEED).select(
+    return sample_day_of_transactions(i.raw, SERVICE_DATE, SAMPLE_CARDS, *i.dims, seed=SAMPLE_SEED,
+                                      check=False).select(
         *ENRICHED_COLS)
 
 

@@ -11,9 +11,13 @@ from faretrail.sources.driver_tables import (
     contract_product_map,
     products,
     transfer_rules,
+    participants_from,
+    routes_from,
+    locations_from,
+    contract_product_map_from,
+    products_from,
+    transfer_rules_from,
 )
+from faretrail.sources.files import read_transfer_rules, read_pair_day, file_manifest
 
-__all__ = [
-    "read_table", "raw_transactions", "day_taps", "taps", "participants", "routes",
-    "locations", "contract_product_map", "products", "transfer_rules",
-]
+__all__ = [name for name in dir() if not name.startswith("_")]

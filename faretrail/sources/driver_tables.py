@@ -101,15 +101,15 @@ def taps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return day_taps(raw_transactions(read_table(spark, sf_dir, "events")))
 
 
-def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "nation").select(
+def participants_from(nation: DataFrame) -> DataFrame:
+    return nation.select(
         F.col("n_nationkey").cast("int").alias("participantid"),
         F.col("n_name").alias("participantname"),
     )
 
 
-def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_table(spark, sf_dir, "part").where(F.col("p_partkey") < 500)
+def routes_from(part: DataFrame) -> DataFrame:
+    p = part.where(F.col("p_partkey") < 500)
     return p.select(
         (F.col("p_partkey") % 20).cast("int").alias("routeid"),
         F.expr("p_partkey div 20").cast("int").alias("participantid"),
@@ -117,8 +117,8 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read_table(spark, sf_dir, "part").where(F.col("p_partkey") < 250)
+def locations_from(part: DataFrame) -> DataFrame:
+    p = part.where(F.col("p_partkey") < 250)
     return p.select(
         (F.col("p_partkey") % 10).cast("int").alias("locationcode"),
         F.expr("p_partkey div 10").cast("int").alias("participantid"),
@@ -126,18 +126,18 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def contract_product_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(issuerid, producttype, contracttype): contract types 0..6 per issuer."""
-    n = read_table(spark, sf_dir, "nation").where(F.col("n_nationkey") != 7)
+def contract_product_map_from(nation: DataFrame) -> DataFrame:
+    """(issuerid, producttype, contracttype): contract types 0..6 per issuer (issuer 7 left out)."""
+    n = nation.where(F.col("n_nationkey") != 7)
     return n.select(
         F.col("n_nationkey").cast("int").alias("issuerid"),
         F.explode(F.sequence(F.lit(0), F.lit(6))).alias("contracttype"),
     ).select("issuerid", (F.col("contracttype") % 3).alias("producttype"), "contracttype")
 
 
-def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+def products_from(nation: DataFrame) -> DataFrame:
     """(issuerid, producttype, description, productcategory)."""
-    n = read_table(spark, sf_dir, "nation").where(F.col("n_nationkey") != 7)
+    n = nation.where(F.col("n_nationkey") != 7)
     return n.select(
         F.col("n_nationkey").cast("int").alias("issuerid"),
         F.col("n_name"),
@@ -150,13 +150,14 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transfer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transfer_rules_from(nation: DataFrame) -> DataFrame:
     """Agency-pair rules (from_AgencyName, to_AgencyName, max_time) over nations.
 
     ``max_time = 10 + ((from*3 + to) % 7) * 10``; a same-agency rule is absent
-    when ``from % 4 = 0``.
+    when ``from % 4 = 0``. Pairs come from exploding each nation's key range
+    and joining the target nation on its key (an equi-join).
     """
-    n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    n = nation.select("n_nationkey", "n_name")
     frm = n.select(
         F.col("n_nationkey").alias("from_key"), F.col("n_name").alias("from_AgencyName"),
         F.explode(F.sequence(F.lit(0), F.lit(24))).alias("to_key"),
@@ -168,3 +169,27 @@ def transfer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "from_AgencyName", "to_AgencyName",
         (10 + ((F.col("from_key") * 3 + F.col("to_key")) % 7) * 10).cast("int").alias("max_time"),
     )
+
+
+def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return participants_from(read_table(spark, sf_dir, "nation"))
+
+
+def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return routes_from(read_table(spark, sf_dir, "part"))
+
+
+def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return locations_from(read_table(spark, sf_dir, "part"))
+
+
+def contract_product_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contract_product_map_from(read_table(spark, sf_dir, "nation"))
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return products_from(read_table(spark, sf_dir, "nation"))
+
+
+def transfer_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transfer_rules_from(read_table(spark, sf_dir, "nation"))
