@@ -9,12 +9,13 @@ model.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, WindowSpec
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from faretrail.functions.scalars import minutes_between, round2
 from faretrail.operators.ordering import CardOrder, resolve
 from faretrail.schema import ADJACENT_WINDOW_MIN, FOCAL_JOURNEY_COLUMNS, FOCAL_OPERATOR, FOCAL_TAG_OFF, TIME
+from faretrail.session import materialize
 
 
 def cards_using_operator(tr: DataFrame, operator: int = FOCAL_OPERATOR, keys=("cardid_anony",)) -> DataFrame:
@@ -77,15 +78,30 @@ def focal_lag_and_lead_metadata(tr: DataFrame, window_min: float = ADJACENT_WIND
 
 def as_focal_journeys(tr: DataFrame, focal: int = FOCAL_OPERATOR, window_min: float = ADJACENT_WINDOW_MIN,
                       order: CardOrder | None = None, project: bool = True) -> DataFrame:
-    """One row per focal trip (its tag-off row) with connections on each side."""
+    """One row per focal trip (its tag-off row) with connections on each side.
+
+    Only cards with at least one focal tap take part. Keeping or dropping
+    whole cards does not change any window value of a kept card, so in the
+    plain plan the card test is one more (full-frame) window over the same
+    exchange and sort, and the input is scanned once. With split hot cards a
+    card spans several window partitions, so the card test is a semi-join.
+    """
     order = resolve(order)
-    riders = cards_using_operator(tr, focal, order.keys)
 
     def build(d: DataFrame, w: WindowSpec) -> DataFrame:
         return _metadata_cols(_identify_cols(d, w, focal), w, window_min)
 
-    # Dependency radius: identify (1) feeding stage 1 (1) feeding stage 2 (1).
-    out = order.apply(riders, build, halo=3)
+    if order.hot is None:
+        whole = order.window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+        def build_plain(d: DataFrame, w: WindowSpec) -> DataFrame:
+            rider = F.max((F.col("operatorid") == focal).cast("int")).over(whole)
+            return build(d.withColumn("_rider", rider), w)
+
+        out = order.apply(tr, build_plain, halo=0).where(F.col("_rider") == 1).drop("_rider")
+    else:
+        # Dependency radius: identify (1) feeding stage 1 (1) feeding stage 2 (1).
+        out = order.apply(cards_using_operator(tr, focal, order.keys), build, halo=3)
     out = out.where(F.col("is_focal") & F.col("locationname_destination").isNotNull())
     if not project:
         return out
@@ -140,20 +156,30 @@ def combined_focal_transactions(tr: DataFrame, order: CardOrder | None = None) -
     return out.where(F.col("second_originlocation").isNotNull())
 
 
-def tap_counts(tr: DataFrame, keys=("cardid_anony",)) -> DataFrame:
+def tap_counts(tr: DataFrame, order: CardOrder | None = None) -> DataFrame:
     """Row-preserving tap counts per (card, yday) and per (card, yday, is_focal).
 
-    Expects ``yday`` and ``is_focal``. Counts are aggregated (map-side
-    combine) and joined back, which AQE's skew-join handling can split for a
-    hot card, rather than counted over an unsplittable window.
-    ``focal_tr_count`` on a non-focal row counts the card's non-focal taps.
+    Expects ``yday`` and ``is_focal``. ``focal_tr_count`` on a non-focal row
+    counts the card's non-focal taps that day. In the plain plan the counts
+    are unordered windows on the card partitioning the input already has (no
+    new exchange). With split hot cards one (card, day) group can be huge, so
+    the counts are aggregated map-side and joined back instead (AQE splits a
+    skewed join partition); the input is checkpointed first so the three
+    branches do not recompute it.
     """
+    order = resolve(order)
+    keys = list(order.keys)
     k1 = [*keys, "yday"]
     k2 = [*k1, "is_focal"]
     one = F.count(F.lit(1))
-    day = tr.groupBy(*k1).agg(one.alias("transaction_count"))
-    kind = tr.groupBy(*k2).agg(one.alias("focal_tr_count"))
-    out = _join_null_safe(_join_null_safe(tr, day, k1), kind, k2)
+    if order.hot is None:
+        out = tr.select("*", one.over(Window.partitionBy(*k1)).alias("transaction_count"),
+                        one.over(Window.partitionBy(*k2)).alias("focal_tr_count"))
+    else:
+        tr = materialize(tr)
+        day = tr.groupBy(*k1).agg(one.alias("transaction_count"))
+        kind = tr.groupBy(*k2).agg(one.alias("focal_tr_count"))
+        out = _join_null_safe(_join_null_safe(tr, day, k1), kind, k2)
     return out.withColumn("tr_count_diff", F.col("transaction_count") - F.col("focal_tr_count"))
 
 

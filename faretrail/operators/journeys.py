@@ -24,6 +24,7 @@ from faretrail.functions.scalars import minutes_between
 from faretrail.operators.ordering import SEGMENT, CardOrder, resolve
 from faretrail.operators.rides import as_rides
 from faretrail.schema import CARD, JOURNEY_GAP_MIN, TIME
+from faretrail.session import materialize
 
 BUCKET_PREFIX = 3  # 16**3 buckets for hex card ids
 
@@ -44,9 +45,9 @@ def add_transfer_time(tr: DataFrame, order: CardOrder | None = None) -> DataFram
 
 def _card_offsets(starts: DataFrame, card: str) -> DataFrame:
     """Exclusive prefix sum of per-card journey totals in card order."""
-    per_card = starts.groupBy(card).agg(F.sum("_new").alias("_n"))
     bucket = F.coalesce(F.substring(F.col(card), 1, BUCKET_PREFIX), F.lit("￿"))
-    per_card = per_card.withColumn("_bucket", bucket)
+    # One row per card, used twice (bucket totals, offsets inside buckets).
+    per_card = materialize(starts.groupBy(card).agg(F.sum("_new").alias("_n")).withColumn("_bucket", bucket))
     per_bucket = per_card.groupBy("_bucket").agg(F.sum("_n").alias("_bn"))
     # One row per bucket: the only unpartitioned window, bounded by the bucket count.
     wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -57,8 +58,13 @@ def _card_offsets(starts: DataFrame, card: str) -> DataFrame:
     return per_card.join(per_bucket, "_bucket").select(card, (F.col("_boff") + F.col("_coff")).alias("_card_off"))
 
 
-def add_journey_id(tr: DataFrame, time: float = JOURNEY_GAP_MIN, order: CardOrder | None = None) -> DataFrame:
-    """Rides with ``is_transfer`` (gap strictly below ``time``), ``journey_id`` and ``num_legs``."""
+def add_journey_id(tr: DataFrame, time: float = JOURNEY_GAP_MIN, order: CardOrder | None = None,
+                   materialize_rows: bool = True) -> DataFrame:
+    """Rides with ``is_transfer`` (gap strictly below ``time``), ``journey_id`` and ``num_legs``.
+
+    ``materialize_rows`` checkpoints the numbered rides (one eager job) so the
+    three consumers of them share one computation.
+    """
     order = resolve(order)
     timed = add_transfer_time(tr, order)
     card = order.keys[0]
@@ -71,11 +77,22 @@ def add_journey_id(tr: DataFrame, time: float = JOURNEY_GAP_MIN, order: CardOrde
 
     if order.hot is None:
         seq = order.apply(timed, build, halo=0).withColumn("_seq", F.col("_local"))
+        # Legs per (card, journey): an unordered window on the card partitioning
+        # the rows already have, so no exchange.
+        seq = seq.withColumn("num_legs", F.count(F.lit(1)).over(Window.partitionBy(*order.keys, "_seq")))
     else:
         seq = _segment_sequence(order, timed, build)
-    legs = seq.groupBy(*order.keys, "_seq").agg(F.count(F.lit(1)).alias("num_legs"))
+    # The numbered rows feed two branches (rows, card offsets); write them once
+    # instead of recomputing scan, shuffle and windows per branch.
+    if materialize_rows:
+        seq = materialize(seq)
+    if order.hot is not None:
+        # A journey of a hot card can be huge: aggregate map-side, join back
+        # (AQE splits a skewed join partition).
+        legs = seq.groupBy(*order.keys, "_seq").agg(F.count(F.lit(1)).alias("num_legs"))
+        seq = seq.join(legs, [*order.keys, "_seq"], "left")
     offsets = _card_offsets(seq, card)
-    out = seq.join(offsets, card, "left").join(legs, [*order.keys, "_seq"], "left")
+    out = seq.join(offsets, card, "left")
     return out.select(
         *timed.columns, "is_transfer",
         (F.coalesce(F.col("_card_off"), F.lit(0)) + F.col("_seq")).alias("journey_id"),

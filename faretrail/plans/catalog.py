@@ -200,7 +200,7 @@ def q_focal_pairs(i: Inputs) -> DataFrame:
 
 def q_tap_counts(i: Inputs) -> DataFrame:
     marked = spread_time_column(focal_identify(i.taps, order=i.order), prefix="")
-    return tap_counts(marked).select("cardid_anony", "sequencenumber", "yday", "is_focal",
+    return tap_counts(marked, i.order).select("cardid_anony", "sequencenumber", "yday", "is_focal",
                                      "transaction_count", "focal_tr_count", "tr_count_diff")
 
 

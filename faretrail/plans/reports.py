@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from faretrail.functions.scalars import month_label, weekday_name
 from faretrail.operators.sequences import circadian_date, day_id_columns
+from faretrail.session import materialize
 
 DAY_KEYS = ["Year", "Month", "CircadianDayOfWeek", "RandomWeekID"]
 
@@ -65,7 +66,8 @@ def with_circadian_day(rides: DataFrame, ts: str = "transaction_time") -> DataFr
     return rides.select("*", *day_id_columns(circadian_date(ts)))
 
 
-def transfer_database(classified: DataFrame, sampling_rate: float = 0.5) -> DataFrame:
+def transfer_database(classified: DataFrame, sampling_rate: float = 0.5,
+                      materialize_pairs: bool = True) -> DataFrame:
     """Per (day, from agency, to agency): sampled and estimated transfers and the
     two agencies' sampled and estimated ride counts.
 
@@ -74,13 +76,19 @@ def transfer_database(classified: DataFrame, sampling_rate: float = 0.5) -> Data
     sampling rate, rounded to whole rides.
     """
     days = with_circadian_day(classified).drop("DayID")
-    transfers = (
-        days.where(F.col("is_rule_transfer"))
-        .groupBy(*DAY_KEYS, F.col("previous_participant").alias("from_AgencyName"),
-                 F.col("participantname").alias("to_AgencyName"))
-        .agg(F.count(F.lit(1)).alias("sampled_transfers"))
+    # One pass over the rides: per (day, previous agency, agency) the ride and
+    # transfer counts. The result is small (days x agency pairs) and feeds
+    # three joins, so it is checkpointed once.
+    pairs = days.groupBy(*DAY_KEYS, "previous_participant", "participantname").agg(
+        F.count(F.lit(1)).alias("_rides"),
+        F.count(F.when(F.col("is_rule_transfer"), F.lit(1))).alias("_transfers"),
     )
-    agency = days.groupBy(*DAY_KEYS, "participantname").agg(F.count(F.lit(1)).alias("_rides"))
+    if materialize_pairs:
+        pairs = materialize(pairs)
+    transfers = pairs.where(F.col("_transfers") > 0).select(
+        *DAY_KEYS, F.col("previous_participant").alias("from_AgencyName"),
+        F.col("participantname").alias("to_AgencyName"), F.col("_transfers").alias("sampled_transfers"))
+    agency = pairs.groupBy(*DAY_KEYS, "participantname").agg(F.sum("_rides").alias("_rides"))
     frm = agency.select(*DAY_KEYS, F.col("participantname").alias("from_AgencyName"),
                         F.col("_rides").alias("from_Agency_Sampled_Transactions"))
     to = agency.select(*DAY_KEYS, F.col("participantname").alias("to_AgencyName"),

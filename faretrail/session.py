@@ -55,3 +55,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
+
+
+def materialize(df):
+    """Write ``df`` to the shared checkpoint folder and continue from the copy.
+
+    Used where one intermediate result feeds several branches of a plan: the
+    branches read the checkpoint instead of recomputing the scan, shuffle and
+    windows each. The copy lives in ``spark.checkpoint.dir`` (shared storage on
+    a cluster), so it survives executor loss and cuts the lineage.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

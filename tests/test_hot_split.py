@@ -10,11 +10,12 @@ from conftest import SF_SMALL
 
 WINDOWED = ["rides", "transfer_flags", "transfer_matrix", "transfer_time", "journeys", "focal_flags",
             "focal_metadata", "focal_journeys", "focal_to_focal", "focal_pairs", "rule_transfers",
-            "sequences_by_date", "product_usage"]
+            "sequences_by_date", "product_usage", "tap_counts", "transfer_database", "top_movements",
+            "sequences_by_day_id", "hour_histogram"]
 
 
 def _rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((v is None, str(v)) for v in r))
 
 
 @pytest.fixture(scope="module")
