@@ -39,15 +39,17 @@ SEGMENT_ROWS = 2_000_000
 
 KEY = ["cardid_anony", "sequencenumber", "transaction_time"]
 
-# Hot-card detection per (application, dataset, threshold): the input tables
-# are immutable for the life of a session, so one scan serves all queries.
-_ORDER_CACHE: dict[tuple, CardOrder] = {}
 
+class Base:
+    """Lazy base plans of one data directory (scans, fixture mapping, lookups,
+    enrichment) and the hot-card decision.
 
-class Inputs:
-    """Base frames of one data directory, built lazily and shared by queries."""
+    The plans are immutable and cheap to hold, so one instance per
+    (application, directory, threshold) is shared by all queries; nothing here
+    is computed or cached as data except the bounded hot-card list.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, segment_rows: int | None = SEGMENT_ROWS):
+    def __init__(self, spark: SparkSession, sf_dir: str, segment_rows: int | None):
         self.spark, self.sf_dir, self.segment_rows = spark, sf_dir, segment_rows
 
     @cached_property
@@ -83,16 +85,43 @@ class Inputs:
         """
         if self.segment_rows is None:
             return CardOrder.plain()
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, self.segment_rows)
-        if key not in _ORDER_CACHE:
-            detected = CardOrder.detect(self.taps.select("cardid_anony", "transaction_time"), self.segment_rows)
-            if detected.hot.isEmpty():
-                _ORDER_CACHE[key] = CardOrder.plain()
-            else:
-                # The hot list is small (at most rows / segment_rows); checkpoint it
-                # so every window stage reuses it instead of re-aggregating the taps.
-                _ORDER_CACHE[key] = dataclasses.replace(detected, hot=detected.hot.checkpoint(eager=True))
-        return _ORDER_CACHE[key]
+        detected = CardOrder.detect(self.taps.select("cardid_anony", "transaction_time"), self.segment_rows)
+        if detected.hot.isEmpty():
+            return CardOrder.plain()
+        # The hot list is small (at most rows / segment_rows); checkpoint it so
+        # every window stage reuses it instead of re-aggregating the taps.
+        return dataclasses.replace(detected, hot=detected.hot.checkpoint(eager=True))
+
+
+_BASES: dict[tuple, Base] = {}
+
+
+def base_for(spark: SparkSession, sf_dir: str, segment_rows: int | None) -> Base:
+    key = (spark.sparkContext.applicationId, sf_dir, segment_rows)
+    if key not in _BASES:
+        _BASES[key] = Base(spark, sf_dir, segment_rows)
+    return _BASES[key]
+
+
+class Inputs:
+    """Frames of one query run: the shared base plans plus per-query derived
+    frames (intermediates checkpointed by one query are not reused by another)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, segment_rows: int | None = SEGMENT_ROWS,
+                 base: Base | None = None):
+        self.spark, self.sf_dir, self.segment_rows = spark, sf_dir, segment_rows
+        self.base = base or Base(spark, sf_dir, segment_rows)
+
+    raw = property(lambda self: self.base.raw)
+    taps = property(lambda self: self.base.taps)
+    nation = property(lambda self: self.base.nation)
+    part = property(lambda self: self.base.part)
+    dims = property(lambda self: self.base.dims)
+    enriched = property(lambda self: self.base.enriched)
+
+    @cached_property
+    def order(self) -> CardOrder:
+        return self.base.order
 
     @cached_property
     def rides_enriched(self) -> DataFrame:
@@ -357,7 +386,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
 
 
 def run(name: str, spark: SparkSession, sf_dir: str, segment_rows: int | None = SEGMENT_ROWS) -> DataFrame:
-    return QUERIES[name](Inputs(spark, sf_dir, segment_rows))
+    return QUERIES[name](Inputs(spark, sf_dir, segment_rows, base_for(spark, sf_dir, segment_rows)))
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
