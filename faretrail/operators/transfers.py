@@ -36,12 +36,15 @@ def identify_transfer_for_time(tr: DataFrame, mins: float, order: CardOrder | No
     return order.apply(rides, build, halo=1)
 
 
-def transfer_summary(flagged: DataFrame, product_category: int | None = 1) -> DataFrame:
-    """Operator-pair matrix from flagged rides (partial + final aggregation)."""
+def transfer_summary(flagged: DataFrame, product_category: int | None = 1, by: tuple[str, ...] = ()) -> DataFrame:
+    """Operator-pair matrix from flagged rides (partial + final aggregation).
+
+    ``by`` adds leading grouping columns (e.g. ``service_date``).
+    """
     if product_category is not None:
         flagged = flagged.where(F.col("productcategory") == product_category)
     hit = F.col("is_transfer") == 1
-    return flagged.groupBy("participantname_transfer", "participantname").agg(
+    return flagged.groupBy(*by, "participantname_transfer", "participantname").agg(
         F.avg("transferoperator").cast("int").alias("from_operator_id"),
         F.avg("operatorid").cast("int").alias("to_operator_id"),
         F.sum("is_transfer").cast("long").alias("num_transfers"),
@@ -51,12 +54,14 @@ def transfer_summary(flagged: DataFrame, product_category: int | None = 1) -> Da
 
 
 def create_transfer_df(tr: DataFrame, mins: float, order: CardOrder | None = None,
-                       product_category: int | None = 1) -> DataFrame:
+                       product_category: int | None = 1, by: tuple[str, ...] = ()) -> DataFrame:
     """Transfers between every (from, to) operator pair within ``mins``.
 
-    Pairs with rides but no transfers are kept with zero counts.
+    Pairs with rides but no transfers are kept with zero counts. For input
+    spanning several service days pass an ``order`` keyed by
+    ``(cardid_anony, service_date)`` and ``by=("service_date",)``.
     """
-    return transfer_summary(identify_transfer_for_time(tr, mins, order), product_category)
+    return transfer_summary(identify_transfer_for_time(tr, mins, order), product_category, by)
 
 
 def classify_rule_transfers(tr: DataFrame, rules: DataFrame, order: CardOrder | None = None) -> DataFrame:
