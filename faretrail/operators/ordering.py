@@ -90,6 +90,13 @@ class CardOrder:
         keys = list(self.keys) + ([SEGMENT] if self.hot is not None else [])
         return Window.partitionBy(*keys)
 
+    def segments(self, df: DataFrame, time_col: str | None = None) -> DataFrame:
+        """``df`` with a ``_segment`` column: the hot-card time segment of each
+        row by ``time_col`` (0 for every row of a cold card)."""
+        if self.hot is None:
+            return df.withColumn(SEGMENT, F.lit(0).cast("long"))
+        return self._segmented(df, time_col).drop(_HOT_N, HALO)
+
     # -- application ----------------------------------------------------------
     def apply(self, df: DataFrame, build: Callable[[DataFrame, WindowSpec], DataFrame],
               halo: int = 1) -> DataFrame:
@@ -109,12 +116,14 @@ class CardOrder:
             *cols, *[c for c in out.columns if c not in cols and c not in (SEGMENT, HALO, _HOT_N, _HOT_T0, _HOT_SPAN)]
         )
 
-    def _segmented(self, df: DataFrame) -> DataFrame:
+    def _segmented(self, df: DataFrame, time_col: str | None = None) -> DataFrame:
+        """Tag rows with their segment (0 for cold cards); ``time_col`` defaults
+        to the first order column."""
         joined = df.join(F.broadcast(self.hot), list(self.keys), "left")
         per_seg = F.lit(float(self.segment_rows))
         nseg = F.ceil(F.col(_HOT_N) / per_seg)
-        offset = F.timestamp_diff("MICROSECOND", F.col(_HOT_T0), F.col(self.order[0]))
-        seg = F.least(F.floor(offset * nseg / F.col(_HOT_SPAN)), nseg - 1).cast("long")
+        offset = F.timestamp_diff("MICROSECOND", F.col(_HOT_T0), F.col(time_col or self.order[0]))
+        seg = F.greatest(F.least(F.floor(offset * nseg / F.col(_HOT_SPAN)), nseg - 1), F.lit(0)).cast("long")
         return joined.select(
             *df.columns,
             F.col(_HOT_N),

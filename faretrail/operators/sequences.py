@@ -4,9 +4,10 @@ on a day.
 A ride's record is ``"<tag-on hour> <origin name> <destination name>"`` (a
 missing name is written ``NA``). A card's records on one circadian day are
 joined in ride order into one string; cards are then counted per (day,
-string). The per-day sequence is built with one sorted ``collect_list`` per
-(card, day): the string *is* that group's output, and a card's rides on one
-day are few, so nothing beyond the output itself is gathered.
+string). Records are joined with a sorted ``collect_list`` per (card, day).
+For hot cards (see ``CardOrder``) the records are first joined per (card,
+day, time segment), so no task gathers more than a segment's records; the
+segment strings are then joined in segment order.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faretrail.functions.scalars import month_label, paste, weekday_name
+from faretrail.operators.ordering import SEGMENT, CardOrder
 from faretrail.schema import CARD, SEQ, SERVICE_DAY_START_HOUR, TIME
 
 
@@ -29,27 +31,36 @@ def circadian_date(ts) -> F.Column:
     return F.to_date(c - F.expr(f"INTERVAL {SERVICE_DAY_START_HOUR} HOURS"))
 
 
-def sequence_records(rides: DataFrame) -> DataFrame:
-    """One record per ride with its circadian date and ordering keys."""
+def sequence_records(rides: DataFrame, order: CardOrder | None = None) -> DataFrame:
+    """One record per ride with its circadian date, ordering keys and segment."""
     on = tag_on_instant()
-    return rides.select(
-        F.col(CARD).alias("ClipperCardID"),
+    recs = rides.select(
+        CARD,
         circadian_date(on).alias("CircadianDate"),
         on.alias("_on"),
         F.col(SEQ).alias("_seq"),
         paste(F.hour(on), "locationname_origin", "locationname_destination").alias("_record"),
     )
+    if order is not None and order.hot is not None:
+        recs = order.segments(recs, "_on")
+    return recs.withColumnRenamed(CARD, "ClipperCardID")
 
 
-def _joined(group_cols: list[str]) -> F.Column:
-    recs = F.array_sort(F.collect_list(F.struct("_on", "_seq", "_record")))
-    return F.array_join(F.transform(recs, lambda x: x["_record"]), " ").alias("RunSequence")
+def _joined(recs: DataFrame, group_cols: list[str]) -> DataFrame:
+    """RunSequence per group: records joined in (tag-on time, sequence) order."""
+    def join_sorted(col):
+        return F.array_join(F.transform(F.array_sort(F.collect_list(col)), lambda x: x["_record"]), " ")
 
+    if SEGMENT not in recs.columns:
+        return recs.groupBy(*group_cols).agg(join_sorted(F.struct("_on", "_seq", "_record")).alias("RunSequence"))
+    parts = recs.groupBy(*group_cols, SEGMENT).agg(
+        join_sorted(F.struct("_on", "_seq", "_record")).alias("_record"))
+    return parts.groupBy(*group_cols).agg(join_sorted(F.struct(SEGMENT, "_record")).alias("RunSequence"))
 
-def extract_sequence_by_date(rides: DataFrame) -> DataFrame:
+
+def extract_sequence_by_date(rides: DataFrame, order: CardOrder | None = None) -> DataFrame:
     """Cards per (circadian date, ride sequence), with the weekday name."""
-    recs = sequence_records(rides)
-    per_card = recs.groupBy("ClipperCardID", "CircadianDate").agg(_joined(["ClipperCardID", "CircadianDate"]))
+    per_card = _joined(sequence_records(rides, order), ["ClipperCardID", "CircadianDate"])
     return per_card.groupBy("CircadianDate", "RunSequence").agg(F.count(F.lit(1)).alias("n")).select(
         "CircadianDate",
         weekday_name(F.dayofweek("CircadianDate")).alias("CircadianDayOfWeek"),
@@ -67,13 +78,13 @@ def day_id_columns(date_col) -> list:
             week.alias("RandomWeekID"), day_id.cast("long").alias("DayID")]
 
 
-def extract_sequence_for_random_week(rides: DataFrame) -> DataFrame:
+def extract_sequence_for_random_week(rides: DataFrame, order: CardOrder | None = None) -> DataFrame:
     """Cards per (sampled day, ride sequence); the day is packed as
     ``DayID = 1e6*Year + 1e4*Month + 100*weekday + week`` and decoded back
     to year, month name, weekday name and week for the result."""
-    recs = sequence_records(rides)
+    recs = sequence_records(rides, order)
     recs = recs.select("*", *day_id_columns("CircadianDate")).drop("CircadianDate")
-    per_card = recs.groupBy("ClipperCardID", "DayID").agg(_joined(["ClipperCardID", "DayID"]))
+    per_card = _joined(recs, ["ClipperCardID", "DayID"])
     counts = per_card.groupBy("DayID", "RunSequence").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(
         "DayID",

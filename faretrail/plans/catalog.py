@@ -338,11 +338,11 @@ def q_transfers_with_totals(i: Inputs) -> DataFrame:
 
 
 def q_sequences_by_date(i: Inputs) -> DataFrame:
-    return extract_sequence_by_date(i.rides_enriched)
+    return extract_sequence_by_date(i.rides_enriched, i.order)
 
 
 def q_sequences_by_day_id(i: Inputs) -> DataFrame:
-    return extract_sequence_for_random_week(i.rides_enriched)
+    return extract_sequence_for_random_week(i.rides_enriched, i.order)
 
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
