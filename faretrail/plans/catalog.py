@@ -25,6 +25,7 @@ from faretrail.operators import (
     make_human_readable, sample_day_of_transactions, sample_user_transactions, tap_counts,
 )
 from faretrail.plans import reports
+from faretrail.session import materialize
 
 TRANSFER_MINS = 120
 JOURNEY_GAP = 60
@@ -90,7 +91,7 @@ class Base:
             return CardOrder.plain()
         # The hot list is small (at most rows / segment_rows); checkpoint it so
         # every window stage reuses it instead of re-aggregating the taps.
-        return dataclasses.replace(detected, hot=detected.hot.checkpoint(eager=True))
+        return dataclasses.replace(detected, hot=materialize(detected.hot))
 
 
 _BASES: dict[tuple, Base] = {}
