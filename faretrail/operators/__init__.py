@@ -13,7 +13,8 @@ from faretrail.operators.focal import (
 )
 from faretrail.operators.extract import (
     fares_for_day, sample_card_ids, sample_user_transactions, day_of_transactions,
-    sample_day_of_transactions, write_day_table, descriptive_tables, card_hash, to_local_time,
+    sample_day_of_transactions, write_day_table, write_transfer_database, descriptive_tables, card_hash,
+    to_local_time, day_bounds,
 )
 from faretrail.operators.sequences import extract_sequence_by_date, extract_sequence_for_random_week
 

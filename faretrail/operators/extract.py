@@ -19,10 +19,30 @@ from faretrail.schema import CARD, DAY_BOUNDARY_UTC, DAY_COLUMNS, MAX_SERIAL, SE
 LOCAL_ZONE = "America/Los_Angeles"
 
 
-def day_bounds(start_date: str, partition_time: str = DAY_BOUNDARY_UTC) -> tuple[str, str]:
+def day_bounds(start_date: str, partition_time: str = DAY_BOUNDARY_UTC, boundary: str = "utc",
+               zone: str = "America/Los_Angeles") -> tuple[str, str]:
+    """UTC bounds of a service day as literals (so they push down to the scan).
+
+    ``boundary='utc'``: ``partition_time`` is a UTC clock time (fixed instant
+    every day). ``boundary='local'``: it is a local clock time in ``zone``, so
+    the UTC instant follows daylight-saving time (a 23- or 25-hour day on the
+    switch days).
+    """
     start = dt.date.fromisoformat(str(start_date))
     end = start + dt.timedelta(days=1)
-    return f"{start.isoformat()} {partition_time}", f"{end.isoformat()} {partition_time}"
+    if boundary == "utc":
+        return f"{start.isoformat()} {partition_time}", f"{end.isoformat()} {partition_time}"
+    if boundary != "local":
+        raise ValueError("boundary must be 'utc' or 'local'")
+    from zoneinfo import ZoneInfo
+    clock = dt.time.fromisoformat(partition_time)
+    tz, utc = ZoneInfo(zone), dt.timezone.utc
+
+    def to_utc(day: dt.date) -> str:
+        local = dt.datetime.combine(day, clock, tzinfo=tz)
+        return local.astimezone(utc).replace(tzinfo=None).isoformat(sep=" ")
+
+    return to_utc(start), to_utc(end)
 
 
 def card_hash(serial) -> F.Column:
@@ -39,14 +59,15 @@ def to_local_time(utc_col, zone: str = LOCAL_ZONE) -> F.Column:
 
 def fares_for_day(raw: DataFrame, start_date: str, partition_time: str = DAY_BOUNDARY_UTC,
                   max_serial: int = MAX_SERIAL, strict: bool = False, keep_serial: bool = False,
-                  zone: str = LOCAL_ZONE) -> DataFrame:
+                  zone: str = LOCAL_ZONE, boundary: str = "utc") -> DataFrame:
     """One service day of raw transactions in day-table shape.
 
-    The day is ``[start, start + 1 day)`` in UTC at ``partition_time``;
+    The day is ``[start, next start)`` with the start at ``partition_time``
+    (UTC clock by default, local clock with ``boundary='local'``);
     ``strict=True`` excludes the start instant too (both bounds open). The
     card serial is replaced by its hash unless ``keep_serial``.
     """
-    lo, hi = day_bounds(start_date, partition_time)
+    lo, hi = day_bounds(start_date, partition_time, boundary, zone)
     g = F.col("generationtime")
     lower = g > F.lit(lo).cast("timestamp_ntz") if strict else g >= F.lit(lo).cast("timestamp_ntz")
     day = raw.where(lower & (g < F.lit(hi).cast("timestamp_ntz")) &
@@ -125,3 +146,14 @@ def write_day_table(day: DataFrame, path: str, service_date: str, mode: str = "o
 def descriptive_tables(participants: DataFrame, routes: DataFrame, locations: DataFrame) -> dict:
     """The lookup tables by name (operators, routes, locations)."""
     return {"operators": participants, "routes": routes, "locations": locations}
+
+
+def write_transfer_database(db: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Persist the pair-day transfer database partitioned by (Year, Month).
+
+    With ``mode='overwrite'`` only the months present in ``db`` are replaced
+    (dynamic partition overwrite), so rebuilding a month is idempotent;
+    ``mode='append'`` adds rows.
+    """
+    (db.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .partitionBy("Year", "Month").parquet(path))

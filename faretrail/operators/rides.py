@@ -16,10 +16,15 @@ from faretrail.operators.ordering import CardOrder, resolve
 from faretrail.schema import NETTED_TAG_OFF, TAG_OFF_SUBTYPES, TAG_ON_SUBTYPES, TIME
 
 
-def _tagon_cols(df: DataFrame, w: WindowSpec) -> DataFrame:
+def _tagon_cols(df: DataFrame, w: WindowSpec, strict_pairing: bool = False) -> DataFrame:
     sub = F.col("subtype")
     tagging_off = (sub == TAG_OFF_SUBTYPES[0]) | (sub == TAG_OFF_SUBTYPES[1])
-    tagon = F.when(F.col("tagging_off"), F.lag(TIME).over(w))
+    paired = F.col("tagging_off")
+    if strict_pairing:
+        # the previous tap must be the matching tag-on (2 before 3, 4 before 5) of the same operator
+        prev_sub, prev_op = F.lag("subtype").over(w), F.lag("operatorid").over(w)
+        paired = paired & (prev_sub == sub - 1) & (prev_op == F.col("operatorid"))
+    tagon = F.when(paired, F.lag(TIME).over(w))
     return (
         df.withColumn("tagging_off", tagging_off)
         .withColumn("tagon_time", tagon)
@@ -37,9 +42,13 @@ def _cost_cols(df: DataFrame, w: WindowSpec) -> DataFrame:
     return df.withColumn("previous_purseamount", prev).withColumn("trip_cost", cost)
 
 
-def add_tagon_time(tr: DataFrame, order: CardOrder | None = None) -> DataFrame:
-    """Add ``tagging_off``, ``tagon_time`` and ``trip_duration`` (minutes)."""
-    return resolve(order).apply(tr, _tagon_cols, halo=1)
+def add_tagon_time(tr: DataFrame, order: CardOrder | None = None, strict_pairing: bool = False) -> DataFrame:
+    """Add ``tagging_off``, ``tagon_time`` and ``trip_duration`` (minutes).
+
+    By default any previous tap is taken as the tag-on; ``strict_pairing``
+    requires the matching tag-on subtype on the same operator.
+    """
+    return resolve(order).apply(tr, lambda d, w: _tagon_cols(d, w, strict_pairing), halo=1)
 
 
 def add_trip_cost(tr: DataFrame, order: CardOrder | None = None) -> DataFrame:
@@ -52,11 +61,11 @@ def is_ride() -> Column:
     return (sub != TAG_ON_SUBTYPES[0]) & (sub != TAG_ON_SUBTYPES[1])
 
 
-def as_rides(tr: DataFrame, order: CardOrder | None = None) -> DataFrame:
+def as_rides(tr: DataFrame, order: CardOrder | None = None, strict_pairing: bool = False) -> DataFrame:
     """One row per ride: both window stages share one exchange, then filter."""
     if "tagon_time" in tr.columns:
         raise ValueError("as_rides expects taps, not rides (tagon_time already present)")
-    both = resolve(order).apply(tr, lambda d, w: _cost_cols(_tagon_cols(d, w), w), halo=1)
+    both = resolve(order).apply(tr, lambda d, w: _cost_cols(_tagon_cols(d, w, strict_pairing), w), halo=1)
     return both.where(is_ride())
 
 

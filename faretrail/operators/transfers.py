@@ -14,21 +14,33 @@ from faretrail.operators.rides import as_rides
 from faretrail.schema import TIME
 
 
-def identify_transfer_for_time(tr: DataFrame, mins: float, order: CardOrder | None = None) -> DataFrame:
+def identify_transfer_for_time(tr: DataFrame, mins: float, order: CardOrder | None = None,
+                               gap: str = "source") -> DataFrame:
     """Flag rides that start within ``mins`` (inclusive) of the previous ride.
 
     Expects taps (rides are derived here). Rides without a transfer-operator
-    name are dropped *before* the lag. For a single-tap ride the gap is
-    measured from the previous ride's time; for a tag-off ride from the
-    previous ride's tag-on time. A missing gap is not a transfer.
+    name are dropped *before* the lag. A missing gap is not a transfer.
+
+    ``gap='source'`` (default, the source model's definition): for a
+    single-tap ride the gap is measured from the previous ride's time, for a
+    tag-off ride from the previous ride's tag-on time to this tag-off.
+    ``gap='alight_to_board'``: from the previous ride's last tap to this
+    ride's boarding (its tag-on time, or its own time for a single tap).
     """
+    if gap not in ("source", "alight_to_board"):
+        raise ValueError("gap must be 'source' or 'alight_to_board'")
     order = resolve(order)
     rides = as_rides(tr, order).where(F.col("participantname_transfer").isNotNull())
 
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
         tagon = F.col("tagon_time")
-        gap_single = F.when(tagon.isNull(), minutes_between(F.lag(TIME).over(w), TIME))
-        gap_tagoff = F.when(tagon.isNotNull(), minutes_between(F.lag("tagon_time").over(w), TIME))
+        if gap == "source":
+            gap_single = F.when(tagon.isNull(), minutes_between(F.lag(TIME).over(w), TIME))
+            gap_tagoff = F.when(tagon.isNotNull(), minutes_between(F.lag("tagon_time").over(w), TIME))
+        else:
+            board = F.coalesce(tagon, F.col(TIME))
+            gap_single = F.when(tagon.isNull(), minutes_between(F.lag(TIME).over(w), board))
+            gap_tagoff = F.when(tagon.isNotNull(), minutes_between(F.lag(TIME).over(w), board))
         df = df.withColumn("time_from_prev_tagon", gap_single).withColumn("time_from_prev", gap_tagoff)
         hit = (F.col("time_from_prev") <= F.lit(mins)) | (F.col("time_from_prev_tagon") <= F.lit(mins))
         return df.withColumn("is_transfer", F.coalesce(hit, F.lit(False)).cast("int"))

@@ -90,3 +90,24 @@ def test_write_day_table_overwrites_one_day(spark):
     assert sorted(r[0].isoformat() for r in back.select("service_date").distinct().collect()) == [
         "2016-04-25", "2016-04-26"]
     assert back.where(F.col("service_date") == "2016-04-26").count() == 1
+
+
+def test_local_boundary_follows_dst():
+    from faretrail.operators import day_bounds
+    assert day_bounds("2016-01-04", "03:00:00", "local") == ("2016-01-04 11:00:00", "2016-01-05 11:00:00")
+    assert day_bounds("2016-07-04", "03:00:00", "local") == ("2016-07-04 10:00:00", "2016-07-05 10:00:00")
+    # spring-forward day is 23 hours long
+    assert day_bounds("2016-03-13", "03:00:00", "local") == ("2016-03-13 10:00:00", "2016-03-14 10:00:00")
+    assert day_bounds("2016-03-12", "03:00:00", "local") == ("2016-03-12 11:00:00", "2016-03-13 10:00:00")
+    assert day_bounds("2016-03-12") == ("2016-03-12 10:00:00", "2016-03-13 10:00:00")
+
+
+def test_write_transfer_database_replaces_months(spark):
+    from faretrail.operators import write_transfer_database
+    path = os.path.join(tempfile.mkdtemp(prefix="faretrail-db-"), "db")
+    db = spark.createDataFrame([(2014, 3, 1), (2014, 4, 2)], "Year int, Month int, estimated_transfers int")
+    write_transfer_database(db, path)
+    write_transfer_database(spark.createDataFrame([(2014, 4, 9)], "Year int, Month int, estimated_transfers int"),
+                            path)
+    got = sorted((r["Month"], r["estimated_transfers"]) for r in spark.read.parquet(path).collect())
+    assert got == [(3, 1), (4, 9)]

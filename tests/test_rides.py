@@ -55,3 +55,16 @@ def test_rides_rejects_rides(spark):
     rides = as_rides(make_taps(spark, [{"subtype": 1}]))
     with pytest.raises(ValueError):
         as_rides(rides)
+
+
+def test_strict_pairing(spark):
+    taps = make_taps(spark, [
+        {"minutes": 0, "subtype": 1},                    # not a tag-on
+        {"minutes": 10, "subtype": 3},                   # lenient: takes minute 0; strict: none
+        {"minutes": 20, "subtype": 4, "operatorid": 4},
+        {"minutes": 30, "subtype": 5, "operatorid": 4},  # matching pair
+    ])
+    lenient = by_seq(as_rides(taps))
+    strict = by_seq(as_rides(taps, strict_pairing=True))
+    assert lenient[1]["tagon_time"] == T0 and strict[1]["tagon_time"] is None
+    assert strict[3]["trip_duration"] == 10.0

@@ -82,3 +82,16 @@ def test_rule_transfers(spark):
     assert r[2]["is_rule_transfer"] is False      # 20 > 10
     assert r[3]["is_rule_transfer"] is False and r[3]["max_time"] is None  # no rule
     assert r[0]["is_rule_transfer"] is False
+
+
+def test_alight_to_board_gap(spark):
+    taps = make_taps(spark, [
+        {"minutes": 0, "subtype": 2},
+        {"minutes": 50, "subtype": 3},     # ride 1: 0 -> 50
+        {"minutes": 70, "subtype": 2},
+        {"minutes": 100, "subtype": 3},    # ride 2: boards at 70, 20 min after alighting
+    ])
+    src = by_seq(identify_transfer_for_time(taps, 30))
+    a2b = by_seq(identify_transfer_for_time(taps, 30, gap="alight_to_board"))
+    assert src[3]["time_from_prev"] == 100.0 and src[3]["is_transfer"] == 0
+    assert a2b[3]["time_from_prev"] == 20.0 and a2b[3]["is_transfer"] == 1
