@@ -65,11 +65,11 @@ class CardOrder:
         t = order[0]
         hot = (
             df.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias(_HOT_N), F.min(t).alias(_HOT_T0), F.max(t).alias(_HOT_SPAN))
+            .agg(F.count(F.lit(1)).alias(_HOT_N), F.min(t).alias(_HOT_T0), F.max(t).alias("_hot_t1"))
             .where(F.col(_HOT_N) > F.lit(segment_rows))
             .select(
                 *keys, _HOT_N, _HOT_T0,
-                (F.timestamp_diff("MICROSECOND", F.col(_HOT_T0), F.col(_HOT_SPAN)) + 1).alias(_HOT_SPAN),
+                (F.timestamp_diff("MICROSECOND", F.col(_HOT_T0), F.col("_hot_t1")) + 1).alias(_HOT_SPAN),
             )
         )
         return CardOrder(keys=tuple(keys), order=tuple(order), hot=hot, segment_rows=segment_rows)
@@ -85,11 +85,6 @@ class CardOrder:
         keys = list(self.keys) + ([SEGMENT] if self.hot is not None else [])
         return Window.partitionBy(*keys).orderBy(*self._order_cols())
 
-    def partition_window(self) -> WindowSpec:
-        """Unordered window over the same partition (for counts)."""
-        keys = list(self.keys) + ([SEGMENT] if self.hot is not None else [])
-        return Window.partitionBy(*keys)
-
     def segments(self, df: DataFrame, time_col: str | None = None) -> DataFrame:
         """``df`` with a ``_segment`` column: the hot-card time segment of each
         row by ``time_col`` (0 for every row of a cold card)."""
@@ -109,11 +104,11 @@ class CardOrder:
             return build(df, self.window())
         cols = df.columns
         tagged = self._segmented(df)
-        halo_rows = self._halo_rows(tagged, halo)
-        both = tagged.unionByName(halo_rows)
+        both = tagged.unionByName(self._halo_rows(tagged, halo)) if halo > 0 else tagged
         out = build(both, self.window())
-        return out.where(~F.col(HALO)).drop(SEGMENT, HALO, _HOT_N, _HOT_T0, _HOT_SPAN).select(
-            *cols, *[c for c in out.columns if c not in cols and c not in (SEGMENT, HALO, _HOT_N, _HOT_T0, _HOT_SPAN)]
+        helpers = (SEGMENT, HALO, _HOT_N)
+        return out.where(~F.col(HALO)).select(
+            *cols, *[c for c in out.columns if c not in cols and c not in helpers]
         )
 
     def _segmented(self, df: DataFrame, time_col: str | None = None) -> DataFrame:
