@@ -9,7 +9,8 @@ from faretrail.operators.transfers import (
 )
 from faretrail.operators.focal import (
     cards_using_operator, focal_identify, focal_lag_and_lead_metadata, as_focal_journeys,
-    focal_to_focal, combined_focal_transactions, tap_counts,
+    focal_to_focal, combined_focal_transactions, tap_counts, transactions_per_user,
+    focal_transactions_per_user,
 )
 from faretrail.operators.extract import (
     fares_for_day, sample_card_ids, sample_user_transactions, day_of_transactions,

@@ -156,8 +156,23 @@ def combined_focal_transactions(tr: DataFrame, order: CardOrder | None = None) -
     return out.where(F.col("second_originlocation").isNotNull())
 
 
+def transactions_per_user(tr: DataFrame, keys=("cardid_anony",)) -> DataFrame:
+    """Row-preserving ``transaction_count`` per (card, yday) (expects ``yday``)."""
+    k1 = [*keys, "yday"]
+    return tr.select("*", F.count(F.lit(1)).over(Window.partitionBy(*k1)).alias("transaction_count"))
+
+
+def focal_transactions_per_user(tr: DataFrame, keys=("cardid_anony",)) -> DataFrame:
+    """Row-preserving ``focal_tr_count`` per (card, yday, is_focal) and
+    ``tr_count_diff = transaction_count - focal_tr_count`` (expects both
+    ``yday``/``is_focal`` and :func:`transactions_per_user`'s column)."""
+    k2 = [*keys, "yday", "is_focal"]
+    out = tr.select("*", F.count(F.lit(1)).over(Window.partitionBy(*k2)).alias("focal_tr_count"))
+    return out.withColumn("tr_count_diff", F.col("transaction_count") - F.col("focal_tr_count"))
+
+
 def tap_counts(tr: DataFrame, order: CardOrder | None = None) -> DataFrame:
-    """Row-preserving tap counts per (card, yday) and per (card, yday, is_focal).
+    """Both per-user counts in one pass.
 
     Expects ``yday`` and ``is_focal``. ``focal_tr_count`` on a non-focal row
     counts the card's non-focal taps that day. In the plain plan the counts
@@ -169,17 +184,15 @@ def tap_counts(tr: DataFrame, order: CardOrder | None = None) -> DataFrame:
     """
     order = resolve(order)
     keys = list(order.keys)
+    if order.hot is None:
+        return focal_transactions_per_user(transactions_per_user(tr, keys), keys)
     k1 = [*keys, "yday"]
     k2 = [*k1, "is_focal"]
     one = F.count(F.lit(1))
-    if order.hot is None:
-        out = tr.select("*", one.over(Window.partitionBy(*k1)).alias("transaction_count"),
-                        one.over(Window.partitionBy(*k2)).alias("focal_tr_count"))
-    else:
-        tr = materialize(tr)
-        day = tr.groupBy(*k1).agg(one.alias("transaction_count"))
-        kind = tr.groupBy(*k2).agg(one.alias("focal_tr_count"))
-        out = _join_null_safe(_join_null_safe(tr, day, k1), kind, k2)
+    tr = materialize(tr)
+    day = tr.groupBy(*k1).agg(one.alias("transaction_count"))
+    kind = tr.groupBy(*k2).agg(one.alias("focal_tr_count"))
+    out = _join_null_safe(_join_null_safe(tr, day, k1), kind, k2)
     return out.withColumn("tr_count_diff", F.col("transaction_count") - F.col("focal_tr_count"))
 
 

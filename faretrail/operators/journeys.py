@@ -115,6 +115,7 @@ def _segment_sequence(order: CardOrder, timed: DataFrame, build) -> DataFrame:
     )
     ws = Window.partitionBy(*order.keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     seg_off = hot_segs.select(*order.keys, SEGMENT, F.coalesce(F.sum("_sn").over(ws), F.lit(0)).alias("_soff"))
-    out = local.join(F.broadcast(seg_off), [*order.keys, SEGMENT], "left")
+    seg_off = F.broadcast(seg_off) if order.broadcast_hot else seg_off
+    out = local.join(seg_off, [*order.keys, SEGMENT], "left")
     return out.withColumn("_seq", F.col("_local") + F.coalesce(F.col("_soff"), F.lit(0))).drop(
         "_soff", "_hot_n", SEGMENT, "_halo")

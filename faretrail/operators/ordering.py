@@ -48,6 +48,9 @@ class CardOrder:
     order: Sequence[str] = (TIME, SEQ)
     hot: DataFrame | None = field(default=None, compare=False)
     segment_rows: int | None = None
+    # Broadcast the hot list only when its measured size is under this many
+    # rows; otherwise the segment tagging is a shuffle join.
+    broadcast_hot: bool = True
 
     # -- construction -------------------------------------------------------
     @staticmethod
@@ -114,7 +117,8 @@ class CardOrder:
     def _segmented(self, df: DataFrame, time_col: str | None = None) -> DataFrame:
         """Tag rows with their segment (0 for cold cards); ``time_col`` defaults
         to the first order column."""
-        joined = df.join(F.broadcast(self.hot), list(self.keys), "left")
+        hot = F.broadcast(self.hot) if self.broadcast_hot else self.hot
+        joined = df.join(hot, list(self.keys), "left")
         per_seg = F.lit(float(self.segment_rows))
         nseg = F.ceil(F.col(_HOT_N) / per_seg)
         offset = F.timestamp_diff("MICROSECOND", F.col(_HOT_T0), F.col(time_col or self.order[0]))

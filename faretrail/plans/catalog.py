@@ -25,7 +25,7 @@ from faretrail.operators import (
     make_human_readable, sample_day_of_transactions, sample_user_transactions, tap_counts,
 )
 from faretrail.plans import reports
-from faretrail.session import materialize
+from faretrail.session import app_key, materialize
 
 TRANSFER_MINS = 120
 JOURNEY_GAP = 60
@@ -37,6 +37,7 @@ PRODUCT_TOP = 6
 SAMPLING_RATE = 0.5
 CHART_AGENCY = "NATION_4"
 SEGMENT_ROWS = 2_000_000
+HOT_BROADCAST_ROWS = 200_000
 
 KEY = ["cardid_anony", "sequencenumber", "transaction_time"]
 
@@ -89,16 +90,18 @@ class Base:
         detected = CardOrder.detect(self.taps.select("cardid_anony", "transaction_time"), self.segment_rows)
         if detected.hot.isEmpty():
             return CardOrder.plain()
-        # The hot list is small (at most rows / segment_rows); checkpoint it so
-        # every window stage reuses it instead of re-aggregating the taps.
-        return dataclasses.replace(detected, hot=materialize(detected.hot))
+        # The hot list holds at most rows / segment_rows cards; checkpoint it so
+        # every window stage reuses it instead of re-aggregating the taps, and
+        # broadcast it only if its measured size is small.
+        hot = materialize(detected.hot)
+        return dataclasses.replace(detected, hot=hot, broadcast_hot=hot.count() <= HOT_BROADCAST_ROWS)
 
 
 _BASES: dict[tuple, Base] = {}
 
 
 def base_for(spark: SparkSession, sf_dir: str, segment_rows: int | None) -> Base:
-    key = (spark.sparkContext.applicationId, sf_dir, segment_rows)
+    key = (app_key(spark), sf_dir, segment_rows)
     if key not in _BASES:
         _BASES[key] = Base(spark, sf_dir, segment_rows)
     return _BASES[key]

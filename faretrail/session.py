@@ -48,7 +48,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     Read from the session; only when it is unset (local runs and tests) a
     fresh scratch folder is created and registered.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # remote (Connect) session: the server owns the checkpoint folder
+        return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
         current = tempfile.mkdtemp(prefix="faretrail-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
@@ -57,6 +60,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or current
 
 
+def app_key(spark: SparkSession) -> str:
+    """Identity of the running application (for per-session plan caches)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:
+        return spark.conf.get("spark.app.id", str(id(spark)))
+
+
 def materialize(df):
     """Write ``df`` to the shared checkpoint folder and continue from the copy.
 
