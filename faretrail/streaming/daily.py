@@ -18,6 +18,8 @@ day partitions of the sink.
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -25,22 +27,32 @@ from pyspark.sql.streaming import StreamingQuery
 from faretrail.operators.enrich import make_human_readable
 from faretrail.operators.ordering import CardOrder
 from faretrail.operators.transfers import create_transfer_df
-from faretrail.schema import CARD
+from faretrail.schema import CARD, TIME
+from faretrail.session import materialize
 
 DAY = "service_date"
 
 
 def day_matrix(days: DataFrame, participants: DataFrame, routes: DataFrame, locations: DataFrame,
-               mins: float = 120) -> DataFrame:
-    """Operator-pair transfer matrix per service day of a multi-day tap table."""
+               mins: float = 120, segment_rows: int | None = 2_000_000) -> DataFrame:
+    """Operator-pair transfer matrix per service day of a multi-day tap table.
+
+    Windows are keyed by (card, service day); a (card, day) with more than
+    ``segment_rows`` taps is split exactly (see ``CardOrder``).
+    """
     enriched = make_human_readable(days, participants, routes, locations)
     order = CardOrder.plain(keys=(CARD, DAY))
+    if segment_rows is not None:
+        detected = CardOrder.detect(days.select(CARD, DAY, TIME), segment_rows, keys=(CARD, DAY))
+        if not detected.hot.isEmpty():
+            order = dataclasses.replace(detected, hot=materialize(detected.hot))
     return create_transfer_df(enriched, mins, order, by=(DAY,))
 
 
 def start_daily_transfer_matrix(spark: SparkSession, day_table: str, sink: str, checkpoint_location: str,
                                 participants: DataFrame, routes: DataFrame, locations: DataFrame,
-                                mins: float = 120, available_now: bool = True) -> StreamingQuery:
+                                mins: float = 120, available_now: bool = True,
+                                segment_rows: int | None = 2_000_000) -> StreamingQuery:
     """Keep ``sink`` (parquet, partitioned by service day) in step with ``day_table``."""
     schema = spark.read.parquet(day_table).schema
     changes = spark.readStream.schema(schema).parquet(day_table)
@@ -48,7 +60,7 @@ def start_daily_transfer_matrix(spark: SparkSession, day_table: str, sink: str,
     def refresh(batch: DataFrame, epoch_id: int) -> None:
         touched = batch.select(DAY).distinct()
         whole_days = spark.read.parquet(day_table).join(touched, DAY, "left_semi")
-        out = day_matrix(whole_days, participants, routes, locations, mins)
+        out = day_matrix(whole_days, participants, routes, locations, mins, segment_rows)
         (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(DAY).parquet(sink))
 

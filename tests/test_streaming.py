@@ -42,3 +42,16 @@ def test_daily_stream_matches_batch(spark):
     got = read_daily_matrix(spark, sink)
     want = want.unionByName(_batch_matrix(spark, raw, dims, "2024-01-05"))
     assert _rows(got) == _rows(want)
+
+
+def test_day_matrix_hot_split_equals_plain(spark):
+    root = tempfile.mkdtemp(prefix="faretrail-stream-")
+    table = os.path.join(root, "days")
+    raw = sources.raw_transactions(sources.read_table(spark, SF_SMALL, "events"))
+    dims = (sources.participants(spark, SF_SMALL), sources.routes(spark, SF_SMALL),
+            sources.locations(spark, SF_SMALL))
+    for day in ("2024-01-03", "2024-01-04"):
+        write_day_table(fares_for_day(raw, day), table, day)
+    days = spark.read.parquet(table)
+    from faretrail.streaming import day_matrix
+    assert _rows(day_matrix(days, *dims, segment_rows=5)) == _rows(day_matrix(days, *dims, segment_rows=None))
