@@ -43,7 +43,7 @@ def sequence_records(rides: DataFrame, order: CardOrder | None = None) -> DataFr
     )
     if order is not None and order.hot is not None:
         recs = order.segments(recs, "_on")
-    return recs.withColumnRenamed(CARD, "ClipperCardID")
+    return recs.withColumnRenamed(CARD, "CardID")
 
 
 def _joined(recs: DataFrame, group_cols: list[str]) -> DataFrame:
@@ -60,7 +60,7 @@ def _joined(recs: DataFrame, group_cols: list[str]) -> DataFrame:
 
 def extract_sequence_by_date(rides: DataFrame, order: CardOrder | None = None) -> DataFrame:
     """Cards per (circadian date, ride sequence), with the weekday name."""
-    per_card = _joined(sequence_records(rides, order), ["ClipperCardID", "CircadianDate"])
+    per_card = _joined(sequence_records(rides, order), ["CardID", "CircadianDate"])
     return per_card.groupBy("CircadianDate", "RunSequence").agg(F.count(F.lit(1)).alias("n")).select(
         "CircadianDate",
         weekday_name(F.dayofweek("CircadianDate")).alias("CircadianDayOfWeek"),
@@ -84,7 +84,7 @@ def extract_sequence_for_random_week(rides: DataFrame, order: CardOrder | None =
     to year, month name, weekday name and week for the result."""
     recs = sequence_records(rides, order)
     recs = recs.select("*", *day_id_columns("CircadianDate")).drop("CircadianDate")
-    per_card = _joined(recs, ["ClipperCardID", "DayID"])
+    per_card = _joined(recs, ["CardID", "DayID"])
     counts = per_card.groupBy("DayID", "RunSequence").agg(F.count(F.lit(1)).alias("n"))
     return counts.select(
         "DayID",

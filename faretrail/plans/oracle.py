@@ -304,7 +304,7 @@ def sequences_cte(src: str) -> str:
     on = "coalesce(tagon_time, transaction_time)"
     return f""",
 sr AS (
-  SELECT cardid_anony AS ClipperCardID, CAST({on} - INTERVAL 3 HOUR AS DATE) AS CircadianDate,
+  SELECT cardid_anony AS CardID, CAST({on} - INTERVAL 3 HOUR AS DATE) AS CircadianDate,
          {on} AS on_, sequencenumber AS seq_,
          concat_ws(' ', coalesce(CAST(hour({on}) AS VARCHAR), 'NA'), coalesce(locationname_origin, 'NA'),
                    coalesce(locationname_destination, 'NA')) AS record_
@@ -524,7 +524,7 @@ GROUP BY GROUPING SETS ((from_AgencyName, to_AgencyName, Year), (from_AgencyName
     seq_base = _with(base_e, ",", rides_cte("enriched", "rides_e"), sequences_cte("rides_e"))
     q["sequences_by_date"] = seq_base + f""",
 pc AS (
-  SELECT ClipperCardID, CircadianDate, string_agg(record_, ' ' ORDER BY on_, seq_) AS RunSequence
+  SELECT CardID, CircadianDate, string_agg(record_, ' ' ORDER BY on_, seq_) AS RunSequence
   FROM sr GROUP BY ALL
 )
 SELECT CircadianDate, {WEEKDAYS.format(c='dayofweek(CircadianDate) + 1')} AS CircadianDayOfWeek,
@@ -539,7 +539,7 @@ sd AS (
   FROM sr
 ),
 pc AS (
-  SELECT ClipperCardID, DayID, string_agg(record_, ' ' ORDER BY on_, seq_) AS RunSequence
+  SELECT CardID, DayID, string_agg(record_, ' ' ORDER BY on_, seq_) AS RunSequence
   FROM sd GROUP BY ALL
 ),
 cnt AS (SELECT DayID, RunSequence, count(*) AS n FROM pc GROUP BY ALL)
