@@ -18,8 +18,19 @@ from faretrail.schema import ADJACENT_WINDOW_MIN, FOCAL_JOURNEY_COLUMNS, FOCAL_O
 from faretrail.session import materialize
 
 
-def cards_using_operator(tr: DataFrame, operator: int = FOCAL_OPERATOR, keys=("cardid_anony",)) -> DataFrame:
-    """All taps of cards with at least one tap on ``operator`` (semi-join on the card)."""
+def cards_using_operator(tr: DataFrame, operator: int = FOCAL_OPERATOR, keys=("cardid_anony",),
+                         order: CardOrder | None = None) -> DataFrame:
+    """All taps of cards with at least one tap on ``operator``.
+
+    Plain plan: a per-card window flag (one scan, one card exchange that later
+    card windows reuse). With split hot cards a card spans several window
+    partitions, so the card list is built with a map-side distinct and
+    semi-joined instead.
+    """
+    order = resolve(order)
+    if order.hot is None:
+        used = F.max((F.col("operatorid") == operator).cast("int")).over(Window.partitionBy(*keys))
+        return tr.withColumn("_uses", used).where(F.col("_uses") == 1).drop("_uses")
     riders = tr.where(F.col("operatorid") == operator).select(*keys).distinct()
     return tr.join(riders, list(keys), "left_semi")
 
@@ -101,7 +112,7 @@ def as_focal_journeys(tr: DataFrame, focal: int = FOCAL_OPERATOR, window_min: fl
         out = order.apply(tr, build_plain, halo=0).where(F.col("_rider") == 1).drop("_rider")
     else:
         # Dependency radius: identify (1) feeding stage 1 (1) feeding stage 2 (1).
-        out = order.apply(cards_using_operator(tr, focal, order.keys), build, halo=3)
+        out = order.apply(cards_using_operator(tr, focal, order.keys, order), build, halo=3)
     out = out.where(F.col("is_focal") & F.col("locationname_destination").isNotNull())
     if not project:
         return out

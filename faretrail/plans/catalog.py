@@ -206,7 +206,7 @@ def q_focal_journeys(i: Inputs) -> DataFrame:
 
 
 def q_focal_riders(i: Inputs) -> DataFrame:
-    return cards_using_operator(i.taps).select(*KEY, "operatorid")
+    return cards_using_operator(i.taps, order=i.order).select(*KEY, "operatorid")
 
 
 def q_focal_trip_times(i: Inputs) -> DataFrame:
