@@ -2,17 +2,18 @@
 
 ``journey_id`` numbers journeys densely over the whole table in
 ``(card, time)`` order. A global running sum would force every row through
-one task, so the number is assembled from bounded pieces instead:
-
-* per card (and per hot-card segment) a running count of journey starts;
-* per card its journey total, aggregated map-side to one row per card;
-* card offsets from a two-level prefix sum: cards are bucketed by an
-  order-preserving id prefix, bucket offsets come from a prefix sum over the
-  (few thousand) bucket totals, card offsets from a prefix sum inside each
-  bucket.
-
-``num_legs`` is the row count of each (card, journey) group, aggregated and
-joined back on the same key.
+one task, so the number is assembled from bounded pieces instead.
+
+Plain plan: rows are hash-partitioned once by an order-preserving card-id
+bucket (the first characters of the id). That exchange also clusters each
+card, so the per-card lags, the running count of journey starts over the
+bucket in (card, time) order, and the legs count share it. The journey number
+is the bucket's offset (prefix sum over at most 16**prefix bucket totals,
+broadcast after a size check) plus the number inside the bucket.
+
+Hot cards (split into time segments): running counts per (card, segment),
+shifted by the card's earlier segments, and card offsets from a two-level
+prefix sum over per-card totals; legs are aggregated and joined back.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from faretrail.operators.rides import as_rides
 from faretrail.schema import CARD, JOURNEY_GAP_MIN, TIME
 from faretrail.session import materialize
 
-BUCKET_PREFIX = 3  # 16**3 buckets for hex card ids
+BUCKET_PREFIX = 4  # 16**4 buckets for hex card ids
 
 
 def _transfer_time_cols(df: DataFrame, w: WindowSpec) -> DataFrame:
@@ -45,9 +46,8 @@ def add_transfer_time(tr: DataFrame, order: CardOrder | None = None) -> DataFram
 
 def _card_offsets(starts: DataFrame, card: str) -> DataFrame:
     """Exclusive prefix sum of per-card journey totals in card order."""
-    bucket = F.coalesce(F.substring(F.col(card), 1, BUCKET_PREFIX), F.lit("￿"))
     # One row per card, used twice (bucket totals, offsets inside buckets).
-    per_card = materialize(starts.groupBy(card).agg(F.sum("_new").alias("_n")).withColumn("_bucket", bucket))
+    per_card = materialize(starts.groupBy(card).agg(F.sum("_new").alias("_n")).withColumn("_bucket", _bucket(card)))
     per_bucket = per_card.groupBy("_bucket").agg(F.sum("_n").alias("_bn"))
     # One row per bucket: the only unpartitioned window, bounded by the bucket count.
     wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,32 +58,40 @@ def _card_offsets(starts: DataFrame, card: str) -> DataFrame:
     return per_card.join(per_bucket, "_bucket").select(card, (F.col("_boff") + F.col("_coff")).alias("_card_off"))
 
 
+def _bucket(card: str, prefix: int = BUCKET_PREFIX) -> F.Column:
+    """Order-preserving bucket of a card id (its first characters; null last)."""
+    return F.coalesce(F.substring(F.col(card), 1, prefix), F.lit("\uffff"))
+
+
+def _flag_new(df: DataFrame, time: float) -> DataFrame:
+    flag = F.coalesce(F.col("transfer_time") < F.lit(time), F.lit(False))
+    return df.withColumn("is_transfer", flag).withColumn("_new", 1 - F.col("is_transfer").cast("int"))
+
+
 def add_journey_id(tr: DataFrame, time: float = JOURNEY_GAP_MIN, order: CardOrder | None = None,
-                   materialize_rows: bool = True) -> DataFrame:
+                   materialize_rows: bool = True, bucket_prefix: int = BUCKET_PREFIX) -> DataFrame:
     """Rides with ``is_transfer`` (gap strictly below ``time``), ``journey_id`` and ``num_legs``.
 
     ``materialize_rows`` checkpoints the numbered rides (one eager job) so the
-    three consumers of them share one computation.
+    rows and the offset table built from them share one computation.
+    ``bucket_prefix`` sets the number of card-id buckets (16**prefix for hex
+    ids): larger for bigger tables, so one bucket stays a modest window group.
     """
     order = resolve(order)
+    if order.hot is None and len(order.keys) == 1:
+        return _journeys_by_bucket(tr, time, order, materialize_rows, bucket_prefix)
     timed = add_transfer_time(tr, order)
     card = order.keys[0]
 
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
-        flag = F.coalesce(F.col("transfer_time") < F.lit(time), F.lit(False))
-        df = df.withColumn("is_transfer", flag).withColumn("_new", 1 - F.col("is_transfer").cast("int"))
         running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn("_local", F.sum("_new").over(running))
+        return _flag_new(df, time).withColumn("_local", F.sum("_new").over(running))
 
     if order.hot is None:
         seq = order.apply(timed, build, halo=0).withColumn("_seq", F.col("_local"))
-        # Legs per (card, journey): an unordered window on the card partitioning
-        # the rows already have, so no exchange.
         seq = seq.withColumn("num_legs", F.count(F.lit(1)).over(Window.partitionBy(*order.keys, "_seq")))
     else:
         seq = _segment_sequence(order, timed, build)
-    # The numbered rows feed two branches (rows, card offsets); write them once
-    # instead of recomputing scan, shuffle and windows per branch.
     if materialize_rows:
         seq = materialize(seq)
     if order.hot is not None:
@@ -100,6 +108,47 @@ def add_journey_id(tr: DataFrame, time: float = JOURNEY_GAP_MIN, order: CardOrde
     )
 
 
+OFFSET_BROADCAST_ROWS = 1_000_000
+
+
+def _journeys_by_bucket(tr: DataFrame, time: float, order: CardOrder, materialize_rows: bool,
+                        bucket_prefix: int = BUCKET_PREFIX) -> DataFrame:
+    """Plain plan: one exchange on an order-preserving card-id bucket.
+
+    Hash partitioning by the bucket also clusters every card, so the per-card
+    lags, the running count of journey starts over the whole bucket (in card,
+    time order) and the legs count all run on that single exchange and sort.
+    A journey's number is then the bucket's offset (prefix sum over the bucket
+    totals, at most 16**BUCKET_PREFIX rows for hex ids) plus its number inside
+    the bucket; the offset table is broadcast after its size is checked.
+    """
+    card = order.keys[0]
+    bucketed = tr.withColumn("_bucket", _bucket(card, bucket_prefix)).repartition("_bucket")
+    border = CardOrder(keys=("_bucket", card), order=order.order)
+    timed = add_transfer_time(bucketed, border)
+    # Card order nulls-first matches the sort the per-card windows already did
+    # (no second sort); null cards sit alone in the last bucket anyway.
+    in_bucket = Window.partitionBy("_bucket").orderBy(
+        F.col(card).asc_nulls_first(), *[F.col(c).asc_nulls_last() for c in order.order]
+    ).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seq = _flag_new(timed, time).withColumn("_seq", F.sum("_new").over(in_bucket))
+    seq = seq.withColumn("num_legs", F.count(F.lit(1)).over(Window.partitionBy("_bucket", card, "_seq")))
+    if materialize_rows:
+        seq = materialize(seq)
+    totals = seq.groupBy("_bucket").agg(F.sum("_new").alias("_bn"))
+    # One row per bucket: the only unpartitioned window, bounded by the bucket count.
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = materialize(totals.select("_bucket", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_boff")))
+    if offsets.count() <= OFFSET_BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    out = seq.join(offsets, "_bucket", "left")
+    return out.select(
+        *[c for c in timed.columns if c != "_bucket"], "is_transfer",
+        (F.coalesce(F.col("_boff"), F.lit(0)) + F.col("_seq")).alias("journey_id"),
+        "num_legs",
+    )
+
+
 def _segment_sequence(order: CardOrder, timed: DataFrame, build) -> DataFrame:
     """Running journey count per card when hot cards are split into segments.
 
