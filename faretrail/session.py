@@ -45,8 +45,9 @@ def get_session(master: str | None = None, app: str = "faretrail", **conf: str)
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Read from the session; only when it is unset (local runs and tests) a
-    fresh scratch folder is created and registered.
+    Read from the session. Only for a local master (tests, local runs) and
+    only when it is unset is a fresh scratch folder created; on a cluster an
+    unset folder is an error.
     """
     try:
         sc = spark.sparkContext
@@ -54,6 +55,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local"):
+            # A machine-local folder is not shared by executors: refuse instead.
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS/object store) for this cluster")
         current = tempfile.mkdtemp(prefix="faretrail-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
