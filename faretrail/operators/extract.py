@@ -143,6 +143,32 @@ def write_day_table(day: DataFrame, path: str, service_date: str, mode: str = "o
      .partitionBy("service_date").parquet(path))
 
 
+def save_day_table(day: DataFrame, table: str, path: str, service_date: str, buckets: int = 64) -> None:
+    """Persist a service day into a catalog table bucketed and sorted by card.
+
+    The table is partitioned by ``service_date`` and bucketed on
+    ``cardid_anony`` (sorted by card, time, sequence inside each bucket).
+    Reading it back, Spark knows every card sits in one bucket, so the card
+    windows of all operators run without any exchange. Re-saving a day
+    replaces only that day (dynamic partition overwrite). ``buckets`` should
+    give bucket files of a few hundred MB per day.
+    """
+    spark = day.sparkSession
+    out = day.withColumn("service_date", F.lit(service_date).cast("date"))
+    if not spark.catalog.tableExists(table):
+        (out.write.format("parquet").partitionBy("service_date").bucketBy(buckets, CARD)
+         .sortBy(CARD, TIME, SEQ).option("path", path).saveAsTable(table))
+    else:
+        cols = spark.table(table).columns
+        key = "spark.sql.sources.partitionOverwriteMode"
+        before = spark.conf.get(key)
+        spark.conf.set(key, "dynamic")   # insertInto takes the mode from the session
+        try:
+            out.select(*cols).write.insertInto(table, overwrite=True)
+        finally:
+            spark.conf.set(key, before)
+
+
 def descriptive_tables(participants: DataFrame, routes: DataFrame, locations: DataFrame) -> dict:
     """The lookup tables by name (operators, routes, locations)."""
     return {"operators": participants, "routes": routes, "locations": locations}

@@ -111,3 +111,26 @@ def test_write_transfer_database_replaces_months(spark):
                             path)
     got = sorted((r["Month"], r["estimated_transfers"]) for r in spark.read.parquet(path).collect())
     assert got == [(3, 1), (4, 9)]
+
+
+def test_bucketed_day_table_needs_no_exchange(spark):
+    from faretrail import sources
+    from faretrail.operators import as_rides, save_day_table
+
+    raw = sources.raw_transactions(sources.read_table(spark, "/root/testdata/sf0.001", "events"))
+    path = os.path.join(tempfile.mkdtemp(prefix="faretrail-bucketed-"), "days")
+    table = "faretrail_days_test"
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    for day in ("2024-01-03", "2024-01-04", "2024-01-04"):   # the repeat replaces the day
+        save_day_table(fares_for_day(raw, day), table, path, day, buckets=4)
+    days = spark.table(table)
+    assert days.count() == fares_for_day(raw, "2024-01-03").count() + fares_for_day(raw, "2024-01-04").count()
+    rides = as_rides(days)
+    plan = rides._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert "SelectedBucketsCount" in plan or "Bucketed: true" in plan
+    cols = ["cardid_anony", "sequencenumber", "tagon_time", "trip_cost"]
+    want = as_rides(fares_for_day(raw, "2024-01-03").unionByName(fares_for_day(raw, "2024-01-04")))
+    key = lambda r: (r[0], r[1])
+    assert sorted(map(tuple, rides.select(*cols).collect()), key=key) == sorted(
+        map(tuple, want.select(*cols).collect()), key=key)
