@@ -69,18 +69,21 @@ def _flag_new(df: DataFrame, time: float) -> DataFrame:
 
 
 def add_journey_id(tr: DataFrame, time: float = JOURNEY_GAP_MIN, order: CardOrder | None = None,
-                   materialize_rows: bool = True, bucket_prefix: int = BUCKET_PREFIX) -> DataFrame:
+                   materialize_rows: bool = True, bucket_prefix: int = BUCKET_PREFIX,
+                   keep: list[str] | None = None) -> DataFrame:
     """Rides with ``is_transfer`` (gap strictly below ``time``), ``journey_id`` and ``num_legs``.
 
     ``materialize_rows`` checkpoints the numbered rides (one eager job) so the
     rows and the offset table built from them share one computation.
     ``bucket_prefix`` sets the number of card-id buckets (16**prefix for hex
     ids): larger for bigger tables, so one bucket stays a modest window group.
+    ``keep`` limits the ride columns carried through (column pruning cannot
+    pass a checkpoint, so only these are written); default: all.
     """
     order = resolve(order)
     if order.hot is None and len(order.keys) == 1:
-        return _journeys_by_bucket(tr, time, order, materialize_rows, bucket_prefix)
-    timed = add_transfer_time(tr, order)
+        return _journeys_by_bucket(tr, time, order, materialize_rows, bucket_prefix, keep)
+    timed = _keep(add_transfer_time(tr, order), keep, order)
     card = order.keys[0]
 
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
@@ -111,8 +114,15 @@ def add_journey_id(tr: DataFrame, time: float = JOURNEY_GAP_MIN, order: CardOrde
 OFFSET_BROADCAST_ROWS = 1_000_000
 
 
+def _keep(timed: DataFrame, keep: list[str] | None, order: CardOrder, extra=()) -> DataFrame:
+    if keep is None:
+        return timed
+    need = [*order.keys, *order.order, "transfer_time", *extra]
+    return timed.select(*dict.fromkeys([*need, *keep]))
+
+
 def _journeys_by_bucket(tr: DataFrame, time: float, order: CardOrder, materialize_rows: bool,
-                        bucket_prefix: int = BUCKET_PREFIX) -> DataFrame:
+                        bucket_prefix: int = BUCKET_PREFIX, keep: list[str] | None = None) -> DataFrame:
     """Plain plan: one exchange on an order-preserving card-id bucket.
 
     Hash partitioning by the bucket also clusters every card, so the per-card
@@ -125,7 +135,7 @@ def _journeys_by_bucket(tr: DataFrame, time: float, order: CardOrder, materializ
     card = order.keys[0]
     bucketed = tr.withColumn("_bucket", _bucket(card, bucket_prefix)).repartition("_bucket")
     border = CardOrder(keys=("_bucket", card), order=order.order)
-    timed = add_transfer_time(bucketed, border)
+    timed = _keep(add_transfer_time(bucketed, border), keep, order, extra=("_bucket",))
     # Card order nulls-first matches the sort the per-card windows already did
     # (no second sort); null cards sit alone in the last bucket anyway.
     in_bucket = Window.partitionBy("_bucket").orderBy(

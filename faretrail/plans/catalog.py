@@ -177,7 +177,7 @@ def q_transfer_time(i: Inputs) -> DataFrame:
 
 
 def q_journeys(i: Inputs) -> DataFrame:
-    return add_journey_id(i.enriched, JOURNEY_GAP, i.order).select(
+    return add_journey_id(i.enriched, JOURNEY_GAP, i.order, keep=KEY).select(
         *KEY, "transfer_time", "is_transfer", "journey_id", "num_legs")
 
 
