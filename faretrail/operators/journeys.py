@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from faretrail.functions.scalars import minutes_between
 from faretrail.operators.ordering import SEGMENT, CardOrder, resolve
 from faretrail.operators.rides import as_rides
-from faretrail.schema import CARD, JOURNEY_GAP_MIN, TIME
+from faretrail.schema import JOURNEY_GAP_MIN, TIME
 from faretrail.session import materialize
 
 BUCKET_PREFIX = 4  # 16**4 buckets for hex card ids

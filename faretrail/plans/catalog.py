@@ -13,7 +13,6 @@ from functools import cached_property
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from faretrail import sources as src
 from faretrail.functions.timecols import nicetime, spread_time_column
