@@ -51,40 +51,76 @@ def focal_identify(tr: DataFrame, focal: int = FOCAL_OPERATOR, order: CardOrder
     return resolve(order).apply(tr, lambda d, w: _identify_cols(d, w, focal), halo=1)
 
 
-def _metadata_cols(df: DataFrame, w: WindowSpec, window_min: float) -> DataFrame:
-    # Stage 1: gaps and the neighbouring operator/route where a connection fits.
-    df = (
-        df.withColumn("timediff", F.abs(minutes_between(F.lag(TIME).over(w), TIME)))
-        .withColumn("time_of_previous", F.lag(TIME).over(w))
-        .withColumn("transfer_from_time", round2("timediff"))
-        .withColumn("transfer_to_operator_time", round2(F.lead("timediff").over(w)))
-        .withColumn("transfer_to_not_focal",
-                    F.col("exit_to_not_focal") & (F.col("transfer_to_operator_time") < window_min))
-        .withColumn("transfer_from_not_focal",
-                    F.col("entrance_from_not_focal") & (F.col("transfer_from_time") < window_min))
-        .withColumn("transfer_from_operator", F.when(F.col("transfer_from_not_focal"), F.lag("participantname").over(w)))
-        .withColumn("transfer_to_operator", F.when(F.col("transfer_to_not_focal"), F.lead("participantname").over(w)))
-        .withColumn("transfer_from_route", F.when(F.col("transfer_from_not_focal"), F.lag("routename").over(w)))
-        .withColumn("transfer_to_route", F.when(F.col("transfer_to_not_focal"), F.lead("routename").over(w)))
-    )
-    # Stage 2: move the tag-on side's connection onto the tag-off row.
-    from_focal = F.col("from_focal")
-    return df.select(
-        *[c for c in df.columns if c not in ("transfer_from_operator", "transfer_from_route")],
-        F.when(from_focal, F.lag("transfer_from_operator").over(w)).alias("transfer_from_operator"),
-        F.when(from_focal, F.lag("transfer_from_route").over(w)).alias("transfer_from_route"),
-        F.when(from_focal, F.lag("transfer_from_time").over(w)).alias("transfer_from_operator_time"),
+def _neighbours(df: DataFrame, w: WindowSpec) -> DataFrame:
+    """One window pass: the previous two and the next tap's time, operator,
+    operator name and route. Every focal column below is a row expression
+    over these, so the whole family costs a single Window operator."""
+    cols = {TIME: "t", "operatorid": "op", "participantname": "name", "routename": "route"}
+    shifted = []
+    for src, short in cols.items():
+        shifted += [F.lag(src, 1).over(w).alias(f"_{short}_p1"), F.lag(src, 2).over(w).alias(f"_{short}_p2"),
+                    F.lead(src, 1).over(w).alias(f"_{short}_n1")]
+    return df.select("*", *shifted)
+
+
+def _metadata_cols(df: DataFrame, w: WindowSpec, window_min: float, focal: int = FOCAL_OPERATOR,
+                   identify: bool = False) -> DataFrame:
+    """Connection columns of the focal family (and the flags when ``identify``).
+
+    Stage 1 (per row): gap to the previous tap, the rounded gaps on both
+    sides, and the neighbouring operator/route where a connection fits.
+    Stage 2: a row whose previous tap was focal takes the previous row's
+    stage-1 "from" connection (moving tag-on context to the tag-off row).
+    Both stages are written directly on the neighbours of one window pass;
+    the previous row's stage-1 values are the same expressions shifted by one.
+    """
+    c = F.col
+    d = _neighbours(df, w)
+    op, t = c("operatorid"), c(TIME)
+    is_f = op == focal
+    from_f, to_f = c("_op_p1") == focal, c("_op_n1") == focal
+    exit_nf = is_f & from_f & ~to_f
+    entr_nf = is_f & to_f & ~from_f
+    timediff = F.abs(minutes_between(c("_t_p1"), t))
+    from_time = round2(timediff)
+    to_time = round2(F.abs(minutes_between(t, c("_t_n1"))))          # next row's gap
+    to_nf = exit_nf & (to_time < window_min)
+    from_nf = entr_nf & (from_time < window_min)
+    # The previous row's stage-1 "from" values (its next row is this row).
+    prev_is_f, prev_from_f = c("_op_p1") == focal, c("_op_p2") == focal
+    prev_entr_nf = prev_is_f & is_f & ~prev_from_f
+    prev_from_time = round2(F.abs(minutes_between(c("_t_p2"), c("_t_p1"))))
+    prev_from_nf = prev_entr_nf & (prev_from_time < window_min)
+    flags = [
+        is_f.alias("is_focal"), from_f.alias("from_focal"), to_f.alias("to_focal"),
+        exit_nf.alias("exit_to_not_focal"), entr_nf.alias("entrance_from_not_focal"),
+    ] if identify else []
+    out = d.select(
+        *df.columns, *flags,
+        timediff.alias("timediff"),
+        c("_t_p1").alias("time_of_previous"),
+        from_time.alias("transfer_from_time"),
+        to_time.alias("transfer_to_operator_time"),
+        to_nf.alias("transfer_to_not_focal"),
+        from_nf.alias("transfer_from_not_focal"),
+        F.when(to_nf, c("_name_n1")).alias("transfer_to_operator"),
+        F.when(to_nf, c("_route_n1")).alias("transfer_to_route"),
+        F.when(from_f, F.when(prev_from_nf, c("_name_p2"))).alias("transfer_from_operator"),
+        F.when(from_f, F.when(prev_from_nf, c("_route_p2"))).alias("transfer_from_route"),
+        F.when(from_f, prev_from_time).alias("transfer_from_operator_time"),
     )
+    return out
 
 
 def focal_lag_and_lead_metadata(tr: DataFrame, window_min: float = ADJACENT_WINDOW_MIN,
-                                order: CardOrder | None = None) -> DataFrame:
+                                order: CardOrder | None = None, focal: int = FOCAL_OPERATOR) -> DataFrame:
     """Gap, previous-tap time and connecting operator/route on both sides.
 
-    Expects :func:`focal_identify` columns. Thresholds act on the rounded
-    gap; ``transfer_from_operator_time`` is masked by ``from_focal`` only.
+    Meant for :func:`focal_identify` output (same ``focal``). Thresholds act
+    on the rounded gap; ``transfer_from_operator_time`` is masked by
+    ``from_focal`` only.
     """
-    return resolve(order).apply(tr, lambda d, w: _metadata_cols(d, w, window_min), halo=2)
+    return resolve(order).apply(tr, lambda d, w: _metadata_cols(d, w, window_min, focal), halo=2)
 
 
 def as_focal_journeys(tr: DataFrame, focal: int = FOCAL_OPERATOR, window_min: float = ADJACENT_WINDOW_MIN,
@@ -100,7 +136,7 @@ def as_focal_journeys(tr: DataFrame, focal: int = FOCAL_OPERATOR, window_min: fl
     order = resolve(order)
 
     def build(d: DataFrame, w: WindowSpec) -> DataFrame:
-        return _metadata_cols(_identify_cols(d, w, focal), w, window_min)
+        return _metadata_cols(d, w, window_min, focal, identify=True)
 
     if order.hot is None:
         whole = order.window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -111,8 +147,8 @@ def as_focal_journeys(tr: DataFrame, focal: int = FOCAL_OPERATOR, window_min: fl
 
         out = order.apply(tr, build_plain, halo=0).where(F.col("_rider") == 1).drop("_rider")
     else:
-        # Dependency radius: identify (1) feeding stage 1 (1) feeding stage 2 (1).
-        out = order.apply(cards_using_operator(tr, focal, order.keys, order), build, halo=3)
+        # Dependency radius: two taps back, one ahead.
+        out = order.apply(cards_using_operator(tr, focal, order.keys, order), build, halo=2)
     out = out.where(F.col("is_focal") & F.col("locationname_destination").isNotNull())
     if not project:
         return out
