@@ -168,16 +168,20 @@ def focal_to_focal(tr: DataFrame, focal: int = FOCAL_OPERATOR, window_min: float
     kept = marked.where(F.col("is_focal") & F.col("from_focal") & (F.col("subtype") == FOCAL_TAG_OFF))
 
     def build(d: DataFrame, w: WindowSpec) -> DataFrame:
-        d = (
-            d.withColumn("first_trip", F.lead(TIME).over(w).isNotNull())
-            .withColumn("second_trip", F.lag(TIME).over(w).isNotNull())
-            .withColumn("timediff", F.abs(minutes_between(F.lag(TIME).over(w), TIME)))
-            .withColumn("time_of_previous", F.lag(TIME).over(w))
+        # One window pass; the next row's gap is |t(next) - t|, its own gap |t - t(prev)|.
+        d = d.select("*", F.lag(TIME).over(w).alias("_t_p1"), F.lead(TIME).over(w).alias("_t_n1"))
+        timediff = F.abs(minutes_between("_t_p1", TIME))
+        next_gap = F.abs(minutes_between(TIME, "_t_n1"))
+        return d.select(
+            *[c for c in d.columns if c not in ("_t_p1", "_t_n1")],
+            F.col("_t_n1").isNotNull().alias("first_trip"),
+            F.col("_t_p1").isNotNull().alias("second_trip"),
+            timediff.alias("timediff"),
+            F.col("_t_p1").alias("time_of_previous"),
+            F.coalesce((next_gap < window_min) | (timediff < window_min), F.lit(False)).alias("_near"),
         )
-        near = (F.lead("timediff").over(w) < window_min) | (F.col("timediff") < window_min)
-        return d.withColumn("_near", F.coalesce(near, F.lit(False)))
 
-    out = order.apply(kept, build, halo=2)
+    out = order.apply(kept, build, halo=1)
     return out.where((F.col("first_trip") | F.col("second_trip")) & F.col("_near")).drop("_near")
 
 
