@@ -167,7 +167,8 @@ def _segment_sequence(order: CardOrder, timed: DataFrame, build) -> DataFrame:
     per hot-card segment, bounded by the hot list).
     """
     tagged = order._segmented(timed)
-    local = build(tagged, order.window())
+    # The counted rows feed the segment totals and the rows themselves.
+    local = materialize(build(tagged, order.window()))
     hot_segs = (
         local.where(F.col("_hot_n").isNotNull())
         .groupBy(*order.keys, SEGMENT).agg(F.sum("_new").alias("_sn"))

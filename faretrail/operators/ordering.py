@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from faretrail.schema import CARD, SEQ, TIME
+from faretrail.session import write_stage
 
 SEGMENT = "_segment"
 HALO = "_halo"
@@ -107,7 +108,16 @@ class CardOrder:
             return build(df, self.window())
         cols = df.columns
         tagged = self._segmented(df)
-        both = tagged.unionByName(self._halo_rows(tagged, halo)) if halo > 0 else tagged
+        if halo > 0:
+            # Rows and halo edges both read the stage input: write it once so
+            # stacked stages do not recompute their upstream per branch, and
+            # read it back as two independent relations.
+            spark = df.sparkSession
+            path = write_stage(tagged)
+            tagged = spark.read.parquet(path)
+            both = tagged.unionByName(self._halo_rows(spark.read.parquet(path), halo))
+        else:
+            both = tagged
         out = build(both, self.window())
         helpers = (SEGMENT, HALO, _HOT_N)
         return out.where(~F.col(HALO)).select(

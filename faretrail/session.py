@@ -84,3 +84,20 @@ def materialize(df):
     """
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def write_stage(df) -> str:
+    """Write ``df`` as Parquet under the shared checkpoint folder; return the path.
+
+    For intermediates read by several branches of one plan: each branch reads
+    the files independently (columnar, so each reads only its columns), and
+    the copy survives executor loss.
+    """
+    import uuid
+
+    base = checkpoint_dir(df.sparkSession)
+    if base is None:
+        raise RuntimeError("spark.checkpoint.dir is not set")
+    path = base.rstrip("/") + f"/faretrail-stage-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return path
