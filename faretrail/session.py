@@ -78,12 +78,12 @@ def materialize(df):
     """Write ``df`` to the shared checkpoint folder and continue from the copy.
 
     Used where one intermediate result feeds several branches of a plan: the
-    branches read the checkpoint instead of recomputing the scan, shuffle and
-    windows each. The copy lives in ``spark.checkpoint.dir`` (shared storage on
-    a cluster), so it survives executor loss and cuts the lineage.
+    branches read the copy instead of recomputing the scan, shuffle and
+    windows each. The copy is Parquet under ``spark.checkpoint.dir`` (shared
+    storage on a cluster): it survives executor loss, cuts the lineage, and
+    each branch reads only the columns it uses.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.sparkSession.read.parquet(write_stage(df))
 
 
 def write_stage(df) -> str:
