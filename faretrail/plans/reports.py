@@ -10,12 +10,11 @@ hundred values whatever the tap volume.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faretrail.functions.scalars import month_label, weekday_name
 from faretrail.operators.sequences import circadian_date, day_id_columns
-from faretrail.session import materialize
 
 DAY_KEYS = ["Year", "Month", "CircadianDayOfWeek", "RandomWeekID"]
 
@@ -66,41 +65,55 @@ def with_circadian_day(rides: DataFrame, ts: str = "transaction_time") -> DataFr
     return rides.select("*", *day_id_columns(circadian_date(ts)))
 
 
-def transfer_database(classified: DataFrame, sampling_rate: float = 0.5,
-                      materialize_pairs: bool = True) -> DataFrame:
+def transfer_database(classified: DataFrame, sampling_rate: float = 0.5) -> DataFrame:
     """Per (day, from agency, to agency): sampled and estimated transfers and the
     two agencies' sampled and estimated ride counts.
 
     ``classified`` is the output of ``classify_rule_transfers``. Pairs with no
-    transfer are not emitted. Estimates are sampled counts divided by the
-    sampling rate, rounded to whole rides.
+    transfer are not emitted, nor pairs whose from- or to-agency has no ride
+    that day. Estimates are sampled counts divided by the sampling rate,
+    rounded to whole rides.
+
+    One pass over the rides: a grouping-sets aggregate yields both the agency
+    rows (rides per day and agency) and the pair rows (rides and transfers per
+    day, previous agency and agency). Two windows over that small result
+    attach the to-agency total (partition by the agency) and the from-agency
+    total (partition by the previous agency) to each pair row.
     """
     days = with_circadian_day(classified).drop("DayID")
-    # One pass over the rides: per (day, previous agency, agency) the ride and
-    # transfer counts. The result is small (days x agency pairs) and feeds
-    # three joins, so it is checkpointed once.
-    pairs = days.groupBy(*DAY_KEYS, "previous_participant", "participantname").agg(
+    agency_set = [*DAY_KEYS, "participantname"]
+    pair_set = [*DAY_KEYS, "previous_participant", "participantname"]
+    counts = days.groupingSets([agency_set, pair_set], *pair_set).agg(
+        F.grouping("previous_participant").alias("_agency_row"),
         F.count(F.lit(1)).alias("_rides"),
         F.count(F.when(F.col("is_rule_transfer"), F.lit(1))).alias("_transfers"),
     )
-    if materialize_pairs:
-        pairs = materialize(pairs)
-    transfers = pairs.where(F.col("_transfers") > 0).select(
-        *DAY_KEYS, F.col("previous_participant").alias("from_AgencyName"),
-        F.col("participantname").alias("to_AgencyName"), F.col("_transfers").alias("sampled_transfers"))
-    agency = pairs.groupBy(*DAY_KEYS, "participantname").agg(F.sum("_rides").alias("_rides"))
-    frm = agency.select(*DAY_KEYS, F.col("participantname").alias("from_AgencyName"),
-                        F.col("_rides").alias("from_Agency_Sampled_Transactions"))
-    to = agency.select(*DAY_KEYS, F.col("participantname").alias("to_AgencyName"),
-                       F.col("_rides").alias("to_Agency_Sampled_Transactions"))
-    out = transfers.join(frm, [*DAY_KEYS, "from_AgencyName"]).join(to, [*DAY_KEYS, "to_AgencyName"])
+    is_agency = F.col("_agency_row") == 1
+    agency_rides = F.sum(F.when(is_agency, F.col("_rides")))
+    from_key = F.when(is_agency, F.col("participantname")).otherwise(F.col("previous_participant"))
+    counts = counts.withColumn("_from_key", from_key)
+    with_totals = counts.select(
+        "*",
+        agency_rides.over(Window.partitionBy(*DAY_KEYS, "participantname")).alias("_to_rides"),
+        agency_rides.over(Window.partitionBy(*DAY_KEYS, "_from_key")).alias("_from_rides"),
+    )
+    pairs = with_totals.where(
+        ~is_agency & (F.col("_transfers") > 0)
+        & F.col("_to_rides").isNotNull() & F.col("_from_rides").isNotNull()
+    )
 
     def est(c):
         return F.round(F.col(c) / F.lit(float(sampling_rate))).cast("long")
 
-    return out.select(
-        *DAY_KEYS, "to_AgencyName", "from_AgencyName", "sampled_transfers",
-        "from_Agency_Sampled_Transactions", "to_Agency_Sampled_Transactions",
+    return pairs.select(
+        *DAY_KEYS,
+        F.col("participantname").alias("to_AgencyName"),
+        F.col("previous_participant").alias("from_AgencyName"),
+        F.col("_transfers").alias("sampled_transfers"),
+        F.col("_from_rides").alias("from_Agency_Sampled_Transactions"),
+        F.col("_to_rides").alias("to_Agency_Sampled_Transactions"),
+    ).select(
+        "*",
         est("sampled_transfers").alias("estimated_transfers"),
         est("from_Agency_Sampled_Transactions").alias("estimated_from_agency_transactions"),
         est("to_Agency_Sampled_Transactions").alias("estimated_to_agency_transactions"),
