@@ -52,8 +52,10 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_session("local[8]", "faretrail-plans")
     out = ["# Physical plans of the registered queries", "",
-           f"Generated by `tools/plan_summary.py` on `{sf_dir}` (AQE initial plans; "
-           "`checkpoint read` = scan of a checkpointed intermediate).", "",
+           f"Generated by `tools/plan_summary.py` on `{sf_dir}` (AQE initial plans). "
+           "Queries that write an intermediate (e.g. `journeys`, whose numbering job runs "
+           "when the DataFrame is built) show only the plan after it: a scan of the stage "
+           "files in the checkpoint folder (not listed under parquet scans).", "",
            "| query | operators | parquet scans (columns read) |", "| --- | --- | --- |"]
     for name in catalog.QUERIES:
         df = catalog.run(name, spark, sf_dir)
