@@ -134,3 +134,19 @@ def test_bucketed_day_table_needs_no_exchange(spark):
     key = lambda r: (r[0], r[1])
     assert sorted(map(tuple, rides.select(*cols).collect()), key=key) == sorted(
         map(tuple, want.select(*cols).collect()), key=key)
+
+
+def test_product_description_columns(spark):
+    from faretrail import sources
+    from faretrail.operators import descriptive_tables, get_product_description
+
+    taps = sources.taps(spark, "/root/testdata/sf0.001")
+    cmap, prods = (sources.contract_product_map(spark, "/root/testdata/sf0.001"),
+                   sources.products(spark, "/root/testdata/sf0.001"))
+    plain = get_product_description(taps, cmap, prods)
+    kept = get_product_description(taps, cmap, prods, keep_category=True)
+    assert "productcategory" not in plain.columns and "productcategory" in kept.columns
+    assert plain.count() == taps.count()                       # unique product keys: no fan-out
+    assert plain.where("operatorid = 7").where("product_description is not null").count() == 0
+    tables = descriptive_tables(*[spark.range(1)] * 3)
+    assert set(tables) == {"operators", "routes", "locations"}
