@@ -48,3 +48,10 @@ def test_no_single_partition_over_rows(spark):
     for m in re.finditer(r"Exchange SinglePartition", plan):
         tail = plan[m.end():m.end() + 400]
         assert "_bucket" in tail
+
+
+def test_lookup_broadcasts_are_reused(spark):
+    df = catalog.run("transfer_matrix", spark, SF)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString()   # AQE final plan
+    assert final.count("ReusedExchange") >= 2                     # participants and locations built once
