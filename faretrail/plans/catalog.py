@@ -87,12 +87,13 @@ class Base:
         if self.segment_rows is None:
             return CardOrder.plain()
         detected = CardOrder.detect(self.taps.select("cardid_anony", "transaction_time"), self.segment_rows)
-        if detected.hot.isEmpty():
-            return CardOrder.plain()
-        # The hot list holds at most rows / segment_rows cards; checkpoint it so
-        # every window stage reuses it instead of re-aggregating the taps, and
-        # broadcast it only if its measured size is small.
+        # One aggregate pass over (card, time); the result holds at most
+        # rows / segment_rows cards and is written once, so the emptiness test
+        # and every later window stage read the copy instead of re-aggregating.
         hot = materialize(detected.hot)
+        if hot.isEmpty():
+            return CardOrder.plain()
+        # Broadcast the hot list only if its measured size is small.
         return dataclasses.replace(detected, hot=hot, broadcast_hot=hot.count() <= HOT_BROADCAST_ROWS)
 
 

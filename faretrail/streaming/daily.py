@@ -44,8 +44,9 @@ def day_matrix(days: DataFrame, participants: DataFrame, routes: DataFrame, loca
     order = CardOrder.plain(keys=(CARD, DAY))
     if segment_rows is not None:
         detected = CardOrder.detect(days.select(CARD, DAY, TIME), segment_rows, keys=(CARD, DAY))
-        if not detected.hot.isEmpty():
-            order = dataclasses.replace(detected, hot=materialize(detected.hot))
+        hot = materialize(detected.hot)   # one aggregate pass, then tests and reuse read the copy
+        if not hot.isEmpty():
+            order = dataclasses.replace(detected, hot=hot)
     return create_transfer_df(enriched, mins, order, by=(DAY,))
 
 
