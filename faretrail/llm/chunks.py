@@ -20,8 +20,8 @@ CHUNK = re.compile(r"\s*\S+|\s+")
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: Characters of text that are cut into chunks at a time.
 PIECE = 1 << 20
-#: Entries after which the cache starts afresh; results do not depend on it.
-KEPT = 1_500_000
+#: Entries after which the cache turns into the old one, which the next turn drops; results do not depend on it.
+KEPT = 300_000
 TOGETHER = 32
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -59,6 +59,7 @@ class ChunkEncoder:
         size = max([self.tokenizer.get_vocab_size(with_added_tokens=True) - 1, *added.values()])
         self.dtype = np.dtype("<u2") if size < 1 << 16 else np.dtype("<u4")
         self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -115,11 +116,13 @@ class ChunkEncoder:
         kept = self.kept
         unknown = [c for c in dict.fromkeys(chunks) if c not in kept]
         if unknown:
-            if len(kept) + len(unknown) > KEPT:
-                kept.clear()
-                unknown = list(dict.fromkeys(chunks))
-            self._learn(unknown)
-        return [kept[c] for c in chunks]
+            old = self.old
+            kept.update({c: old[c] for c in unknown if c in old})
+            self._learn([c for c in unknown if c not in kept])
+        out = [kept[c] for c in chunks]
+        if len(kept) > KEPT:
+            self.kept, self.old = {}, kept
+        return out
 
     def _encoded(self, group: list[list[list]]) -> Iterator[bytes]:
         flat = [c for parts in group for p in parts for c in p if isinstance(c, str)]
