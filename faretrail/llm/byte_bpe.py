@@ -29,7 +29,7 @@ WORDS = 40_000
 #: Longer words (in bytes) take one contraction after another from a heap, as a recursion over them would not end soon.
 LONG_WORD = 200
 #: Entries after which the cache turns into the old one, which the next turn drops; results do not depend on it.
-KEPT = 250_000
+KEPT = 500_000
 
 ENCODE = """
 WITH RECURSIVE step(word, pos, token, turn) AS (
