@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faretrail.llm import byte_bpe, decontaminate, token_counts, token_files
+from faretrail.llm import byte_bpe, decontaminate, perplexity, token_counts, token_files
 from faretrail.llm.common import scratch_path, table
 
 
@@ -19,6 +19,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = perplexity.quality(docs, keep_text=False)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -39,6 +45,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontaminate": op2_decontaminate,
+    "op5_perplexity": op5_perplexity,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
