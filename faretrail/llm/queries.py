@@ -8,10 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faretrail.llm import byte_bpe, decontaminate, perplexity, token_counts, token_files
+from faretrail.llm import byte_bpe, decontaminate, perplexity, secrets, token_counts, token_files
 from faretrail.llm.common import scratch_path, table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [r.kind for r in secrets.BASE]
+    counts = [F.expr(f"bigint(size(filter(secrets, s -> s.kind = '{k}')))").alias(f"n_{k}") for k in base]
+    of_base = F.filter("secrets", lambda s: s["kind"].isin(base))
+    return out.select("doc_id", *counts, F.sha2(secrets.written(of_base).cast("binary"), 256).alias("base_sha256"),
+                      secrets.written(F.col("secrets")).alias("spans"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -44,6 +53,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_decontaminate": op2_decontaminate,
     "op5_perplexity": op5_perplexity,
     "op7_byte_bpe": op7_byte_bpe,
