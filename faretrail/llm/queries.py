@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faretrail.llm import byte_bpe, decontaminate, perplexity, secrets, token_counts, token_files
+from faretrail.llm import byte_bpe, decontaminate, perplexity, reshard, secrets, token_counts, token_files, warc
 from faretrail.llm.common import scratch_path, table
 
 
@@ -28,6 +28,21 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).drop("payload")
+
+
+def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 32 hash shards to 40 of equal bytes."""
+    path, moved = scratch_path(spark, "shards"), scratch_path(spark, "moved")
+    reshard.write_layout(table(spark, sf_dir, "documents"), path, 32)
+    shards = reshard.reshard(spark, path, moved, 40).shards
+    return shards.select("doc_id", "size", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+                         F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = perplexity.quality(docs, keep_text=False)
@@ -55,6 +70,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_decontaminate": op2_decontaminate,
+    "op3_warc": op3_warc,
+    "op4_reshard": op4_reshard,
     "op5_perplexity": op5_perplexity,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_token_counts": op8_token_counts,
