@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faretrail.llm import byte_bpe, decontaminate, jaccard, perplexity, reshard, secrets, token_counts, token_files, warc
+from faretrail.llm import byte_bpe, decontaminate, jaccard, paragraphs, perplexity, reshard, secrets, token_counts, token_files, warc
 from faretrail.llm.common import scratch_path, table
 
 
@@ -49,6 +49,10 @@ def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity")
 
 
+def op6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_reshard": op4_reshard,
     "op5_perplexity": op5_perplexity,
+    "op6_paragraphs": op6_paragraphs,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
