@@ -187,18 +187,18 @@ def line_clusters(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for every document that holds a repeated paragraph or piece; others have none.
+    """A row for every document that holds a paragraph or piece repeated in another document; others have none.
 
     ``keep_doc_ids``: the documents whose copies stay, for each of its clusters
     (itself where its own copy stays); ``n_repeated``: its occurrences;
     ``removals``: merged spans to remove (code points, end exclusive). Rows with
     a null id or text are left out; repeated rows of one id count as one
-    document that holds its paragraphs twice; an empty table gives no rows.
+    document; an empty table gives no rows.
     """
     on_workers(docs.sparkSession)
     units = staged(_units(docs, doc, text))
     units = units.join(line_clusters(docs, text), "print", "left").withColumn("cluster", F.coalesce("cluster", "print"))
-    first = units.groupBy("line", "cluster").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("times")).where("times > 1")
+    first = units.groupBy("line", "cluster").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("other")).where("first.doc_id != other")
     found = units.join(first, ["line", "cluster"]).select("doc_id", "start", "end", F.col("first.doc_id").alias("keep"),
                                                          F.expr("first.doc_id != doc_id OR first.start != start").alias("goes"))
     # several pieces of one passage and its copies are one row a document
