@@ -182,8 +182,15 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _fits(n: str, m: str) -> str:
-    return f"100 * least({n}, {m}) >= 75 * greatest({n}, {m})"
+def _fits(a: str, b: str) -> str:
+    """Can entries a and b be the first common element of a link?
+
+    Their sizes must fit, and as no common element stands before the first one,
+    enough must be left from both positions on: a link takes 3/7 of both sizes.
+    """
+    x, y = ({k: name.format(k) for k in ("n", "at")} for name in (a, b))
+    left = f"least({x['n']} - {x['at']}, {y['n']} - {y['at']})"
+    return f"100 * least({x['n']}, {y['n']}) >= 75 * greatest({x['n']}, {y['n']}) AND 7 * {left} >= 3 * ({x['n']} + {y['n']})"
 
 
 def _labelled(index: DataFrame, edges: DataFrame) -> DataFrame:
@@ -193,9 +200,9 @@ def _labelled(index: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _star(index: DataFrame) -> DataFrame:
     """For each set one pair: with the most central set of its lists that is of another component and of a fitting size."""
-    best = index.groupBy("token").agg(F.max(F.struct("central", "print", "n", "component")).alias("r"), F.min("component").alias("low"), F.max("component").alias("high"))
+    best = index.groupBy("token").agg(F.max(F.struct("central", "print", "n", "at", "component")).alias("r"), F.min("component").alias("low"), F.max("component").alias("high"))
     best = best.where("low != high").select("token", "r")
-    met = index.join(best, "token").where(f"component != r.component AND {_fits('n', 'r.n')}")
+    met = index.join(best, "token").where(f"component != r.component AND {_fits('{}', 'r.{}')}")
     # central first, then by how many lists they meet in
     met = met.groupBy("print", F.col("r.print").alias("other")).agg(F.count("*").alias("lists"), F.max("r.central").alias("central"))
     return met.groupBy(F.col("print").alias("a")).agg(F.max_by("other", F.struct("lists", "central", "other")).alias("b"))
@@ -212,9 +219,7 @@ def _across(index: DataFrame) -> DataFrame:
     cols = ("print", "n", "at", "component")
     left = rows.select("token", "block", *cols)
     right = rows.withColumn("block", F.explode(F.array("block", F.col("block") - 1, F.col("block") + 1))).select("token", "block", *[F.col(c).alias(f"{c}_") for c in cols])
-    met = left.join(right, ["token", "block"]).where(f"component < component_ AND {_fits('n', 'n_')}")
-    # common elements: at most those before both positions and those from them on; a link takes 3/7 of both sizes
-    met = met.where("7 * (least(at, at_) + least(n - at, n_ - at_)) >= 3 * (n + n_)")
+    met = left.join(right, ["token", "block"]).where(f"component < component_ AND {_fits('{}', '{}_')}")
     return met.select(F.col("print").alias("a"), F.col("print_").alias("b"))
 
 
@@ -238,8 +243,8 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     kept = rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(
         _survivors, "print long, n long, central long, tokens binary, prefix array<long>, skipped int")
     kept = staged(kept.dropDuplicates(["print"]))
-    index = kept.select("print", "n", "central", F.col("print").alias("component"), "skipped", F.posexplode("prefix").alias("at", "token"))
-    index = index.withColumn("at", F.col("at") + F.col("skipped")).drop("skipped")
+    index = kept.select("print", "n", "central", F.col("print").alias("component"), F.col("skipped").alias("alone"), F.posexplode("prefix").alias("at", "token"))
+    index = index.withColumn("at", F.col("at") + F.col("alone")).drop("alone")
     # a list of one set has nothing to say
     several = index.groupBy("token").agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low != high").select("token")
     index = staged(index.join(several, "token"))

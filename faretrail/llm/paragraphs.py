@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faretrail.llm import jaccard
@@ -156,7 +156,7 @@ def _collisions(table: pa.Table) -> pa.Table:
 
 
 def _sets_of(docs: DataFrame, text: str) -> DataFrame:
-    """``(print, n, tokens)`` of the distinct lines of each batch."""
+    """``(print, n, tokens)`` of the distinct lines of each batch; the tokens are the shingles, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,11 +164,17 @@ def _sets_of(docs: DataFrame, text: str) -> DataFrame:
                 *_, h, names, at, sizes, prints = _line_sets(raw, off)
                 _, one = np.unique(prints, return_index=True)
                 yield pa.record_batch({"print": pa.array(prints[one]), "n": pa.array(sizes[one].astype(np.int64)),
-                                       "tokens": pa.array([(h[at[k]: at[k] + sizes[k]] >> np.uint64(24)).astype("<i8").tobytes() for k in one], pa.binary())})
+                                       "tokens": pa.array([h[at[k]: at[k] + sizes[k]].astype("<u8").tobytes() for k in one], pa.binary())})
 
     return docs.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "print long, n long, tokens binary")
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column("tokens")]
+        yield pa.record_batch({"print": batch.column("print"), "shingles": pa.array(rows, pa.list_(pa.int64()))})
+
+
 def line_clusters(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(print, cluster)`` of the line sets that have a similar one."""
     spark = docs.sparkSession
@@ -176,8 +182,14 @@ def line_clusters(docs: DataFrame, text: str = "text") -> DataFrame:
     # the lines that collide; only their sets are kept for verification
     asked = met.select("print").distinct()
     sets = staged(_sets_of(docs, text).join(asked, "print", "left_semi").dropDuplicates(["print"]))
-    index = met.join(sets.select("print", "n"), "print").select("print", "n", F.lit(0).alias("central"), F.lit(0).alias("at"), "token", F.col("print").alias("component"))
-    index = staged(index)
+    unpacked = sets.mapInArrow(_unpacked, "print long, shingles array<long>")
+    # the index of the verified join: rarest shingles first, those of no other line before them
+    own = unpacked.select("print", F.explode("shingles").alias("token"))
+    own = own.join(own.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "token")
+    line = Window.partitionBy("print")
+    own = own.select("print", "token", F.row_number().over(line.orderBy("times", "token")).alias("rank"), F.count("*").over(line).alias("common"))
+    index = own.join(sets.select("print", "n"), "print").withColumn("at", F.col("n") - F.col("common") + F.col("rank") - 1).where("4 * at <= n")
+    index = staged(index.select("print", "token", "n", "at", (F.col("common") * 1000 / F.col("n")).cast("long").alias("central"), F.col("print").alias("component")))
     edges = spark.createDataFrame([], "a long, b long")
     for k, step in enumerate((jaccard._star, jaccard._star, jaccard._across)):
         if k:
