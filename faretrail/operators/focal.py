@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from faretrail.functions.scalars import minutes_between, round2
-from faretrail.operators.ordering import CardOrder, resolve
+from faretrail.operators.ordering import CardOrder, null_safe_join, resolve
 from faretrail.schema import ADJACENT_WINDOW_MIN, FOCAL_JOURNEY_COLUMNS, FOCAL_OPERATOR, FOCAL_TAG_OFF, TIME
 from faretrail.session import materialize
 
@@ -32,7 +32,7 @@ def cards_using_operator(tr: DataFrame, operator: int = FOCAL_OPERATOR, keys=("c
         used = F.max((F.col("operatorid") == operator).cast("int")).over(Window.partitionBy(*keys))
         return tr.withColumn("_uses", used).where(F.col("_uses") == 1).drop("_uses")
     riders = tr.where(F.col("operatorid") == operator).select(*keys).distinct()
-    return tr.join(riders, list(keys), "left_semi")
+    return null_safe_join(tr, riders, list(keys), "left_semi")
 
 
 def _identify_cols(df: DataFrame, w: WindowSpec, focal: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from faretrail.functions.scalars import minutes_between
-from faretrail.operators.ordering import SEGMENT, CardOrder, resolve
+from faretrail.operators.ordering import SEGMENT, CardOrder, null_safe_join, resolve
 from faretrail.operators.rides import as_rides
 from faretrail.schema import JOURNEY_GAP_MIN, TIME
 from faretrail.session import materialize
@@ -44,18 +44,19 @@ def add_transfer_time(tr: DataFrame, order: CardOrder | None = None) -> DataFram
     return order.apply(as_rides(tr, order), _transfer_time_cols, halo=1)
 
 
-def _card_offsets(starts: DataFrame, card: str) -> DataFrame:
-    """Exclusive prefix sum of per-card journey totals in card order."""
-    # One row per card, used twice (bucket totals, offsets inside buckets).
-    per_card = materialize(starts.groupBy(card).agg(F.sum("_new").alias("_n")).withColumn("_bucket", _bucket(card)))
+def _key_offsets(starts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Exclusive prefix sum of journey totals per key tuple, in the order of card and further keys."""
+    card = keys[0]
+    # One row per key tuple, used twice (bucket totals, offsets inside buckets).
+    per_card = materialize(starts.groupBy(*keys).agg(F.sum("_new").alias("_n")).withColumn("_bucket", _bucket(card)))
     per_bucket = per_card.groupBy("_bucket").agg(F.sum("_n").alias("_bn"))
     # One row per bucket: the only unpartitioned window, bounded by the bucket count.
     wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = per_bucket.select("_bucket", F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_boff"))
-    wc = Window.partitionBy("_bucket").orderBy(F.col(card).asc_nulls_last()).rowsBetween(
+    wc = Window.partitionBy("_bucket").orderBy(*[F.col(k).asc_nulls_last() for k in keys]).rowsBetween(
         Window.unboundedPreceding, -1)
-    per_card = per_card.select(card, "_bucket", F.coalesce(F.sum("_n").over(wc), F.lit(0)).alias("_coff"))
-    return per_card.join(per_bucket, "_bucket").select(card, (F.col("_boff") + F.col("_coff")).alias("_card_off"))
+    per_card = per_card.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(wc), F.lit(0)).alias("_coff"))
+    return per_card.join(per_bucket, "_bucket").select(*keys, (F.col("_boff") + F.col("_coff")).alias("_card_off"))
 
 
 def _bucket(card: str, prefix: int = BUCKET_PREFIX) -> F.Column:
@@ -84,7 +85,6 @@ def add_journey_id(tr: DataFrame, time: float = JOURNEY_GAP_MIN, order: CardOrde
     if order.hot is None and len(order.keys) == 1:
         return _journeys_by_bucket(tr, time, order, materialize_rows, bucket_prefix, keep)
     timed = _keep(add_transfer_time(tr, order), keep, order)
-    card = order.keys[0]
 
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
         running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -101,9 +101,8 @@ def add_journey_id(tr: DataFrame, time: float = JOURNEY_GAP_MIN, order: CardOrde
         # A journey of a hot card can be huge: aggregate map-side, join back
         # (AQE splits a skewed join partition).
         legs = seq.groupBy(*order.keys, "_seq").agg(F.count(F.lit(1)).alias("num_legs"))
-        seq = seq.join(legs, [*order.keys, "_seq"], "left")
-    offsets = _card_offsets(seq, card)
-    out = seq.join(offsets, card, "left")
+        seq = null_safe_join(seq, legs, [*order.keys, "_seq"], "left")
+    out = null_safe_join(seq, _key_offsets(seq, order.keys), order.keys, "left")
     return out.select(
         *timed.columns, "is_transfer",
         (F.coalesce(F.col("_card_off"), F.lit(0)) + F.col("_seq")).alias("journey_id"),
@@ -175,7 +174,6 @@ def _segment_sequence(order: CardOrder, timed: DataFrame, build) -> DataFrame:
     )
     ws = Window.partitionBy(*order.keys).orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
     seg_off = hot_segs.select(*order.keys, SEGMENT, F.coalesce(F.sum("_sn").over(ws), F.lit(0)).alias("_soff"))
-    seg_off = F.broadcast(seg_off) if order.broadcast_hot else seg_off
-    out = local.join(seg_off, [*order.keys, SEGMENT], "left")
+    out = null_safe_join(local, seg_off, [*order.keys, SEGMENT], "left")
     return out.withColumn("_seq", F.col("_local") + F.coalesce(F.col("_soff"), F.lit(0))).drop(
         "_soff", "_hot_n", SEGMENT, "_halo")

@@ -128,7 +128,7 @@ class CardOrder:
         """Tag rows with their segment (0 for cold cards); ``time_col`` defaults
         to the first order column."""
         hot = F.broadcast(self.hot) if self.broadcast_hot else self.hot
-        joined = df.join(hot, list(self.keys), "left")
+        joined = null_safe_join(df, hot, self.keys, "left")
         per_seg = F.lit(float(self.segment_rows))
         nseg = F.ceil(F.col(_HOT_N) / per_seg)
         offset = F.timestamp_diff("MICROSECOND", F.col(_HOT_T0), F.col(time_col or self.order[0]))
@@ -163,6 +163,13 @@ class CardOrder:
         ).select(*tagged.columns)
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys, how: str) -> DataFrame:
+    """Equi-join on ``keys`` in which null equals null; keeps the left side's keys."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [left[k].eqNullSafe(renamed[f"_right_{k}"]) for k in keys]
+    return left.join(renamed, on, how).drop(*[f"_right_{k}" for k in keys])
+
+
 PLAIN = CardOrder()
 
 

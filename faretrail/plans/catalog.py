@@ -84,9 +84,13 @@ class Base:
         When no card exceeds ``segment_rows`` (the usual case) the plain
         one-exchange plan is used; otherwise hot cards are split exactly.
         """
+        return self.order_of(self.taps)
+
+    def order_of(self, taps: DataFrame) -> CardOrder:
+        """Hot-card split of these taps."""
         if self.segment_rows is None:
             return CardOrder.plain()
-        detected = CardOrder.detect(self.taps.select("cardid_anony", "transaction_time"), self.segment_rows)
+        detected = CardOrder.detect(taps.select("cardid_anony", "transaction_time"), self.segment_rows)
         # One aggregate pass over (card, time); the result holds at most
         # rows / segment_rows cards and is written once, so the emptiness test
         # and every later window stage read the copy instead of re-aggregating.
@@ -97,14 +101,16 @@ class Base:
         return dataclasses.replace(detected, hot=hot, broadcast_hot=hot.count() <= HOT_BROADCAST_ROWS)
 
 
-_BASES: dict[tuple, Base] = {}
+_BASES: dict[tuple, tuple[list, Base]] = {}
 
 
 def base_for(spark: SparkSession, sf_dir: str, segment_rows: int | None) -> Base:
+    """The base plans of a directory as it is now: other files, other plans and hot cards."""
+    files = [tuple(sorted(src.read_table(spark, sf_dir, t).inputFiles())) for t in ("events", "nation", "part")]
     key = (app_key(spark), sf_dir, segment_rows)
-    if key not in _BASES:
-        _BASES[key] = Base(spark, sf_dir, segment_rows)
-    return _BASES[key]
+    if key not in _BASES or _BASES[key][0] != files:
+        _BASES[key] = (files, Base(spark, sf_dir, segment_rows))
+    return _BASES[key][1]
 
 
 class Inputs:
@@ -270,7 +276,7 @@ def q_service_day(i: Inputs) -> DataFrame:
 
 def q_day_of_rides(i: Inputs) -> DataFrame:
     day = fares_for_day(i.raw, SERVICE_DATE)
-    return as_rides(day, i.order).select(*KEY, "subtype", "tagon_time", "trip_duration", "trip_cost")
+    return as_rides(day, i.base.order_of(day)).select(*KEY, "subtype", "tagon_time", "trip_duration", "trip_cost")
 
 
 def q_day_transactions(i: Inputs) -> DataFrame:

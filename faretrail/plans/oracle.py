@@ -65,14 +65,14 @@ participants AS (
   SELECT CAST(n_nationkey AS INTEGER) AS participantid, n_name AS participantname FROM nation
 ),
 routes AS (
-  SELECT CAST(p_partkey % 20 AS INTEGER) AS routeid, CAST(p_partkey // 20 AS INTEGER) AS participantid,
-         p_name AS routename
-  FROM part WHERE p_partkey < 500
+  SELECT CAST(p_partkey % 20 AS INTEGER) AS routeid, CAST((p_partkey // 20) % 25 AS INTEGER) AS participantid,
+         arg_min(p_name, p_partkey) AS routename
+  FROM part GROUP BY 1, 2
 ),
 locations AS (
-  SELECT CAST(p_partkey % 10 AS INTEGER) AS locationcode, CAST(p_partkey // 10 AS INTEGER) AS participantid,
-         p_name AS locationname
-  FROM part WHERE p_partkey < 250
+  SELECT CAST(p_partkey % 10 AS INTEGER) AS locationcode, CAST((p_partkey // 10) % 25 AS INTEGER) AS participantid,
+         arg_min(p_name, p_partkey) AS locationname
+  FROM part GROUP BY 1, 2
 )"""
 
 
@@ -218,7 +218,7 @@ f2 AS (SELECT * FROM f2_b WHERE (first_trip OR second_trip) AND near_)"""
 
 RULES = """,
 rules_a AS (
-  SELECT n_nationkey AS from_key, n_name AS from_AgencyName, unnest(generate_series(0, 24)) AS to_key
+  SELECT n_nationkey AS from_key, n_name AS from_AgencyName, unnest(generate_series(0, (SELECT max(n_nationkey) FROM nation))) AS to_key
   FROM nation
 ),
 rules AS (
@@ -286,13 +286,13 @@ PRODUCTS = """,
 pmap AS (
   SELECT CAST(n_nationkey AS INTEGER) AS issuerid, CAST(c % 3 AS INTEGER) AS producttype,
          CAST(c AS INTEGER) AS contracttype
-  FROM (SELECT n_nationkey, unnest(generate_series(0, 6)) AS c FROM nation WHERE n_nationkey <> 7)
+  FROM (SELECT n_nationkey, unnest(generate_series(0, 5)) AS c FROM nation)
 ),
 ptext AS (
   SELECT CAST(n_nationkey AS INTEGER) AS issuerid, CAST(pt AS INTEGER) AS producttype,
          n_name || ' product ' || CAST(pt AS VARCHAR) AS description,
          CAST(1 + pt % 2 AS INTEGER) AS productcategory
-  FROM (SELECT n_nationkey, n_name, unnest(generate_series(0, 2)) AS pt FROM nation WHERE n_nationkey <> 7)
+  FROM (SELECT n_nationkey, n_name, unnest(generate_series(0, 2)) AS pt FROM nation)
 ),
 meta AS (
   SELECT m.issuerid, m.contracttype, p.description

@@ -185,11 +185,14 @@ def transfers_with_totals(db: DataFrame) -> DataFrame:
 def exact_stddev_samp(c: str) -> F.Column:
     """Sample standard deviation of an integer column from exact integer moments.
 
-    ``sqrt((n*sum(x^2) - sum(x)^2) / (n*(n-1)))`` with the sums in 64-bit
-    integers: the result does not depend on partitioning or merge order, and
-    is null for fewer than two values.
+    ``sqrt((n*sum(x^2) - sum(x)^2) / (n*(n-1)))`` with the sums in
+    38-digit decimals: the result does not depend on partitioning or merge
+    order, does not overflow while n * sum(x^2) stays below 10**38, and is null
+    for fewer than two values.
     """
     x = F.col(c).cast("long")
     n = F.count(x)
-    num = (n * F.sum(x * x) - F.sum(x) * F.sum(x)).cast("double")
+    wide = x.cast("decimal(19,0)")
+    total = F.sum(wide).cast("decimal(38,0)")
+    num = (n.cast("decimal(38,0)") * F.sum((wide * wide).cast("decimal(38,0)")).cast("decimal(38,0)") - total * total).cast("double")
     return F.when(n > 1, F.sqrt(num / (n * (n - 1)).cast("double")))

@@ -109,36 +109,30 @@ def participants_from(nation: DataFrame) -> DataFrame:
 
 
 def routes_from(part: DataFrame) -> DataFrame:
-    p = part.where(F.col("p_partkey") < 500)
-    return p.select(
-        (F.col("p_partkey") % 20).cast("int").alias("routeid"),
-        F.expr("p_partkey div 20").cast("int").alias("participantid"),
-        F.col("p_name").alias("routename"),
-    )
+    """Routes from the whole of ``part``, folded to one row a key: the name of its smallest part."""
+    key = [(F.col("p_partkey") % 20).cast("int").alias("routeid"),
+           F.expr("(p_partkey div 20) % 25").cast("int").alias("participantid")]
+    return part.groupBy(*key).agg(F.min_by("p_name", "p_partkey").alias("routename"))
 
 
 def locations_from(part: DataFrame) -> DataFrame:
-    p = part.where(F.col("p_partkey") < 250)
-    return p.select(
-        (F.col("p_partkey") % 10).cast("int").alias("locationcode"),
-        F.expr("p_partkey div 10").cast("int").alias("participantid"),
-        F.col("p_name").alias("locationname"),
-    )
+    """Locations from the whole of ``part``, folded to one row a key: the name of its smallest part."""
+    key = [(F.col("p_partkey") % 10).cast("int").alias("locationcode"),
+           F.expr("(p_partkey div 10) % 25").cast("int").alias("participantid")]
+    return part.groupBy(*key).agg(F.min_by("p_name", "p_partkey").alias("locationname"))
 
 
 def contract_product_map_from(nation: DataFrame) -> DataFrame:
-    """(issuerid, producttype, contracttype): contract types 0..6 per issuer (issuer 7 left out)."""
-    n = nation.where(F.col("n_nationkey") != 7)
-    return n.select(
+    """(issuerid, producttype, contracttype): contract types 0..5 per issuer (type 6 occurs in taps only)."""
+    return nation.select(
         F.col("n_nationkey").cast("int").alias("issuerid"),
-        F.explode(F.sequence(F.lit(0), F.lit(6))).alias("contracttype"),
+        F.explode(F.sequence(F.lit(0), F.lit(5))).alias("contracttype"),
     ).select("issuerid", (F.col("contracttype") % 3).alias("producttype"), "contracttype")
 
 
 def products_from(nation: DataFrame) -> DataFrame:
     """(issuerid, producttype, description, productcategory)."""
-    n = nation.where(F.col("n_nationkey") != 7)
-    return n.select(
+    return nation.select(
         F.col("n_nationkey").cast("int").alias("issuerid"),
         F.col("n_name"),
         F.explode(F.sequence(F.lit(0), F.lit(2))).alias("producttype"),
@@ -160,7 +154,7 @@ def transfer_rules_from(nation: DataFrame) -> DataFrame:
     n = nation.select("n_nationkey", "n_name")
     frm = n.select(
         F.col("n_nationkey").alias("from_key"), F.col("n_name").alias("from_AgencyName"),
-        F.explode(F.sequence(F.lit(0), F.lit(24))).alias("to_key"),
+        F.explode(F.sequence(F.lit(0), n.agg(F.max("n_nationkey")).scalar())).alias("to_key"),
     )
     to = n.select(F.col("n_nationkey").alias("to_key"), F.col("n_name").alias("to_AgencyName"))
     pairs = frm.join(to, "to_key")
