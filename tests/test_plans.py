@@ -50,8 +50,18 @@ def test_no_single_partition_over_rows(spark):
         assert "_bucket" in tail
 
 
-def test_lookup_broadcasts_are_reused(spark):
-    df = catalog.run("transfer_matrix", spark, SF)
+def _final_plan(spark, name):
+    df = catalog.run(name, spark, SF)
     df.collect()
-    final = df._jdf.queryExecution().executedPlan().toString()   # AQE final plan
-    assert final.count("ReusedExchange") >= 2                     # participants and locations built once
+    return df._jdf.queryExecution().executedPlan().toString()   # AQE final plan
+
+
+def test_lookup_broadcasts_are_reused(spark):
+    assert _final_plan(spark, "enriched").count("ReusedExchange") >= 2   # participants and locations built once
+
+
+def test_unused_lookups_are_not_joined(spark):
+    # routes and locations have one row a key, so their joins go where no column of theirs is asked for
+    final = _final_plan(spark, "transfer_matrix")
+    assert "p_partkey" not in final
+    assert "ReusedExchange" in final                             # participants built once
