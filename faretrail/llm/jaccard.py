@@ -93,6 +93,8 @@ def _ranges(docs: DataFrame, text: str, bits: int) -> DataFrame:
                 first = np.zeros(j - i, bool)
                 first[np.unique(prints, return_index=True)[1]] = True
                 h, d = h[first[d]], d[first[d]]
+                if not len(h):
+                    continue
                 where = h >> np.uint64(64 - bits)
                 order = np.argsort(where, kind="stable")
                 token = ((h[order] >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")

@@ -53,10 +53,10 @@ def grams(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if len(flat) < ORDER:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     key = flat[:-3] << np.uint64(48) | flat[1:-2] << np.uint64(32) | flat[2:-1] << np.uint64(16) | flat[3:]
-    ends = np.cumsum(sizes)
+    ends = np.cumsum(sizes)[sizes > 0]
     inside = np.ones(len(flat), bool)
     for k in (1, 2, 3):
-        inside[np.maximum(ends - k, 0)] = False
+        inside[ends - k] = False
     inside = inside[: len(key)]
     doc = np.repeat(np.arange(len(texts)), sizes)[: len(key)]
     return key.view(np.int64)[inside], doc[inside]

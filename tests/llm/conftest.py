@@ -1,0 +1,28 @@
+from __future__ import annotations
+
+import os
+import sys
+
+import pytest
+
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [HERE, os.path.dirname(os.path.dirname(HERE))]
+
+from brute import ODD, SF  # noqa: E402
+from faretrail.session import get_session  # noqa: E402
+
+
+
+@pytest.fixture(scope="session")
+def spark():
+    return get_session("local[4]", "faretrail-tests", **{"spark.sql.shuffle.partitions": "4"})
+
+
+@pytest.fixture(scope="session")
+def documents(spark):
+    return {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+@pytest.fixture(scope="session")
+def odd(spark):
+    return spark.createDataFrame(ODD, "doc_id long, text string, lang string, n_tokens long").withColumnRenamed("n_tokens", "n_words")
