@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of a block, and the fewest blocks of a shard.
 BLOCK_BYTES, LEAST_BLOCKS = 64 << 20, 8
+#: Blocks up to which tables with a row a block are broadcast; more are joined by a shuffle.
+BROADCAST_BLOCKS = 500_000
 
 
 class Resharded(NamedTuple):
@@ -112,7 +114,9 @@ def reshard(spark: SparkSession, path: str, moved_path: str, new: int) -> Reshar
         return Resharded([], 0, layout.select(*[c for c in layout.columns if c not in ("position", "offset")], F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")))
     light = layout.select("shard", "block", "size", "position", "offset")
     blocks = light.groupBy("shard", "block").agg(F.sum("size").alias("bytes"))
-    held = {r[0]: r[1] for r in blocks.groupBy("shard").agg(F.sum("bytes")).collect()}  # a row a shard
+    per_shard = blocks.groupBy("shard").agg(F.sum("bytes"), F.count("*")).collect()  # a row a shard
+    held = {r[0]: r[1] for r in per_shard}
+    few = (lambda df: F.broadcast(df)) if sum(r[2] for r in per_shard) <= BROADCAST_BLOCKS else (lambda df: df)
     old = max(held, default=-1) + 1
     total = sum(held.values())
     sizes = [held.get(i, 0) for i in range(old)]
@@ -128,7 +132,7 @@ def reshard(spark: SparkSession, path: str, moved_path: str, new: int) -> Reshar
     within = placed.join(cuts, "shard").where("start >= lower AND start + bytes <= upper AND to = shard")
     stay = within.select("shard", "block", F.lit(True).alias("stays"))
     placed = placed.join(stay, ["shard", "block"], "left").select("shard", "block", "start", F.coalesce("stays", F.lit(False)).alias("stays"))
-    rows = layout.join(placed, ["shard", "block"])
+    rows = layout.join(few(placed), ["shard", "block"])
     gone = rows.where("NOT stays").withColumn("middle", F.expr("start + offset + size div 2"))
     gone = gone.join(cuts, "shard").where("middle >= lower AND middle < upper")
     given = [c for c in layout.columns if c not in ("shard", "block", "position", "offset")]
@@ -143,6 +147,6 @@ def reshard(spark: SparkSession, path: str, moved_path: str, new: int) -> Reshar
     counted = after.groupBy("shard", "from_shard", "from_block").agg(F.count("*").alias("n"))
     order = Window.partitionBy("shard").orderBy("from_shard", "from_block").rowsBetween(Window.unboundedPreceding, -1)
     base = counted.select("shard", "from_shard", "from_block", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
-    after = after.join(base, ["shard", "from_shard", "from_block"]).withColumn("slot", (F.col("base") + F.col("position")).cast("long"))
+    after = after.join(few(base), ["shard", "from_shard", "from_block"]).withColumn("slot", (F.col("base") + F.col("position")).cast("long"))
     return Resharded(flow, sum(n for i, j, n in flow if i != j), after.drop("base", "position", "from_shard", "from_block"))
 
