@@ -6,6 +6,8 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 SF = "/root/testdata/sf0.001"
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -86,3 +88,13 @@ def linked_components(rows):
                 a, b = sorted((top(i), top(j)))
                 parent[b] = a
     return {i: (len(s), top(i)) for i, s in sets.items()}
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, "doc_id long, text string, lang string, n_tokens long").withColumnRenamed("n_tokens", "n_words")

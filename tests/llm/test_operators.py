@@ -16,7 +16,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from brute import LOWER, ODD, SF, SPACED, base_features, base_spans, contamination, linked_components, sha
+from brute import LOWER, ODD, SF, SPACED, base_features, base_spans, contamination, documents, linked_components, odd, sha  # noqa: F401
 from faretrail.llm import (byte_bpe, decontaminate, jaccard, paragraphs, perplexity, queries, reshard, secrets,
                            textarrays, token_counts, token_files, warc)
 
