@@ -11,6 +11,9 @@ with a Jaccard similarity of 3/4. Lines that collide in a band are verified by
 their exact similarity and clustered by connected components; pieces are equal
 or not, and their class is their cluster. Of a cluster the first occurrence (by
 document, then place) stays and the others are spans to remove.
+
+Equal texts are one class: its text is cut up once, and its documents share
+what is found, each of them but the smallest losing every span.
 """
 
 from __future__ import annotations
@@ -88,12 +91,11 @@ def _groups(column) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
         yield raw[off[i]: off[j]], off[i: j + 1] - off[i], i, j
 
 
-def _units(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """``(doc_id, start, end, print, line)``: every line and piece, its place in code points."""
+def _units(texts: DataFrame) -> DataFrame:
+    """``(class, start, end, print, line)``: every line and piece, its place in code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for raw, off, i, _ in _groups(batch.column(1)):
                 points = ta.starts_of_points(raw)
                 w, cuts, of, _, names, _, _, prints = _line_sets(raw, off)
@@ -104,11 +106,10 @@ def _units(docs: DataFrame, doc: str, text: str) -> DataFrame:
                 if len(first):
                     parts.append((d, w.start[first], w.end[last], x, False))
                 for d, a, z, p, line in parts:
-                    yield pa.record_batch({"doc_id": pa.array(ids[i + d].astype(np.int64)), "start": pa.array(points[a] - points[off[d]]),
+                    yield pa.record_batch({"class": batch.column(0).take(pa.array(i + d)), "start": pa.array(points[a] - points[off[d]]),
                                            "end": pa.array(points[z] - points[off[d]]), "print": pa.array(p), "line": pa.array(np.full(len(d), line))})
 
-    rows = docs.select(F.col(doc).cast("long"), F.col(text)).where(F.col(doc).isNotNull() & F.col(text).isNotNull())
-    return rows.mapInArrow(run, "doc_id long, start long, end long, print long, line boolean")
+    return texts.select("class", "text").mapInArrow(run, "class string, start long, end long, print long, line boolean")
 
 
 def _bands(docs: DataFrame, text: str) -> DataFrame:
@@ -208,14 +209,23 @@ def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFra
     document; an empty table gives no rows.
     """
     on_workers(docs.sparkSession)
-    units = staged(_units(docs, doc, text))
-    units = units.join(line_clusters(docs, text), "print", "left").withColumn("cluster", F.coalesce("cluster", "print"))
-    first = units.groupBy("line", "cluster").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("other")).where("first.doc_id != other")
-    found = units.join(first, ["line", "cluster"]).select("doc_id", "start", "end", F.col("first.doc_id").alias("keep"),
-                                                         F.expr("first.doc_id != doc_id OR first.start != start").alias("goes"))
-    # several pieces of one passage and its copies are one row a document
-    rows = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("keep")).alias("keep_doc_ids"), F.count("*").alias("n_repeated"),
-                                       F.sort_array(F.collect_set(F.when(F.col("goes"), F.struct("start", "end")))).alias("spans"))
+    given = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    given = given.withColumn("class", F.md5(F.col("text").cast("binary")))
+    members = staged(given.groupBy("class", "doc_id").agg(F.count("*").alias("times")))
+    bounds = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("top"))
+    texts = staged(given.select("class", "text").dropDuplicates(["class"]))
+    units = staged(_units(texts))
+    units = units.join(line_clusters(texts), "print", "left").withColumn("cluster", F.coalesce("cluster", "print")).join(bounds, "class")
+    first = units.groupBy("line", "cluster").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("top").alias("other")).where("first.doc_id != other")
+    found = units.join(first, ["line", "cluster"])
+    # several pieces of one passage and its copies are one row a text
+    span, stays = F.struct("start", "end"), F.expr("first.doc_id = doc_id AND first.start = start")
+    found = found.groupBy("class").agg(F.min("doc_id").alias("low"), F.collect_set("first.doc_id").alias("keeps"), F.count("*").alias("n"),
+                                       F.collect_set(F.when(~stays, span)).alias("goes"), F.collect_set(F.when(stays, span)).alias("own"))
+    rows = members.join(found, "class").select("doc_id", "keeps", (F.col("n") * F.col("times")).alias("n"),
+                                               F.when(F.col("doc_id") == F.col("low"), F.col("goes")).otherwise(F.array_union("goes", "own")).alias("spans"))
+    rows = rows.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("keeps")))).alias("keep_doc_ids"), F.sum("n").alias("n_repeated"),
+                                      F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     none = F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)")
     merged = F.aggregate("spans", F.struct(none.alias("done"), F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("z")), lambda acc, s: F.when(
         s["start"] <= acc["z"], F.struct(acc["done"].alias("done"), acc["a"].alias("a"), F.greatest(acc["z"], s["end"]).alias("z"))).otherwise(
