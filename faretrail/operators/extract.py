@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faretrail.operators.enrich import make_human_readable
@@ -66,12 +66,19 @@ def fares_for_day(raw: DataFrame, start_date: str, partition_time: str = DAY_BOU
     (UTC clock by default, local clock with ``boundary='local'``);
     ``strict=True`` excludes the start instant too (both bounds open). The
     card serial is replaced by its hash unless ``keep_serial``.
+
+    A ``service_date`` column (the partition column of stored taps: the UTC or
+    local date, or the service day, of ``generationtime``) is filtered too, so
+    that only the partitions around the day are read; rows without it stay.
     """
     lo, hi = day_bounds(start_date, partition_time, boundary, zone)
     g = F.col("generationtime")
     lower = g > F.lit(lo).cast("timestamp_ntz") if strict else g >= F.lit(lo).cast("timestamp_ntz")
     day = raw.where(lower & (g < F.lit(hi).cast("timestamp_ntz")) &
                     (F.col("applicationserialnumber") < max_serial))
+    if "service_date" in raw.columns:
+        first, last = (F.to_date(F.lit(x).cast("timestamp_ntz")) for x in (lo, hi))
+        day = day.where(F.col("service_date").isNull() | F.col("service_date").between(F.date_sub(first, 1), last))
     cols = []
     for name in DAY_COLUMNS:
         if name == TIME:
@@ -85,26 +92,31 @@ def fares_for_day(raw: DataFrame, start_date: str, partition_time: str = DAY_BOU
     return day.select(*cols)
 
 
-def sample_card_ids(tr: DataFrame, n_users: int, seed: int = 0) -> DataFrame:
-    """Exactly ``n_users`` distinct cards, chosen by a seeded hash order.
+def sample_card_ids(tr: DataFrame, n_users: int, seed: int = 0, check: bool = False) -> DataFrame:
+    """``n_users`` distinct cards, chosen by a seeded hash order.
 
     Deterministic and uniform over cards (the hash is independent of the
     id's order). A per-partition top-n then a merge: only ``n_users`` rows
-    per partition reach the final step. Raises if fewer cards exist.
+    per partition reach the final step. With ``check`` the plan itself raises
+    when there are fewer cards (but some); without it all of them are returned.
     """
     ids = tr.select(CARD).where(F.col(CARD).isNotNull()).distinct()
     key = F.sha1(F.concat(F.col(CARD), F.lit(f"#{seed}")))
     picked = ids.orderBy(key, F.col(CARD)).limit(n_users)
-    return picked
+    if not check:
+        return picked
+    # the window is over the sample, which holds at most n_users rows
+    found = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
+    message = F.concat(F.lit(f"cannot sample {n_users} cards from "), found.cast("string"))
+    return picked.select(F.when(found < n_users, F.raise_error(message)).otherwise(F.col(CARD)).alias(CARD))
 
 
 def sample_user_transactions(tr: DataFrame, n_users: int, seed: int = 0, check: bool = True) -> DataFrame:
-    """All taps of ``n_users`` sampled cards (semi-join on the sampled ids)."""
-    ids = sample_card_ids(tr, n_users, seed)
-    if check:
-        found = ids.count()
-        if found < n_users:
-            raise ValueError(f"cannot sample {n_users} cards from {found}")
+    """All taps of ``n_users`` sampled cards (semi-join on the sampled ids).
+
+    ``check``: running the plan fails when there are fewer cards.
+    """
+    ids = sample_card_ids(tr, n_users, seed, check)
     return tr.join(ids, CARD, "left_semi")
 
 
@@ -119,8 +131,8 @@ def sample_day_of_transactions(raw: DataFrame, start_date: str, n_users: int, pa
                                **kw) -> DataFrame:
     """Taps of ``n_users`` sampled cards on one service day, made readable.
 
-    ``check=False`` skips the population check (an extra job) and returns all
-    cards when fewer than ``n_users`` exist.
+    ``check=False`` returns all cards when fewer than ``n_users`` exist
+    instead of failing.
     """
     day = fares_for_day(raw, start_date, **kw)
     return make_human_readable(sample_user_transactions(day, n_users, seed, check), participants, routes,
@@ -130,13 +142,14 @@ def sample_day_of_transactions(raw: DataFrame, start_date: str, n_users: int, pa
 def write_day_table(day: DataFrame, path: str, service_date: str, mode: str = "overwrite") -> None:
     """Persist a service day clustered for the card windows.
 
-    Rows are hash-partitioned by card and sorted by (card, time, sequence)
-    inside each file, under a ``service_date=`` partition; with dynamic
-    partition overwrite only that day is replaced.
+    Rows are dealt by ranges of (card, time, sequence), so a card of very many
+    taps spans several files, and sorted so inside each file, under a
+    ``service_date=`` partition; with dynamic partition overwrite only that day
+    is replaced.
     """
     out = (
         day.withColumn("service_date", F.lit(service_date).cast("date"))
-        .repartition(CARD)
+        .repartitionByRange(CARD, TIME, SEQ)
         .sortWithinPartitions(CARD, TIME, SEQ)
     )
     (out.write.mode(mode).option("partitionOverwriteMode", "dynamic")
@@ -154,7 +167,8 @@ def save_day_table(day: DataFrame, table: str, path: str, service_date: str, buc
     give bucket files of a few hundred MB per day.
     """
     spark = day.sparkSession
-    out = day.withColumn("service_date", F.lit(service_date).cast("date"))
+    # one task a bucket: a day has at most ``buckets`` files
+    out = day.withColumn("service_date", F.lit(service_date).cast("date")).repartition(buckets, CARD)
     if not spark.catalog.tableExists(table):
         (out.write.format("parquet").partitionBy("service_date").bucketBy(buckets, CARD)
          .sortBy(CARD, TIME, SEQ).option("path", path).saveAsTable(table))

@@ -38,10 +38,13 @@ def _transfer_time_cols(df: DataFrame, w: WindowSpec) -> DataFrame:
     )
 
 
-def add_transfer_time(tr: DataFrame, order: CardOrder | None = None) -> DataFrame:
-    """Rides with ``previous_time``, ``transfer_time`` (minutes) and ``previous_participant``."""
+def add_transfer_time(tr: DataFrame, order: CardOrder | None = None, rides: bool = False) -> DataFrame:
+    """Rides with ``previous_time``, ``transfer_time`` (minutes) and ``previous_participant``.
+
+    ``rides``: the input holds rides, taken as they are, not taps.
+    """
     order = resolve(order)
-    return order.apply(as_rides(tr, order), _transfer_time_cols, halo=1)
+    return order.apply(tr if rides else as_rides(tr, order), _transfer_time_cols, halo=1)
 
 
 def _key_offsets(starts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -71,7 +74,7 @@ def _flag_new(df: DataFrame, time: float) -> DataFrame:
 
 def add_journey_id(tr: DataFrame, time: float = JOURNEY_GAP_MIN, order: CardOrder | None = None,
                    materialize_rows: bool = True, bucket_prefix: int = BUCKET_PREFIX,
-                   keep: list[str] | None = None) -> DataFrame:
+                   keep: list[str] | None = None, rides: bool = False) -> DataFrame:
     """Rides with ``is_transfer`` (gap strictly below ``time``), ``journey_id`` and ``num_legs``.
 
     ``materialize_rows`` checkpoints the numbered rides (one eager job) so the
@@ -79,12 +82,13 @@ def add_journey_id(tr: DataFrame, time: float = JOURNEY_GAP_MIN, order: CardOrde
     ``bucket_prefix`` sets the number of card-id buckets (16**prefix for hex
     ids): larger for bigger tables, so one bucket stays a modest window group.
     ``keep`` limits the ride columns carried through (column pruning cannot
-    pass a checkpoint, so only these are written); default: all.
+    pass a checkpoint, so only these are written); default: all. ``rides``: the
+    input holds rides, taken as they are, not taps.
     """
     order = resolve(order)
     if order.hot is None and len(order.keys) == 1:
-        return _journeys_by_bucket(tr, time, order, materialize_rows, bucket_prefix, keep)
-    timed = _keep(add_transfer_time(tr, order), keep, order)
+        return _journeys_by_bucket(tr, time, order, materialize_rows, bucket_prefix, keep, rides)
+    timed = _keep(add_transfer_time(tr, order, rides), keep, order)
 
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
         running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -121,7 +125,7 @@ def _keep(timed: DataFrame, keep: list[str] | None, order: CardOrder, extra=())
 
 
 def _journeys_by_bucket(tr: DataFrame, time: float, order: CardOrder, materialize_rows: bool,
-                        bucket_prefix: int = BUCKET_PREFIX, keep: list[str] | None = None) -> DataFrame:
+                        bucket_prefix: int = BUCKET_PREFIX, keep: list[str] | None = None, rides: bool = False) -> DataFrame:
     """Plain plan: one exchange on an order-preserving card-id bucket.
 
     Hash partitioning by the bucket also clusters every card, so the per-card
@@ -134,7 +138,7 @@ def _journeys_by_bucket(tr: DataFrame, time: float, order: CardOrder, materializ
     card = order.keys[0]
     bucketed = tr.withColumn("_bucket", _bucket(card, bucket_prefix)).repartition("_bucket")
     border = CardOrder(keys=("_bucket", card), order=order.order)
-    timed = _keep(add_transfer_time(bucketed, border), keep, order, extra=("_bucket",))
+    timed = _keep(add_transfer_time(bucketed, border, rides), keep, order, extra=("_bucket",))
     # Card order nulls-first matches the sort the per-card windows already did
     # (no second sort); null cards sit alone in the last bucket anyway.
     in_bucket = Window.partitionBy("_bucket").orderBy(

@@ -15,10 +15,11 @@ from faretrail.schema import TIME
 
 
 def identify_transfer_for_time(tr: DataFrame, mins: float, order: CardOrder | None = None,
-                               gap: str = "source") -> DataFrame:
+                               gap: str = "source", rides: bool = False) -> DataFrame:
     """Flag rides that start within ``mins`` (inclusive) of the previous ride.
 
-    Expects taps (rides are derived here). Rides without a transfer-operator
+    Expects taps (rides are derived here), or with ``rides=True`` the rides
+    themselves, which are taken as they are. Rides without a transfer-operator
     name are dropped *before* the lag. A missing gap is not a transfer.
 
     ``gap='source'`` (default, the source model's definition): for a
@@ -30,7 +31,8 @@ def identify_transfer_for_time(tr: DataFrame, mins: float, order: CardOrder | No
     if gap not in ("source", "alight_to_board"):
         raise ValueError("gap must be 'source' or 'alight_to_board'")
     order = resolve(order)
-    rides = as_rides(tr, order).where(F.col("participantname_transfer").isNotNull())
+    ridden = tr if rides else as_rides(tr, order)
+    ridden = ridden.where(F.col("participantname_transfer").isNotNull())
 
     def build(df: DataFrame, w: WindowSpec) -> DataFrame:
         tagon = F.col("tagon_time")
@@ -45,7 +47,7 @@ def identify_transfer_for_time(tr: DataFrame, mins: float, order: CardOrder | No
         hit = (F.col("time_from_prev") <= F.lit(mins)) | (F.col("time_from_prev_tagon") <= F.lit(mins))
         return df.withColumn("is_transfer", F.coalesce(hit, F.lit(False)).cast("int"))
 
-    return order.apply(rides, build, halo=1)
+    return order.apply(ridden, build, halo=1)
 
 
 def transfer_summary(flagged: DataFrame, product_category: int | None = 1, by: tuple[str, ...] = ()) -> DataFrame:
@@ -66,14 +68,15 @@ def transfer_summary(flagged: DataFrame, product_category: int | None = 1, by: t
 
 
 def create_transfer_df(tr: DataFrame, mins: float, order: CardOrder | None = None,
-                       product_category: int | None = 1, by: tuple[str, ...] = ()) -> DataFrame:
+                       product_category: int | None = 1, by: tuple[str, ...] = (), rides: bool = False) -> DataFrame:
     """Transfers between every (from, to) operator pair within ``mins``.
 
     Pairs with rides but no transfers are kept with zero counts. For input
     spanning several service days pass an ``order`` keyed by
-    ``(cardid_anony, service_date)`` and ``by=("service_date",)``.
+    ``(cardid_anony, service_date)`` and ``by=("service_date",)``. ``rides``:
+    the input holds rides, not taps.
     """
-    return transfer_summary(identify_transfer_for_time(tr, mins, order), product_category, by)
+    return transfer_summary(identify_transfer_for_time(tr, mins, order, rides=rides), product_category, by)
 
 
 def classify_rule_transfers(tr: DataFrame, rules: DataFrame, order: CardOrder | None = None) -> DataFrame:

@@ -9,22 +9,24 @@ day 2024-01-10, 5 sampled cards, ...) so that the DuckDB oracle in
 from __future__ import annotations
 
 import dataclasses
-from functools import cached_property
+import uuid
+from functools import cached_property, reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from faretrail import sources as src
 from faretrail.functions.timecols import nicetime, spread_time_column
 from faretrail.operators import (
     CardOrder, add_journey_id, add_transfer_time, as_focal_journeys, as_rides, cards_using_operator,
-    classify_rule_transfers, combined_focal_transactions, create_transfer_df, day_of_transactions,
+    classify_rule_transfers, descriptive_tables, write_day_table, combined_focal_transactions, create_transfer_df, day_of_transactions,
     extract_sequence_by_date, extract_sequence_for_random_week, fares_for_day, focal_identify,
     focal_lag_and_lead_metadata, focal_to_focal, get_product_description, identify_transfer_for_time,
     make_human_readable, sample_day_of_transactions, sample_user_transactions, tap_counts,
 )
 from faretrail.plans import reports
-from faretrail.session import app_key, materialize
+from faretrail.session import app_key, checkpoint_dir, materialize
 
 TRANSFER_MINS = 120
 JOURNEY_GAP = 60
@@ -165,6 +167,10 @@ def q_transfer_matrix(i: Inputs) -> DataFrame:
     return create_transfer_df(i.enriched, TRANSFER_MINS, i.order)
 
 
+def q_transfer_matrix_from_rides(i: Inputs) -> DataFrame:
+    return create_transfer_df(i.rides_enriched, TRANSFER_MINS, i.order, rides=True)
+
+
 def q_transfer_flags(i: Inputs) -> DataFrame:
     return identify_transfer_for_time(i.enriched, TRANSFER_MINS, i.order).select(
         *KEY, "participantname", "participantname_transfer", "tagon_time",
@@ -274,6 +280,39 @@ def q_service_day(i: Inputs) -> DataFrame:
     return fares_for_day(i.raw, SERVICE_DATE).select(*DAY_COLS)
 
 
+def q_day_table(i: Inputs) -> DataFrame:
+    """The service day written as a day table in the shared folder and read back."""
+    path = f"{checkpoint_dir(i.spark).rstrip('/')}/faretrail-day-{uuid.uuid4().hex}"
+    write_day_table(fares_for_day(i.raw, SERVICE_DATE), path, SERVICE_DATE)
+    return i.spark.read.parquet(path).select(*DAY_COLS, "service_date")
+
+
+def q_lookups(i: Inputs) -> DataFrame:
+    """Keys and names of the lookup tables, by table name."""
+    keys = {"operators": ("participantid", None, "participantname"), "routes": ("participantid", "routeid", "routename"),
+            "locations": ("participantid", "locationcode", "locationname")}
+    parts = []
+    for name, df in descriptive_tables(*i.dims).items():
+        operator, key, label = keys[name]
+        parts.append(df.select(F.lit(name).alias("lookup"), F.col(operator).cast("int").alias("operator"),
+                               (F.col(key) if key else F.lit(None)).cast("int").alias("key"), F.col(label).alias("label")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def q_file_manifest(i: Inputs) -> DataFrame:
+    """Monthly transaction and transfer files, named after the months of the taps."""
+    month = i.raw.select(F.date_format("generationtime", "yyyy - MM").alias("month")).distinct()
+    names = month.select(F.explode(F.array(*[F.concat("month", F.lit(f" {kind}.csv")) for kind, _ in src.MANIFEST_TYPES])).alias("name"))
+    return src.file_manifest(names)
+
+
+def q_transfer_rules_csv(i: Inputs) -> DataFrame:
+    """The agency rules written as CSV to the shared folder and read back."""
+    path = f"{checkpoint_dir(i.spark).rstrip('/')}/faretrail-rules-{uuid.uuid4().hex}"
+    src.transfer_rules_from(i.nation).write.option("header", True).option("quote", "'").csv(path)
+    return src.read_transfer_rules(i.spark, path)
+
+
 def q_day_of_rides(i: Inputs) -> DataFrame:
     day = fares_for_day(i.raw, SERVICE_DATE)
     return as_rides(day, i.base.order_of(day)).select(*KEY, "subtype", "tagon_time", "trip_duration", "trip_cost")
@@ -284,8 +323,7 @@ def q_day_transactions(i: Inputs) -> DataFrame:
 
 
 def q_sample_day(i: Inputs) -> DataFrame:
-    return sample_day_of_transactions(i.raw, SERVICE_DATE, SAMPLE_CARDS, *i.dims, seed=SAMPLE_SEED,
-                                      check=False).select(
+    return sample_day_of_transactions(i.raw, SERVICE_DATE, SAMPLE_CARDS, *i.dims, seed=SAMPLE_SEED, check=False).select(
         *ENRICHED_COLS)
 
 
@@ -357,6 +395,11 @@ def q_sequences_by_day_id(i: Inputs) -> DataFrame:
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "transfer_matrix": q_transfer_matrix,
+    "transfer_matrix_from_rides": q_transfer_matrix_from_rides,
+    "day_table": q_day_table,
+    "lookups": q_lookups,
+    "file_manifest": q_file_manifest,
+    "transfer_rules_csv": q_transfer_rules_csv,
     "transfer_flags": q_transfer_flags,
     "rides": q_rides,
     "transfer_time": q_transfer_time,

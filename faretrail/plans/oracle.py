@@ -336,6 +336,8 @@ SELECT participantname_transfer, participantname,
 FROM flags WHERE productcategory = 1
 GROUP BY participantname_transfer, participantname"""
 
+    q["transfer_matrix_from_rides"] = q["transfer_matrix"]
+
     q["transfer_flags"] = _with(base_e, ",", FLAGS) + f"""
 SELECT {KEY}, participantname, participantname_transfer, tagon_time, time_from_prev_tagon, time_from_prev,
        is_transfer
@@ -440,6 +442,24 @@ day AS (
 )"""
     q["service_day"] = _with(BASE, day) + "\nSELECT * FROM day"
 
+    q["day_table"] = _with(BASE, day) + f"\nSELECT *, DATE '{cat.SERVICE_DATE}' AS service_date FROM day"
+
+    q["lookups"] = _with(BASE) + """
+SELECT 'operators' AS lookup, participantid AS operator, CAST(NULL AS INTEGER) AS key, participantname AS label FROM participants
+UNION ALL SELECT 'routes', participantid, routeid, routename FROM routes
+UNION ALL SELECT 'locations', participantid, locationcode, locationname FROM locations"""
+
+    q["file_manifest"] = """
+SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
+       strftime(ts, '%Y - %m') || ' Transaction.csv' AS "Transactions",
+       strftime(ts, '%Y - %m') || ' Transfer.csv' AS "Transfers"
+FROM events GROUP BY ALL"""
+
+    q["transfer_rules_csv"] = """
+SELECT a.n_name AS "from_AgencyName", b.n_name AS "to_AgencyName",
+       CAST(10 + ((a.n_nationkey * 3 + b.n_nationkey) % 7) * 10 AS INTEGER) AS max_time
+FROM nation a JOIN nation b ON a.n_nationkey <> b.n_nationkey OR a.n_nationkey % 4 <> 0"""
+
     q["day_of_rides"] = _with(BASE, day, ",", rides_cte("day", "rides_d")) + f"""
 SELECT {KEY}, subtype, tagon_time, trip_duration, trip_cost FROM rides_d"""
 

@@ -18,6 +18,6 @@ from faretrail.sources.driver_tables import (
     products_from,
     transfer_rules_from,
 )
-from faretrail.sources.files import read_transfer_rules, read_pair_day, file_manifest
+from faretrail.sources.files import MANIFEST_TYPES, read_transfer_rules, read_pair_day, file_manifest
 
 __all__ = [name for name in dir() if not name.startswith("_")]

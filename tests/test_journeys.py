@@ -33,3 +33,14 @@ def test_transfer_time_previous_participant(spark):
 def test_single_tap_card_is_one_leg(spark):
     j = add_journey_id(make_taps(spark, [{"minutes": 0}])).collect()
     assert len(j) == 1 and j[0]["journey_id"] == 1 and j[0]["num_legs"] == 1
+
+
+def test_journeys_and_transfers_of_given_rides(spark):
+    """Rides handed over as rides give what their taps give."""
+    from faretrail.operators import add_journey_id, as_rides
+    from faretrail.plans import catalog
+
+    taps = catalog.Inputs(spark, "/root/testdata/sf0.001").enriched
+    cols = ["cardid_anony", "sequencenumber", "journey_id", "num_legs"]
+    got = add_journey_id(as_rides(taps), rides=True).select(*cols).collect()
+    assert sorted(got) == sorted(add_journey_id(taps).select(*cols).collect())
