@@ -29,6 +29,8 @@ from faretrail.llm.common import fresh_name, on_workers, staged
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ORDER = 4
 SCALE = 1 << 20
+#: Languages up to which their discounts (one row each) are broadcast; more are joined.
+BROADCAST_LANGS = 10_000
 #: Rows (12 bytes each) up to which the model is broadcast.
 MODEL_ROWS = 16_000_000
 #: Bytes of texts in one array pass.
@@ -101,18 +103,23 @@ def kneser_ney(counted: DataFrame) -> DataFrame:
     orders = {ORDER: counted}
     for k in range(ORDER - 1, 0, -1):  # how many units stand before each lower n-gram
         orders[k] = orders[k + 1].groupBy("lang", F.col("gram").bitwiseAND((1 << 16 * k) - 1).alias("gram")).agg(F.count("*").alias("n"))
+    # one row a language; within the bound no n-gram is dealt out by its language alone
+    held = F.broadcast if counted.select("lang").distinct().count() <= BROADCAST_LANGS else (lambda df: df)
     lower = None
     for k in range(1, ORDER + 1):
         rows = orders[k]
         of = [F.sum((F.col("n") == i).cast("long")).alias(f"t{i}") for i in (1, 2, 3, 4)]
-        some = rows.groupBy("lang").agg(*of, F.count("*").alias("types"))
+        sums = {"total": F.sum("n")} | {f"c{i}": F.sum((F.col("n") == i if i < 3 else F.col("n") >= 3).cast("long")) for i in (1, 2, 3)}
+        # a language's units have one context, the empty one: its sums are added up before the shuffle
+        own = [x.alias(c) for c, x in sums.items()] if k == 1 else []
+        some = rows.groupBy("lang").agg(*of, F.count("*").alias("types"), *own)
         y = F.expr("IF(t1 + t2 = 0, 0D, t1 / (t1 + 2D * t2))")
         cut = [F.least(F.lit(i - 0.01), F.greatest(F.lit(0.0), F.when(F.col(f"t{i}") > 0, i - (i + 1) * y * F.col(f"t{i + 1}") / F.col(f"t{i}")).otherwise(0.0))).alias(f"d{i}") for i in (1, 2, 3)]
-        rows = rows.join(some.select("lang", "types", *cut), "lang")
-        context = Window.partitionBy("lang", F.shiftrightunsigned("gram", 16)) if k > 1 else Window.partitionBy("lang")
-        cut_of = F.expr("CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END")
-        rows = rows.select("lang", "gram", "n", "types", cut_of.alias("cut"), F.sum("n").over(context).alias("total"),
-                           *[F.sum((F.col("n") == i if i < 3 else F.col("n") >= 3).cast("long")).over(context).alias(f"c{i}") for i in (1, 2, 3)], "d1", "d2", "d3")
+        if k > 1:
+            context = Window.partitionBy("lang", F.shiftrightunsigned("gram", 16))
+            rows = rows.select("lang", "gram", "n", *[x.over(context).alias(c) for c, x in sums.items()])
+        rows = rows.join(held(some.select("lang", "types", *cut, *(sums if k == 1 else []))), "lang")
+        rows = rows.withColumn("cut", F.expr("CASE WHEN n = 1 THEN d1 WHEN n = 2 THEN d2 ELSE d3 END"))
         rest = F.expr("(d1 * c1 + d2 * c2 + d3 * c3) / total")
         if lower is None:
             below = 1 / F.col("types")
