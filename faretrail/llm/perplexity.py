@@ -16,7 +16,7 @@ counts instead. Both ways give the same sums.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,13 +98,18 @@ def counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _few_languages(rows: DataFrame, lang: str) -> Callable[[DataFrame], DataFrame]:
+    """Marks tables of one row a language for broadcast, if ``rows`` has few languages; leaves them as they are otherwise."""
+    return F.broadcast if rows.select(lang).distinct().count() <= BROADCAST_LANGS else (lambda df: df)
+
+
 def kneser_ney(counted: DataFrame) -> DataFrame:
     """``(lang, gram, logp)``: the interpolated probability of each n-gram's last unit, as logarithm times ``SCALE``."""
     orders = {ORDER: counted}
     for k in range(ORDER - 1, 0, -1):  # how many units stand before each lower n-gram
         orders[k] = orders[k + 1].groupBy("lang", F.col("gram").bitwiseAND((1 << 16 * k) - 1).alias("gram")).agg(F.count("*").alias("n"))
     # one row a language; within the bound no n-gram is dealt out by its language alone
-    held = F.broadcast if counted.select("lang").distinct().count() <= BROADCAST_LANGS else (lambda df: df)
+    held = _few_languages(counted, "lang")
     lower = None
     for k in range(1, ORDER + 1):
         rows = orders[k]
@@ -234,12 +239,14 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", keep_text:
     out = staged(out if keep_text else out.drop(text))
     name = F.coalesce(F.col(lang).cast("string"), F.lit(""))
     bands = staged(out.where("n_grams > 0").groupBy(name.alias("band_lang"), F.round(-F.col("score") / F.col("n_grams") / SCALE * 1000).cast("long").alias("bin")).agg(F.count("*").alias("n")))
+    # one row a language; within the bound no document is dealt out by its language
+    held = _few_languages(bands, "band_lang")
     middle = _median(bands, "bin").withColumnRenamed("median", "middle")
     off = bands.join(middle, "band_lang").withColumn("off", F.abs(F.col("bin") - F.col("middle")))
     spread = _median(off.groupBy("band_lang", "off").agg(F.sum("n").alias("n")), "off")
     limits = middle.join(spread, "band_lang").withColumn("reach", F.greatest(F.lit(least), 1.4826 * F.col("median") / 1000) * width).select(
         "band_lang", F.exp(F.col("middle") / 1000 - F.col("reach")).alias("lowest"), F.exp(F.col("middle") / 1000 + F.col("reach")).alias("highest"))
-    out = out.drop("perplexity", "lowest", "highest", "base_failed", "kept").withColumn("band_lang", name).join(limits, "band_lang", "left").drop("band_lang")
+    out = out.drop("perplexity", "lowest", "highest", "base_failed", "kept").withColumn("band_lang", name).join(held(limits), "band_lang", "left").drop("band_lang")
     out = out.withColumn("perplexity", F.when(F.col("n_grams") > 0, F.exp(-F.col("score") / F.col("n_grams") / SCALE)))
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     inside = F.coalesce(F.col("perplexity").between(F.col("lowest"), F.col("highest")), F.lit(False))
