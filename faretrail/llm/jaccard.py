@@ -71,25 +71,29 @@ def _batch_key(prints: np.ndarray) -> int:
 
 
 def _sets(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """``(doc_id, n, print, batch, place)`` of every row."""
+    """``(doc_id, n, print)`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in _batches(batch.column(1)):
                 _, _, sizes, prints = shingle_sets(batch.column(1).slice(i, j - i))
-                yield pa.record_batch({"doc_id": batch.column(0).slice(i, j - i), "n": pa.array(sizes, pa.int64()), "print": pa.array(prints),
-                                       "batch": pa.array(np.full(j - i, _batch_key(prints))), "place": pa.array(np.arange(j - i), pa.int32())})
+                yield pa.record_batch({"doc_id": batch.column(0).slice(i, j - i), "n": pa.array(sizes, pa.int64()), "print": pa.array(prints)})
 
-    return docs.select(F.col(doc).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, n long, print long, batch long, place int")
+    return docs.select(F.col(doc).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, n long, print long")
 
 
 def _ranges(docs: DataFrame, text: str, bits: int) -> DataFrame:
-    """``(range, batch, tokens, places)``: a batch's shingles of one range of hashes, packed."""
+    """``(range, batch, tokens, places, counts)``: a batch's shingles of one range of hashes, packed.
+
+    A batch's sets go with them, from the same pass, as one row of a negative
+    range: its tokens are the sets' fingerprints, its counts their sizes, both
+    by place. So the places hold however Arrow cuts the rows into batches.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j in _batches(batch.column(0)):
-                h, d, _, prints = shingle_sets(batch.column(0).slice(i, j - i))
+                h, d, sizes, prints = shingle_sets(batch.column(0).slice(i, j - i))
                 first = np.zeros(j - i, bool)
                 first[np.unique(prints, return_index=True)[1]] = True
                 h, d = h[first[d]], d[first[d]]
@@ -102,15 +106,19 @@ def _ranges(docs: DataFrame, text: str, bits: int) -> DataFrame:
                 names, at = np.unique(where[order], return_index=True)
                 ends = np.append(at[1:], len(order))
                 key = _batch_key(prints)
-                yield pa.record_batch({"range": pa.array(names.astype(np.int32)), "batch": pa.array(np.full(len(names), key)),
-                                       "tokens": pa.array([token[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary()),
-                                       "places": pa.array([place[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())})
+                sets = -1 - (key & ((1 << bits) - 1))
+                yield pa.record_batch({"range": pa.array([sets, *names.tolist()], pa.int32()), "batch": pa.array(np.full(len(names) + 1, key)),
+                                       "tokens": pa.array([prints.astype("<i8").tobytes(), *[token[a:b].tobytes() for a, b in zip(at, ends, strict=True)]], pa.binary()),
+                                       "places": pa.array([b"", *[place[a:b].tobytes() for a, b in zip(at, ends, strict=True)]], pa.binary()),
+                                       "counts": pa.array([sizes.astype("<i8").tobytes(), *[None] * len(names)], pa.binary())})
 
-    return docs.select(text).mapInArrow(run, "range int, batch long, tokens binary, places binary")
+    return docs.select(text).mapInArrow(run, "range int, batch long, tokens binary, places binary, counts binary")
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Of one range the tokens of more than one set, with their counts, back by batch."""
+    """Of one range the tokens of more than one set, with their counts, back by batch; rows of sets as they are."""
+    if table.column("range")[0].as_py() < 0:
+        return table
     parts = [np.frombuffer(x.as_py(), "<u4") for x in table.column("tokens")]
     flat = np.concatenate(parts)
     _, which, times = np.unique(flat, return_inverse=True, return_counts=True)
@@ -135,21 +143,24 @@ def least_overlap(n):
     return -(-3 * n // 4)
 
 
-def _survivors(sets: pa.Table, shared: pa.Table) -> pa.Table:
+def _survivors(table: pa.Table) -> pa.Table:
     """Of one batch the sets with enough shared tokens: their tokens, their index prefix, their centrality."""
+    own = np.array([r < 0 for r in table.column("range").to_pylist()])
+    if not own.any():
+        raise ValueError("a batch has shared tokens but no sets")
+    # equal batches have one name and hold the same sets
+    sets, shared = table.filter(pa.array(own)).slice(0, 1), table.filter(pa.array(~own))
     schema = pa.schema([("print", pa.int64()), ("n", pa.int64()), ("central", pa.int64()), ("tokens", pa.binary()),
                         ("prefix", pa.list_(pa.int64())), ("skipped", pa.int32())])
     out: dict[str, list] = {k: [] for k in schema.names}
-    if shared.num_rows and sets.num_rows:
+    if shared.num_rows:
         ranges = shared.column("range").to_numpy().astype(np.int64)
         cols = [[np.frombuffer(x.as_py(), t) for x in shared.column(c)] for c, t in (("tokens", "<u4"), ("places", "<u2"), ("counts", "<u4"))]
         token = np.concatenate([r << 32 | x.astype(np.int64) for r, x in zip(ranges, cols[0], strict=True)])
         place, count = np.concatenate(cols[1]).astype(np.int64), np.concatenate(cols[2]).astype(np.int64)
         order = np.lexsort((token, count, place))
         token, place, count = token[order], place[order], count[order]
-        names, first = np.unique(sets.column("place").to_numpy(), return_index=True)
-        n_of, print_of = np.zeros(BATCH_DOCS, np.int64), np.zeros(BATCH_DOCS, np.int64)
-        n_of[names], print_of[names] = sets.column("n").to_numpy()[first], sets.column("print").to_numpy()[first]
+        print_of, n_of = (np.frombuffer(sets.column(c)[0].as_py(), "<i8") for c in ("tokens", "counts"))
         found, at = np.unique(place, return_index=True)
         for p, a, b in zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(place)], strict=True):
             n, mine = int(n_of[p]), np.unique(token[a:b]).size
@@ -241,9 +252,7 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     total = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(20, max(LEAST_RANGES, int(max(total, 1) // RANGE_SHINGLES).bit_length()))
     shared = _ranges(docs, text, bits).groupBy("range").applyInArrow(_shared, "range int, batch long, tokens binary, places binary, counts binary")
-    rows = sets.select("batch", "place", "n", "print").where("n > 0")
-    kept = rows.groupBy("batch").cogroup(shared.groupBy("batch")).applyInArrow(
-        _survivors, "print long, n long, central long, tokens binary, prefix array<long>, skipped int")
+    kept = shared.groupBy("batch").applyInArrow(_survivors, "print long, n long, central long, tokens binary, prefix array<long>, skipped int")
     kept = staged(kept.dropDuplicates(["print"]))
     index = kept.select("print", "n", "central", F.col("print").alias("component"), F.col("skipped").alias("alone"), F.posexplode("prefix").alias("at", "token"))
     index = index.withColumn("at", F.col("at") + F.col("alone")).drop("alone")
