@@ -1,13 +1,14 @@
 """Operator 6: substring dedup by paragraph MinHash banding.
 
-A document's paragraphs are its lines of at least ``LEAST_WORDS`` words, and,
-for passages that begin or end within a line, pieces of ``PIECE`` words from
+A document's paragraphs are its lines, and, for passages that begin or end
+within a line, pieces of ``PIECE`` words from
 anchors that only the words around them decide (the least shingle hash of every
 ``REACH`` in a row). Any passage of ``REACH + PIECE - 1`` (50) words or more
 that two documents share holds a piece that both have.
 
 Lines are banded: ``BANDS`` bands of ``ROWS`` MinHashes find 99.8 % of the pairs
-with a Jaccard similarity of 3/4. Lines that collide in a band are verified by
+with a Jaccard similarity of 3/4; those of fewer than ``LEAST_BANDED`` shingles
+are similar only to their equals and need no band. Lines that collide in a band are verified by
 their exact similarity and clustered by connected components; pieces are equal
 or not, and their class is their cluster. Of a cluster the first occurrence (by
 document, then place) stays and the others are spans to remove.
@@ -29,7 +30,8 @@ from faretrail.llm import jaccard
 from faretrail.llm import textarrays as ta
 from faretrail.llm.common import components, on_workers, staged
 
-LEAST_WORDS = 40
+#: Fewest shingles of a set that can have a similarity of 3/4 with another set than itself (3 of 4).
+LEAST_BANDED = 3
 BANDS, ROWS = 16, 4
 REACH, PIECE = 20, 31
 BITS = 10
@@ -44,14 +46,11 @@ def _lines(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _line_sets(raw: np.ndarray, off: np.ndarray):
-    """Words, lines of enough words, and their distinct shingles: hash and line, sizes and fingerprints by line."""
+    """Words, lines with words, and their distinct shingles: hash and line, sizes and fingerprints by line."""
     cuts, of = _lines(raw, off)
     n = len(cuts) - 1
     w = ta.words(ta.LOWER[raw], cuts, ta.SPACED)
-    count = np.bincount(w.doc, minlength=max(n, 1))
     h, line, _ = ta.windows(w, max(n, 1), jaccard.SHINGLE)
-    keep = count[line] >= LEAST_WORDS
-    h, line = h[keep], line[keep]
     order = np.lexsort((h, line))
     h, line = h[order], line[order]
     new = np.ones(len(h), bool)
@@ -119,11 +118,18 @@ def _bands(docs: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             seen: dict[int, list[np.ndarray]] = {}
             for raw, off, _, _ in _groups(batch.column(0)):
-                *_, h, names, at, _, prints = _line_sets(raw, off)
-                if not len(names):
+                *_, h, _, at, sizes, prints = _line_sets(raw, off)
+                # equal lines are one set, and the smallest sets have only equals
+                one = np.unique(prints, return_index=True)[1]
+                one = np.sort(one[sizes[one] >= LEAST_BANDED])
+                if not len(one):
                     continue
+                prints, at, sizes = prints[one], at[one], sizes[one]
+                ends = np.cumsum(sizes)
+                h = h[np.repeat(at - ends + sizes, sizes) + np.arange(ends[-1])]
+                at = ends - sizes
                 for b in range(BANDS):
-                    key = np.full(len(names), np.uint64(b + 1))
+                    key = np.full(len(one), np.uint64(b + 1))
                     for k in range(ROWS):
                         x = h * SEEDS[b * ROWS + k]
                         key = ta.mix(key * ta.BASE + np.minimum.reduceat(x ^ (x >> np.uint64(29)), at))

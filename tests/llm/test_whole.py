@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from faretrail.llm import jaccard
+from faretrail.llm import jaccard, paragraphs
 
 MAX_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -28,3 +28,18 @@ def test_near_copies_meet_however_arrow_cuts_the_batches(spark):
     finally:
         spark.conf.set(MAX_BYTES, before)
     assert got == {i: i - i % 2 for i, _ in rows}
+
+
+def test_short_lines_are_paragraphs(spark):
+    """Near copies of a line of 20 words, equal ones of 12 and of 3."""
+    rng = random.Random(5)
+    line, equal, tiny = _text(rng, 20), " ".join(_text(rng, 12)), " ".join(_text(rng, 3))
+    own = lambda: " ".join(_text(rng, 15))
+    rows = [(1, f"{own()}\n{' '.join(line)}\n{own()}"), (2, f"{' '.join([*line[:-1], 'changed'])}\n{own()}"), (3, f"{own()}\n{equal}"),
+            (4, f"{equal}\n{own()}"), (5, f"{tiny}\n{own()}"), (6, f"{own()}\n{tiny}"), (7, f"{own()}\n{own()}")]
+    text = dict(rows)
+    got = {r.doc_id: r for r in paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got) == {1, 2, 3, 4, 5, 6}
+    assert {i: [text[i][s.start: s.end] for s in r.removals] for i, r in got.items()} == {
+        1: [], 2: [" ".join([*line[:-1], "changed"])], 3: [], 4: [equal], 5: [], 6: [tiny]}
+    assert [got[i].keep_doc_ids for i in (2, 4, 6)] == [[1], [3], [5]]
