@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faretrail.llm import byte_bpe, decontaminate, jaccard, perplexity, secrets
-from faretrail.llm.common import staged, table
+from faretrail.llm.common import fresh_name, staged, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,11 +18,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents that with the smallest id stays."""
-    found = jaccard.join(docs.select("doc_id", "text"))
-    # a document without an id is in no group that could be told from another
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    """Of each component of similar documents one row stays: that with the smallest id.
+
+    Rows are told apart by a key of their own. Rows of one id in a component
+    are chosen between by their text's hash, then by that key; a null id comes
+    after all others. Rows without words are similar to nothing and all stay.
+    """
+    row = fresh_name(docs, "row")
+    docs = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = jaccard.join(docs, row).select(F.col("doc_id").alias(row), "component_id")
+    own = docs.select(row, F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("hash"), row).alias("rank"))
+    stay = found.join(own, row).groupBy("component_id").agg(F.min("rank").alias("rank")).select(F.col(f"rank.{row}").alias(row))
+    return docs.join(stay, row, "left_semi").drop(row)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import corpus_pipeline
 from faretrail.llm import jaccard, paragraphs
 
 MAX_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -43,3 +44,13 @@ def test_short_lines_are_paragraphs(spark):
     assert {i: [text[i][s.start: s.end] for s in r.removals] for i, r in got.items()} == {
         1: [], 2: [" ".join([*line[:-1], "changed"])], 3: [], 4: [equal], 5: [], 6: [tiny]}
     assert [got[i].keep_doc_ids for i in (2, 4, 6)] == [[1], [3], [5]]
+
+
+def test_one_row_of_a_group_stays(spark):
+    """Repeated rows of the smallest id, and rows with a null id as copies of others, of each other and alone."""
+    rng = random.Random(6)
+    a, b, c, d = (" ".join(_text(rng, 30)) for _ in range(4))
+    rows = [(1, a), (1, a), (2, f"{a} more"), (None, a), (None, b), (None, b), (3, c), (None, d), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a), (None, b), (3, c), (None, d), (4, "")], key=str)
