@@ -205,12 +205,15 @@ def line_clusters(docs: DataFrame, text: str = "text") -> DataFrame:
     return components(edges).select(F.col("node").alias("print"), F.col("component").alias("cluster"))
 
 
-def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
     """A row for every document that holds a paragraph or piece repeated in another document; others have none.
 
     ``keep_doc_ids``: the documents whose copies stay, for each of its clusters
     (itself where its own copy stays); ``n_repeated``: its occurrences;
-    ``removals``: merged spans to remove (code points, end exclusive). Rows with
+    ``removals``: merged spans to remove (code points, end exclusive). With
+    ``within``, clusters that only one document holds, more than once, count
+    too: a column ``spans_documents`` tells them from the others, and a document
+    that has clusters of both kinds has a row for each. Rows with
     a null id or text are left out; repeated rows of one id count as one
     document; an empty table gives no rows.
     """
@@ -222,15 +225,16 @@ def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFra
     texts = staged(given.select("class", "text").dropDuplicates(["class"]))
     units = staged(_units(texts))
     units = units.join(line_clusters(texts), "print", "left").withColumn("cluster", F.coalesce("cluster", "print")).join(bounds, "class")
-    first = units.groupBy("line", "cluster").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("top").alias("other")).where("first.doc_id != other")
+    first = units.groupBy("line", "cluster").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("top").alias("other"), F.count("*").alias("copies"))
+    first = first.withColumn("spans_documents", F.expr("first.doc_id != other")).where("spans_documents OR copies > 1" if within else "spans_documents")
     found = units.join(first, ["line", "cluster"])
     # several pieces of one passage and its copies are one row a text
     span, stays = F.struct("start", "end"), F.expr("first.doc_id = doc_id AND first.start = start")
-    found = found.groupBy("class").agg(F.min("doc_id").alias("low"), F.collect_set("first.doc_id").alias("keeps"), F.count("*").alias("n"),
+    found = found.groupBy("class", "spans_documents").agg(F.min("doc_id").alias("low"), F.collect_set("first.doc_id").alias("keeps"), F.count("*").alias("n"),
                                        F.collect_set(F.when(~stays, span)).alias("goes"), F.collect_set(F.when(stays, span)).alias("own"))
-    rows = members.join(found, "class").select("doc_id", "keeps", (F.col("n") * F.col("times")).alias("n"),
+    rows = members.join(found, "class").select("doc_id", "spans_documents", "keeps", (F.col("n") * F.col("times")).alias("n"),
                                                F.when(F.col("doc_id") == F.col("low"), F.col("goes")).otherwise(F.array_union("goes", "own")).alias("spans"))
-    rows = rows.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("keeps")))).alias("keep_doc_ids"), F.sum("n").alias("n_repeated"),
+    rows = rows.groupBy("doc_id", "spans_documents").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("keeps")))).alias("keep_doc_ids"), F.sum("n").alias("n_repeated"),
                                       F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     none = F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)")
     merged = F.aggregate("spans", F.struct(none.alias("done"), F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("z")), lambda acc, s: F.when(
@@ -238,4 +242,4 @@ def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFra
         F.struct(F.when(acc["z"] >= 0, F.concat(acc["done"], F.array(F.struct(acc["a"].alias("start"), acc["z"].alias("end"))))).otherwise(acc["done"]).alias("done"),
                  s["start"].alias("a"), s["end"].alias("z"))),
         lambda acc: F.when(acc["z"] >= 0, F.concat(acc["done"], F.array(F.struct(acc["a"].alias("start"), acc["z"].alias("end"))))).otherwise(acc["done"]))
-    return rows.select("doc_id", "keep_doc_ids", "n_repeated", merged.alias("removals"))
+    return rows.select("doc_id", "keep_doc_ids", "n_repeated", merged.alias("removals"), *(["spans_documents"] if within else []))

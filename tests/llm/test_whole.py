@@ -54,3 +54,14 @@ def test_one_row_of_a_group_stays(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, a), (None, b), (3, c), (None, d), (4, "")], key=str)
+
+
+def test_repeats_within_one_document(spark):
+    """A caller who asks for them gets them, told from those that span documents."""
+    rng = random.Random(7)
+    line, other, shared = (" ".join(_text(rng, 45)) for _ in range(3))
+    rows = [(1, f"{line}\n{shared}\n{other}\n{line}"), (2, shared), (3, " ".join(_text(rng, 45)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.spans_documents): [rows[r.doc_id - 1][1][s.start: s.end] for s in r.removals] for r in paragraphs.repeats(docs, within=True).collect()}
+    assert got == {(1, True): [], (2, True): [shared], (1, False): [line]}
+    assert {r.doc_id for r in paragraphs.repeats(docs).collect()} == {1, 2}
