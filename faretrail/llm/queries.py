@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faretrail.llm import byte_bpe, decontaminate, jaccard, paragraphs, perplexity, reshard, secrets, token_counts, token_files, warc
+from faretrail.llm import (byte_bpe, decontaminate, fill_middle, jaccard, line_dedup, paragraphs, perplexity, pivot_codes, reshard, secrets,
+                           token_counts, token_files, warc)
 from faretrail.llm.common import scratch_path, table
 
 
@@ -75,6 +76,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_pivot_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_codes.codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fill_middle.fill_middle(docs).select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.keep_bitmaps(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(line_dedup.kept_text().cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_decontaminate": op2_decontaminate,
@@ -86,4 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_token_files": op9_token_files,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_pivot_codes": op11_pivot_codes,
+    "op12_fill_middle": op12_fill_middle,
+    "op13_line_dedup": op13_line_dedup,
 }
