@@ -13,10 +13,10 @@ from faretrail.operators.focal import (
     focal_transactions_per_user,
 )
 from faretrail.operators.extract import (
-    fares_for_day, sample_card_ids, sample_user_transactions, day_of_transactions,
+    fares_for_day, sample_state, write_sample_state, merge_samples, sample_card_ids, sample_user_transactions, day_of_transactions,
     sample_day_of_transactions, write_day_table, save_day_table, write_transfer_database, descriptive_tables, card_hash,
     to_local_time, day_bounds,
 )
-from faretrail.operators.sequences import extract_sequence_by_date, extract_sequence_for_random_week
+from faretrail.operators.sequences import extract_sequence_by_date, extract_sequence_for_random_week, sequences_of_sampled_trips
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -10,10 +10,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faretrail.operators.enrich import make_human_readable
+from faretrail.sources.lookups import open_tables
 from faretrail.schema import CARD, DAY_BOUNDARY_UTC, DAY_COLUMNS, MAX_SERIAL, SEQ, TIME
 
 LOCAL_ZONE = "America/Los_Angeles"
@@ -92,32 +93,82 @@ def fares_for_day(raw: DataFrame, start_date: str, partition_time: str = DAY_BOU
     return day.select(*cols)
 
 
+def _draw(card, seed: int) -> F.Column:
+    """A card's place in the seeded hash order."""
+    return F.sha1(F.concat(card, F.lit(f"#{seed}")))
+
+
+def _exactly(picked: DataFrame, n_users: int) -> DataFrame:
+    """``picked`` (at most ``n_users`` cards), or an error from the running plan when there are fewer.
+
+    The sample becomes one row with all its cards, a row that is there for an
+    empty population too.
+    """
+    return _one_row(picked, n_users).select(F.explode("cards").alias(CARD))
+
+
+def _one_row(picked: DataFrame, n_users: int) -> DataFrame:
+    one = picked.agg(F.collect_list(CARD).alias("cards"))
+    found = F.size("cards")
+    message = F.concat(F.lit(f"cannot sample {n_users} cards from "), found.cast("string"))
+    return one.select(F.when(found < n_users, F.raise_error(message)).otherwise(F.col("cards")).alias("cards"))
+
+
 def sample_card_ids(tr: DataFrame, n_users: int, seed: int = 0, check: bool = False) -> DataFrame:
     """``n_users`` distinct cards, chosen by a seeded hash order.
 
     Deterministic and uniform over cards (the hash is independent of the
     id's order). A per-partition top-n then a merge: only ``n_users`` rows
     per partition reach the final step. With ``check`` the plan itself raises
-    when there are fewer cards (but some); without it all of them are returned.
+    when there are fewer cards, or none; without it all of them are returned.
     """
     ids = tr.select(CARD).where(F.col(CARD).isNotNull()).distinct()
-    key = F.sha1(F.concat(F.col(CARD), F.lit(f"#{seed}")))
-    picked = ids.orderBy(key, F.col(CARD)).limit(n_users)
-    if not check:
-        return picked
-    # the window is over the sample, which holds at most n_users rows
-    found = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    message = F.concat(F.lit(f"cannot sample {n_users} cards from "), found.cast("string"))
-    return picked.select(F.when(found < n_users, F.raise_error(message)).otherwise(F.col(CARD)).alias(CARD))
+    picked = ids.orderBy(_draw(F.col(CARD), seed), F.col(CARD)).limit(n_users)
+    return _exactly(picked, n_users) if check else picked
+
+
+def sample_state(tr: DataFrame, n_users: int, seed: int = 0, by: str = "service_date") -> DataFrame:
+    """The mergeable state of a sample: of each ``by`` its ``n_users`` first cards in the hash order.
+
+    ``(by, draw, card)``, at most ``n_users`` rows a day. A card that is among
+    the first of all days is among the first of each day it was used on, so
+    :func:`merge_samples` of any days' states gives the sample of these days
+    without their taps. Only a map task's first cards of a day are shuffled
+    (Spark limits the window before its exchange). Null cards are left out.
+    """
+    ids = tr.select(by, CARD).where(F.col(CARD).isNotNull()).distinct().withColumn("draw", _draw(F.col(CARD), seed))
+    place = F.row_number().over(Window.partitionBy(by).orderBy("draw", CARD))
+    return ids.withColumn("_place", place).where(F.col("_place") <= n_users).select(by, "draw", CARD)
+
+
+def write_sample_state(tr: DataFrame, path: str, n_users: int, seed: int = 0, by: str = "service_date") -> None:
+    """Persist the states of the days in ``tr``, one partition a day; days written before are replaced, others stay."""
+    (sample_state(tr, n_users, seed, by).repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(by).parquet(path))
+
+
+def merge_samples(states: DataFrame, n_users: int, check: bool = True) -> DataFrame:
+    """The sample of ``n_users`` cards over all days of ``states``: what :func:`sample_card_ids` draws from their taps.
+
+    ``states`` must hold at least ``n_users`` cards a day (or all of a day's
+    cards). ``check``: running the plan fails when there are fewer, or none.
+    """
+    picked = states.select("draw", CARD).distinct().orderBy("draw", CARD).limit(n_users).select(CARD)
+    return _exactly(picked, n_users) if check else picked
 
 
 def sample_user_transactions(tr: DataFrame, n_users: int, seed: int = 0, check: bool = True) -> DataFrame:
     """All taps of ``n_users`` sampled cards (semi-join on the sampled ids).
 
-    ``check``: running the plan fails when there are fewer cards.
+    ``check``: running the plan fails when there are fewer cards, or none.
     """
     ids = sample_card_ids(tr, n_users, seed, check)
-    return tr.join(ids, CARD, "left_semi")
+    taps = tr.join(ids, CARD, "left_semi")
+    if not check:
+        return taps
+    # Spark skips a semi-join of no taps, so the size is also looked at in a branch that adds no rows
+    guard = _one_row(sample_card_ids(tr, n_users, seed), n_users).where(F.size("cards") < n_users)
+    return taps.union(guard.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in taps.schema.fields]))
 
 
 def day_of_transactions(raw: DataFrame, start_date: str, participants: DataFrame, routes: DataFrame,
@@ -170,22 +221,16 @@ def save_day_table(day: DataFrame, table: str, path: str, service_date: str, buc
     # one task a bucket: a day has at most ``buckets`` files
     out = day.withColumn("service_date", F.lit(service_date).cast("date")).repartition(buckets, CARD)
     if not spark.catalog.tableExists(table):
+        # the table keeps the option, so that saving a day again replaces that day alone
         (out.write.format("parquet").partitionBy("service_date").bucketBy(buckets, CARD)
-         .sortBy(CARD, TIME, SEQ).option("path", path).saveAsTable(table))
+         .sortBy(CARD, TIME, SEQ).option("path", path).option("partitionOverwriteMode", "dynamic").saveAsTable(table))
     else:
-        cols = spark.table(table).columns
-        key = "spark.sql.sources.partitionOverwriteMode"
-        before = spark.conf.get(key)
-        spark.conf.set(key, "dynamic")   # insertInto takes the mode from the session
-        try:
-            out.select(*cols).write.insertInto(table, overwrite=True)
-        finally:
-            spark.conf.set(key, before)
-
-
-def descriptive_tables(participants: DataFrame, routes: DataFrame, locations: DataFrame) -> dict:
-    """The lookup tables by name (operators, routes, locations)."""
-    return {"operators": participants, "routes": routes, "locations": locations}
+        out.select(*spark.table(table).columns).write.insertInto(table, overwrite=True)
+
+
+def descriptive_tables(spark: SparkSession, source: str | None = None) -> dict[str, DataFrame]:
+    """The lookup tables (operators, routes, locations) opened by name: see :func:`faretrail.sources.open_tables`."""
+    return open_tables(spark, source)
 
 
 def write_transfer_database(db: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -8,7 +8,6 @@ day 2024-01-10, 5 sampled cards, ...) so that the DuckDB oracle in
 
 from __future__ import annotations
 
-import dataclasses
 import uuid
 from functools import cached_property, reduce
 from typing import Callable
@@ -20,13 +19,14 @@ from faretrail import sources as src
 from faretrail.functions.timecols import nicetime, spread_time_column
 from faretrail.operators import (
     CardOrder, add_journey_id, add_transfer_time, as_focal_journeys, as_rides, cards_using_operator,
-    classify_rule_transfers, descriptive_tables, write_day_table, combined_focal_transactions, create_transfer_df, day_of_transactions,
-    extract_sequence_by_date, extract_sequence_for_random_week, fares_for_day, focal_identify,
+    classify_rule_transfers, combined_focal_transactions, create_transfer_df, day_of_transactions,
+    descriptive_tables, extract_sequence_by_date, extract_sequence_for_random_week, fares_for_day, focal_identify,
     focal_lag_and_lead_metadata, focal_to_focal, get_product_description, identify_transfer_for_time,
-    make_human_readable, sample_day_of_transactions, sample_user_transactions, tap_counts,
+    make_human_readable, merge_samples, sample_day_of_transactions, sample_user_transactions, sequences_of_sampled_trips, tap_counts,
+    write_day_table, write_sample_state,
 )
 from faretrail.plans import reports
-from faretrail.session import app_key, checkpoint_dir, materialize
+from faretrail.session import checkpoint_dir
 
 TRANSFER_MINS = 120
 JOURNEY_GAP = 60
@@ -38,7 +38,6 @@ PRODUCT_TOP = 6
 SAMPLING_RATE = 0.5
 CHART_AGENCY = "NATION_4"
 SEGMENT_ROWS = 2_000_000
-HOT_BROADCAST_ROWS = 200_000
 
 KEY = ["cardid_anony", "sequencenumber", "transaction_time"]
 
@@ -47,9 +46,8 @@ class Base:
     """Lazy base plans of one data directory (scans, fixture mapping, lookups,
     enrichment) and the hot-card decision.
 
-    The plans are immutable and cheap to hold, so one instance per
-    (application, directory, threshold) is shared by all queries; nothing here
-    is computed or cached as data except the bounded hot-card list.
+    Made anew for every run, so a run always sees the files as they are: a
+    DataFrame keeps the file list of its scan, and hot cards come with the data.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, segment_rows: int | None):
@@ -90,29 +88,7 @@ class Base:
 
     def order_of(self, taps: DataFrame) -> CardOrder:
         """Hot-card split of these taps."""
-        if self.segment_rows is None:
-            return CardOrder.plain()
-        detected = CardOrder.detect(taps.select("cardid_anony", "transaction_time"), self.segment_rows)
-        # One aggregate pass over (card, time); the result holds at most
-        # rows / segment_rows cards and is written once, so the emptiness test
-        # and every later window stage read the copy instead of re-aggregating.
-        hot = materialize(detected.hot)
-        if hot.isEmpty():
-            return CardOrder.plain()
-        # Broadcast the hot list only if its measured size is small.
-        return dataclasses.replace(detected, hot=hot, broadcast_hot=hot.count() <= HOT_BROADCAST_ROWS)
-
-
-_BASES: dict[tuple, tuple[list, Base]] = {}
-
-
-def base_for(spark: SparkSession, sf_dir: str, segment_rows: int | None) -> Base:
-    """The base plans of a directory as it is now: other files, other plans and hot cards."""
-    files = [tuple(sorted(src.read_table(spark, sf_dir, t).inputFiles())) for t in ("events", "nation", "part")]
-    key = (app_key(spark), sf_dir, segment_rows)
-    if key not in _BASES or _BASES[key][0] != files:
-        _BASES[key] = (files, Base(spark, sf_dir, segment_rows))
-    return _BASES[key][1]
+        return CardOrder.settle(taps.select("cardid_anony", "transaction_time"), self.segment_rows)
 
 
 class Inputs:
@@ -282,33 +258,46 @@ def q_service_day(i: Inputs) -> DataFrame:
 
 def q_day_table(i: Inputs) -> DataFrame:
     """The service day written as a day table in the shared folder and read back."""
-    path = f"{checkpoint_dir(i.spark).rstrip('/')}/faretrail-day-{uuid.uuid4().hex}"
+    path = scratch(i, "day")
     write_day_table(fares_for_day(i.raw, SERVICE_DATE), path, SERVICE_DATE)
     return i.spark.read.parquet(path).select(*DAY_COLS, "service_date")
 
 
+def scratch(i: Inputs, stem: str) -> str:
+    """A path not yet used in the shared folder."""
+    return f"{checkpoint_dir(i.spark).rstrip('/')}/faretrail-{stem}-{uuid.uuid4().hex}"
+
+
 def q_lookups(i: Inputs) -> DataFrame:
-    """Keys and names of the lookup tables, by table name."""
+    """Keys and names of the lookup tables, written to the shared folder and opened by name."""
+    folder = scratch(i, "lookups")
+    for name, df in zip(src.LOOKUPS, i.dims):
+        df.write.parquet(f"{folder}/{name}")
     keys = {"operators": ("participantid", None, "participantname"), "routes": ("participantid", "routeid", "routename"),
             "locations": ("participantid", "locationcode", "locationname")}
     parts = []
-    for name, df in descriptive_tables(*i.dims).items():
+    for name, df in descriptive_tables(i.spark, folder).items():
         operator, key, label = keys[name]
-        parts.append(df.select(F.lit(name).alias("lookup"), F.col(operator).cast("int").alias("operator"),
+        parts.append(df.select(F.lit(name).alias("lookup"), F.col(operator).alias("operator"),
                                (F.col(key) if key else F.lit(None)).cast("int").alias("key"), F.col(label).alias("label")))
     return reduce(DataFrame.unionByName, parts)
 
 
 def q_file_manifest(i: Inputs) -> DataFrame:
-    """Monthly transaction and transfer files, named after the months of the taps."""
-    month = i.raw.select(F.date_format("generationtime", "yyyy - MM").alias("month")).distinct()
-    names = month.select(F.explode(F.array(*[F.concat("month", F.lit(f" {kind}.csv")) for kind, _ in src.MANIFEST_TYPES])).alias("name"))
-    return src.file_manifest(names)
+    """The taps and their transfers of each month written as files of that name, and the manifest of the folder's listing."""
+    folder = scratch(i, "months")
+    month = F.date_format("generationtime", "yyyy - MM")
+    kinds = F.explode(F.array(*[F.lit(kind) for kind, _ in src.MANIFEST_TYPES]))
+    rows = i.raw.select("sequencenumber", "transferdiscountflag", month.alias("month"), kinds.alias("kind")).where(
+        "kind = 'Transaction' OR transferdiscountflag = 1")
+    named = rows.select("sequencenumber", F.concat("month", F.lit(" "), "kind", F.lit(".csv")).alias("file"))
+    named.repartition("file").write.partitionBy("file").csv(folder)
+    return src.file_manifest(src.list_files(i.spark, folder))
 
 
 def q_transfer_rules_csv(i: Inputs) -> DataFrame:
     """The agency rules written as CSV to the shared folder and read back."""
-    path = f"{checkpoint_dir(i.spark).rstrip('/')}/faretrail-rules-{uuid.uuid4().hex}"
+    path = scratch(i, "rules")
     src.transfer_rules_from(i.nation).write.option("header", True).option("quote", "'").csv(path)
     return src.read_transfer_rules(i.spark, path)
 
@@ -331,6 +320,14 @@ def q_card_sample(i: Inputs) -> DataFrame:
     return sample_user_transactions(i.taps, SAMPLE_CARDS, SAMPLE_SEED, check=False).select(*KEY, "operatorid")
 
 
+def q_card_sample_of_days(i: Inputs) -> DataFrame:
+    """Taps of cards sampled from the states of all days, which are written a day apart and merged."""
+    path = scratch(i, "sample")
+    write_sample_state(i.taps.withColumn("service_date", F.to_date("transaction_time")), path, SAMPLE_CARDS, SAMPLE_SEED)
+    ids = merge_samples(i.spark.read.parquet(path), SAMPLE_CARDS, check=False)
+    return i.taps.join(ids, "cardid_anony", "left_semi").select(*KEY, "operatorid")
+
+
 def q_time_columns(i: Inputs) -> DataFrame:
     return spread_time_column(i.taps).select(*KEY, "t_hour", "t_minute", "t_yday", "t_wday", "t_month")
 
@@ -361,6 +358,13 @@ def q_shares(i: Inputs) -> DataFrame:
     return i.shares
 
 
+def q_pair_day_csv(i: Inputs) -> DataFrame:
+    """The transfer database written as the pair-day CSV, read back, and its shares."""
+    path = scratch(i, "pairs")
+    src.write_pair_day(i.transfer_db, path)
+    return reports.transfer_shares(src.read_pair_day(i.spark, path))
+
+
 def q_median_share_chart(i: Inputs) -> DataFrame:
     return reports.median_from_share(i.shares, CHART_AGENCY)
 
@@ -393,6 +397,11 @@ def q_sequences_by_day_id(i: Inputs) -> DataFrame:
     return extract_sequence_for_random_week(i.rides_enriched, i.order)
 
 
+def q_sequences_sampled_trips(i: Inputs) -> DataFrame:
+    trips = src.sampled_trips_from(i.rides_enriched)
+    return sequences_of_sampled_trips(trips, i.order.renamed({"cardid_anony": "ClipperCardID"}))
+
+
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "transfer_matrix": q_transfer_matrix,
     "transfer_matrix_from_rides": q_transfer_matrix_from_rides,
@@ -435,11 +444,14 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "transfers_with_totals": q_transfers_with_totals,
     "sequences_by_date": q_sequences_by_date,
     "sequences_by_day_id": q_sequences_by_day_id,
+    "sequences_sampled_trips": q_sequences_sampled_trips,
+    "pair_day_csv": q_pair_day_csv,
+    "card_sample_of_days": q_card_sample_of_days,
 }
 
 
 def run(name: str, spark: SparkSession, sf_dir: str, segment_rows: int | None = SEGMENT_ROWS) -> DataFrame:
-    return QUERIES[name](Inputs(spark, sf_dir, segment_rows, base_for(spark, sf_dir, segment_rows)))
+    return QUERIES[name](Inputs(spark, sf_dir, segment_rows))
 
 
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -452,8 +452,8 @@ UNION ALL SELECT 'locations', participantid, locationcode, locationname FROM loc
     q["file_manifest"] = """
 SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
        strftime(ts, '%Y - %m') || ' Transaction.csv' AS "Transactions",
-       strftime(ts, '%Y - %m') || ' Transfer.csv' AS "Transfers"
-FROM events GROUP BY ALL"""
+       max(CASE WHEN CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) % 3 = 0 THEN strftime(ts, '%Y - %m') || ' Transfer.csv' END) AS "Transfers"
+FROM events GROUP BY 1, 2, 3"""
 
     q["transfer_rules_csv"] = """
 SELECT a.n_name AS "from_AgencyName", b.n_name AS "to_AgencyName",
@@ -479,6 +479,8 @@ SELECT {ENRICHED_COLS} FROM day_e"""
 ids AS ({sample.format(src='taps')})""") + f"""
 SELECT {KEY}, operatorid FROM taps WHERE cardid_anony IN (SELECT cardid_anony FROM ids)"""
 
+    q["card_sample_of_days"] = q["card_sample"]
+
     q["time_columns"] = _with(BASE) + f"""
 SELECT {KEY}, CAST(hour(transaction_time) AS INTEGER) AS t_hour,
        CAST(minute(transaction_time) AS INTEGER) AS t_minute,
@@ -511,6 +513,10 @@ SELECT {KEY}, previous_participant, participantname, transfer_time, max_time, is
     tdb = _with(base_e, ",", TRANSFER_DB)
     q["transfer_database"] = tdb + "\nSELECT * FROM tdb"
     q["shares"] = tdb + "\nSELECT * FROM shares"
+    ints = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in (
+        "sampled_transfers", "from_Agency_Sampled_Transactions", "to_Agency_Sampled_Transactions", "estimated_transfers",
+        "estimated_from_agency_transactions", "estimated_to_agency_transactions"))
+    q["pair_day_csv"] = tdb + f"\nSELECT * REPLACE ({ints}) FROM shares"
     q["median_share_chart"] = tdb + f"""
 SELECT to_AgencyName, median(from_share) AS median_from_share
 FROM shares WHERE from_AgencyName = '{cat.CHART_AGENCY}' GROUP BY to_AgencyName"""
@@ -563,6 +569,26 @@ pc AS (
   FROM sd GROUP BY ALL
 ),
 cnt AS (SELECT DayID, RunSequence, count(*) AS n FROM pc GROUP BY ALL)
+SELECT DayID, CAST(DayID // 1000000 AS INTEGER) AS Year,
+       {MONTHS.format(c='CAST((DayID // 10000) % 100 AS INTEGER)')} AS Month,
+       {WEEKDAYS.format(c='CAST((DayID // 100) % 100 AS INTEGER)')} AS CircadianDayOfWeek,
+       CAST(DayID % 100 AS INTEGER) AS RandomWeekID, RunSequence, n
+FROM cnt"""
+
+    on = "coalesce(tagon_time, transaction_time)"
+    q["sequences_sampled_trips"] = _with(base_e, ",", rides_cte("enriched", "rides_e")) + f""",
+trips AS (
+  SELECT cardid_anony, CAST({on} - INTERVAL 3 HOUR AS DATE) AS day, 1 + sequencenumber % 3 AS week,
+         CASE WHEN sequencenumber % 11 != 0 THEN sequencenumber * 48271 % 2147483647 END AS trip, strftime({on}, '%H:%M:%S') AS clock,
+         concat_ws(' ', CAST(hour({on}) AS VARCHAR), coalesce(locationname_origin, 'NA'), coalesce(locationname_destination, 'NA')) AS record
+  FROM rides_e
+),
+pc AS (
+  SELECT cardid_anony, CAST(1000000 * CAST(year(day) AS BIGINT) + 10000 * month(day) + 100 * (dayofweek(day) + 1) + week AS BIGINT) AS DayID,
+         string_agg(record, ' ' ORDER BY trip NULLS LAST, clock, record) AS RunSequence
+  FROM trips GROUP BY ALL
+),
+cnt AS (SELECT DayID, RunSequence, count(*) AS n FROM pc GROUP BY ALL)
 SELECT DayID, CAST(DayID // 1000000 AS INTEGER) AS Year,
        {MONTHS.format(c='CAST((DayID // 10000) % 100 AS INTEGER)')} AS Month,
        {WEEKDAYS.format(c='CAST((DayID // 100) % 100 AS INTEGER)')} AS CircadianDayOfWeek,

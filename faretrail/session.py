@@ -66,14 +66,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or current
 
 
-def app_key(spark: SparkSession) -> str:
-    """Identity of the running application (for per-session plan caches)."""
-    try:
-        return spark.sparkContext.applicationId
-    except Exception:
-        return spark.conf.get("spark.app.id", str(id(spark)))
-
-
 def materialize(df):
     """Write ``df`` to the shared checkpoint folder and continue from the copy.
 

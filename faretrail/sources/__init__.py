@@ -17,7 +17,9 @@ from faretrail.sources.driver_tables import (
     contract_product_map_from,
     products_from,
     transfer_rules_from,
+    sampled_trips_from,
 )
-from faretrail.sources.files import MANIFEST_TYPES, read_transfer_rules, read_pair_day, file_manifest
+from faretrail.sources.files import MANIFEST_TYPES, file_manifest, list_files, read_pair_day, read_transfer_rules, write_pair_day
+from faretrail.sources.lookups import LOOKUPS, open_tables
 
 __all__ = [name for name in dir() if not name.startswith("_")]

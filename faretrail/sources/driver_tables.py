@@ -165,6 +165,25 @@ def transfer_rules_from(nation: DataFrame) -> DataFrame:
     )
 
 
+def sampled_trips_from(rides: DataFrame) -> DataFrame:
+    """Trips on sampled days, as a table of them would be given, from readable rides.
+
+    The sequence ids are a permutation of the sequence numbers (a prime modulus)
+    with some missing, so their order is not that of the times; the week is
+    given too and is not that of the month.
+    """
+    on = F.coalesce(F.col("tagon_time"), F.col("transaction_time"))
+    day = F.to_date(on - F.expr("INTERVAL 3 HOURS"))
+    return rides.select(
+        F.col("cardid_anony").alias("ClipperCardID"),
+        F.year(day).alias("Year"), F.month(day).alias("Month"), F.dayofweek(day).alias("CircadianDayOfWeek"),
+        (1 + F.col("sequencenumber") % 3).cast("int").alias("RandomWeekID"),
+        F.when(F.col("sequencenumber") % 11 != 0, F.col("sequencenumber") * 48271 % 2147483647).alias("TripSequenceID"),
+        F.date_format(on, "HH:mm:ss").alias("TagOnTime_Time"),
+        F.col("locationname_origin").alias("TagOnLocationName"), F.col("locationname_destination").alias("TagOffLocationName"),
+    )
+
+
 def participants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return participants_from(read_table(spark, sf_dir, "nation"))
 

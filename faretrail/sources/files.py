@@ -55,6 +55,28 @@ def read_pair_day(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAIR_DAY_SCHEMA).option("header", True).option("mode", "FAILFAST").csv(path)
 
 
+def write_pair_day(db: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write the pair-day transfer database as CSV with the 12 columns that :func:`read_pair_day` reads, in its order."""
+    db.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PAIR_DAY_SCHEMA.fields]).write.mode(mode).option("header", True).csv(path)
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The data files under ``folder`` by Spark's own listing: ``name``, ``length``, ``modificationTime``; no content is read.
+
+    A data set that Spark wrote (a folder of ``part-`` files) counts as one
+    file of the folder's name, a partition folder ``key=value`` as one of the
+    value; its length is the sum, its time the latest of its parts. Hidden files
+    and markers are not listed, an empty folder gives no rows.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    steps = F.split("path", "/")
+    name = F.when(F.element_at(steps, -1).startswith("part-"), F.element_at(steps, -2)).otherwise(F.element_at(steps, -1))
+    name = F.regexp_replace(name, "^[A-Za-z_][A-Za-z0-9_]*=", "")
+    # what Spark escapes in names of partition folders
+    name = F.when(name.rlike("%[0-9A-F]{2}"), F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).otherwise(name)
+    return files.groupBy(name.alias("name")).agg(F.sum("length").alias("length"), F.max("modificationTime").alias("modificationTime"))
+
+
 def file_manifest(names: DataFrame, name_col: str = "name") -> DataFrame:
     """Pair monthly transaction and transfer files from their names.
 

@@ -18,8 +18,6 @@ day partitions of the sink.
 
 from __future__ import annotations
 
-import dataclasses
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,8 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 from faretrail.operators.enrich import make_human_readable
 from faretrail.operators.ordering import CardOrder
 from faretrail.operators.transfers import create_transfer_df
-from faretrail.schema import CARD, TIME
-from faretrail.session import materialize
+from faretrail.schema import CARD
 
 DAY = "service_date"
 
@@ -41,12 +38,7 @@ def day_matrix(days: DataFrame, participants: DataFrame, routes: DataFrame, loca
     ``segment_rows`` taps is split exactly (see ``CardOrder``).
     """
     enriched = make_human_readable(days, participants, routes, locations)
-    order = CardOrder.plain(keys=(CARD, DAY))
-    if segment_rows is not None:
-        detected = CardOrder.detect(days.select(CARD, DAY, TIME), segment_rows, keys=(CARD, DAY))
-        hot = materialize(detected.hot)   # one aggregate pass, then tests and reuse read the copy
-        if not hot.isEmpty():
-            order = dataclasses.replace(detected, hot=hot)
+    order = CardOrder.settle(days.select(CARD, DAY), segment_rows, keys=(CARD, DAY))
     return create_transfer_df(enriched, mins, order, by=(DAY,))
 
 

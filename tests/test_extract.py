@@ -138,7 +138,7 @@ def test_bucketed_day_table_needs_no_exchange(spark):
 
 def test_product_description_columns(spark):
     from faretrail import sources
-    from faretrail.operators import descriptive_tables, get_product_description
+    from faretrail.operators import get_product_description
 
     taps = sources.taps(spark, "/root/testdata/sf0.001")
     cmap, prods = (sources.contract_product_map(spark, "/root/testdata/sf0.001"),
@@ -149,8 +149,6 @@ def test_product_description_columns(spark):
     assert plain.count() == taps.count()                       # unique product keys: no fan-out
     # every nation has products: nation 7 is no longer left out of the lookup
     assert plain.where("operatorid = 7").where("product_description is not null").count() > 0
-    tables = descriptive_tables(*[spark.range(1)] * 3)
-    assert set(tables) == {"operators", "routes", "locations"}
 
 
 def test_day_filter_prunes_service_date_partitions(spark):

@@ -11,7 +11,7 @@ from conftest import SF_SMALL
 WINDOWED = ["rides", "transfer_flags", "transfer_matrix", "transfer_time", "journeys", "focal_flags",
             "focal_metadata", "focal_journeys", "focal_to_focal", "focal_pairs", "rule_transfers",
             "sequences_by_date", "product_usage", "tap_counts", "transfer_database", "top_movements",
-            "sequences_by_day_id", "hour_histogram"]
+            "sequences_by_day_id", "hour_histogram", "sequences_sampled_trips"]
 
 
 def _rows(df):
