@@ -14,9 +14,10 @@ from faretrail.operators.focal import (
 )
 from faretrail.operators.extract import (
     fares_for_day, sample_state, write_sample_state, merge_samples, sample_card_ids, sample_user_transactions, day_of_transactions,
-    sample_day_of_transactions, write_day_table, save_day_table, write_transfer_database, descriptive_tables, card_hash,
+    sample_day_of_transactions, taps_of_card, write_day_table, save_day_table, write_transfer_database, descriptive_tables, card_hash,
     to_local_time, day_bounds,
 )
+from faretrail.operators.medians import exact_medians
 from faretrail.operators.sequences import extract_sequence_by_date, extract_sequence_for_random_week, sequences_of_sampled_trips
 
 __all__ = [name for name in dir() if not name.startswith("_")]

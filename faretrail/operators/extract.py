@@ -9,13 +9,15 @@ Pacific in winter) and lasts 24 hours. Predicates are written on the raw
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faretrail.operators.enrich import make_human_readable
-from faretrail.sources.lookups import open_tables
+from faretrail.operators.ordering import SEGMENT, CardOrder
 from faretrail.schema import CARD, DAY_BOUNDARY_UTC, DAY_COLUMNS, MAX_SERIAL, SEQ, TIME
+from faretrail.sources.lookups import open_tables
 
 LOCAL_ZONE = "America/Los_Angeles"
 
@@ -190,13 +192,20 @@ def sample_day_of_transactions(raw: DataFrame, start_date: str, n_users: int, pa
                                locations)
 
 
-def write_day_table(day: DataFrame, path: str, service_date: str, mode: str = "overwrite") -> None:
-    """Persist a service day clustered for the card windows.
+#: Bytes of a row group of a day table, the unit that a card lookup reads.
+ROW_GROUP_BYTES = 32 << 20
+
+
+def write_day_table(day: DataFrame, path: str, service_date: str, mode: str = "overwrite",
+                    row_group_bytes: int = ROW_GROUP_BYTES) -> None:
+    """Persist a service day clustered for the card windows and for card lookups.
 
     Rows are dealt by ranges of (card, time, sequence), so a card of very many
     taps spans several files, and sorted so inside each file, under a
     ``service_date=`` partition; with dynamic partition overwrite only that day
-    is replaced.
+    is replaced. Row groups are small, so their least and largest card are a
+    zone map, and hold a Bloom filter on the card: ``cardid_anony = ...`` reads
+    the row groups of that card alone (see :func:`taps_of_card`).
     """
     out = (
         day.withColumn("service_date", F.lit(service_date).cast("date"))
@@ -204,10 +213,22 @@ def write_day_table(day: DataFrame, path: str, service_date: str, mode: str = "o
         .sortWithinPartitions(CARD, TIME, SEQ)
     )
     (out.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+     .option("parquet.block.size", row_group_bytes)
+     .option(f"parquet.bloom.filter.enabled#{CARD}", True).option("parquet.bloom.filter.adaptive.enabled", True)
      .partitionBy("service_date").parquet(path))
 
 
-def save_day_table(day: DataFrame, table: str, path: str, service_date: str, buckets: int = 64) -> None:
+def taps_of_card(days: DataFrame, serial: int | None = None, card: str | None = None) -> DataFrame:
+    """The stored taps of one card, given by its serial or its hash; the filter is a literal that reaches the row groups."""
+    if (serial is None) == (card is None):
+        raise ValueError("give the card's serial or its hash")
+    if card is None:
+        card = hashlib.sha1(str(serial).encode()).hexdigest()
+    return days.where(F.col(CARD) == card)
+
+
+def save_day_table(day: DataFrame, table: str, path: str, service_date: str, buckets: int = 64,
+                   segment_rows: int | None = 2_000_000) -> None:
     """Persist a service day into a catalog table bucketed and sorted by card.
 
     The table is partitioned by ``service_date`` and bucketed on
@@ -215,11 +236,18 @@ def save_day_table(day: DataFrame, table: str, path: str, service_date: str, buc
     Reading it back, Spark knows every card sits in one bucket, so the card
     windows of all operators run without any exchange. Re-saving a day
     replaces only that day (dynamic partition overwrite). ``buckets`` should
-    give bucket files of a few hundred MB per day.
+    give bucket files of a few hundred MB per day. A bucket is written by one
+    task; cards of more than ``segment_rows`` taps by several, into files of
+    their bucket.
     """
     spark = day.sparkSession
-    # one task a bucket: a day has at most ``buckets`` files
-    out = day.withColumn("service_date", F.lit(service_date).cast("date")).repartition(buckets, CARD)
+    order = CardOrder.settle(day.select(CARD), segment_rows)
+    out = day.withColumn("service_date", F.lit(service_date).cast("date"))
+    if order.hot is None:
+        out = out.repartition(buckets, CARD)
+    else:
+        columns = out.columns
+        out = order.segments(out, order.order).repartition(buckets, F.pmod(F.hash(CARD), F.lit(buckets)), SEGMENT).select(*columns)
     if not spark.catalog.tableExists(table):
         # the table keeps the option, so that saving a day again replaces that day alone
         (out.write.format("parquet").partitionBy("service_date").bucketBy(buckets, CARD)

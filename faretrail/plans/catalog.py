@@ -20,7 +20,7 @@ from faretrail.functions.timecols import nicetime, spread_time_column
 from faretrail.operators import (
     CardOrder, add_journey_id, add_transfer_time, as_focal_journeys, as_rides, cards_using_operator,
     classify_rule_transfers, combined_focal_transactions, create_transfer_df, day_of_transactions,
-    descriptive_tables, extract_sequence_by_date, extract_sequence_for_random_week, fares_for_day, focal_identify,
+    descriptive_tables, exact_medians, extract_sequence_by_date, extract_sequence_for_random_week, fares_for_day, focal_identify,
     focal_lag_and_lead_metadata, focal_to_focal, get_product_description, identify_transfer_for_time,
     make_human_readable, merge_samples, sample_day_of_transactions, sample_user_transactions, sequences_of_sampled_trips, tap_counts,
     write_day_table, write_sample_state,
@@ -365,6 +365,26 @@ def q_pair_day_csv(i: Inputs) -> DataFrame:
     return reports.transfer_shares(src.read_pair_day(i.spark, path))
 
 
+def q_transfer_database_upkeep(i: Inputs) -> DataFrame:
+    """The transfer database kept from a table of service days: odd days first, then all of them, the odd ones again."""
+    from faretrail.streaming.transfer_db import read_transfer_database, refresh_transfer_database
+
+    table, sink = scratch(i, "days"), scratch(i, "database")
+    days = i.taps.withColumn("service_date", F.to_date(F.expr("transaction_time - INTERVAL 3 HOURS")))
+    days.repartition("service_date").write.partitionBy("service_date").parquet(table)
+    touched = i.spark.read.parquet(table).select("service_date").distinct()
+    rules = src.transfer_rules_from(i.nation)
+    for part in (touched.where("day(service_date) % 2 = 1"), touched):
+        refresh_transfer_database(i.spark, table, sink, part, i.dims, rules, SAMPLING_RATE, i.segment_rows)
+    return read_transfer_database(i.spark, sink)
+
+
+def q_median_gaps(i: Inputs) -> DataFrame:
+    """Median minutes between rides of a card, by the two operators."""
+    gaps = add_transfer_time(i.enriched, i.order)
+    return exact_medians(gaps, ["previous_participant", "participantname"], "transfer_time", "median_minutes")
+
+
 def q_median_share_chart(i: Inputs) -> DataFrame:
     return reports.median_from_share(i.shares, CHART_AGENCY)
 
@@ -446,6 +466,8 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "sequences_by_day_id": q_sequences_by_day_id,
     "sequences_sampled_trips": q_sequences_sampled_trips,
     "pair_day_csv": q_pair_day_csv,
+    "transfer_database_upkeep": q_transfer_database_upkeep,
+    "median_gaps": q_median_gaps,
     "card_sample_of_days": q_card_sample_of_days,
 }
 

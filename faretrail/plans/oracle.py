@@ -512,6 +512,12 @@ SELECT {KEY}, previous_participant, participantname, transfer_time, max_time, is
 
     tdb = _with(base_e, ",", TRANSFER_DB)
     q["transfer_database"] = tdb + "\nSELECT * FROM tdb"
+    by_day = W.replace("cardid_anony", "cardid_anony, CAST(transaction_time - INTERVAL 3 HOUR AS DATE)", 1)
+    q["transfer_database_upkeep"] = _with(base_e, ",", TRANSFER_DB).replace(W, by_day) + """
+SELECT *, make_date(Year, Month, CAST(1 + (CircadianDayOfWeek - 1 - dayofweek(make_date(Year, Month, 1)) + 7) % 7 + 7 * (RandomWeekID - 1) AS INTEGER)) AS service_date
+FROM tdb"""
+    q["median_gaps"] = _with(base_e, ",", TRANSFER_TIME) + """
+SELECT previous_participant, participantname, median(transfer_time) AS median_minutes FROM tt GROUP BY ALL"""
     q["shares"] = tdb + "\nSELECT * FROM shares"
     ints = ", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in (
         "sampled_transfers", "from_Agency_Sampled_Transactions", "to_Agency_Sampled_Transactions", "estimated_transfers",

@@ -65,37 +65,42 @@ def with_circadian_day(rides: DataFrame, ts: str = "transaction_time") -> DataFr
     return rides.select("*", *day_id_columns(circadian_date(ts)))
 
 
-def transfer_database(classified: DataFrame, sampling_rate: float = 0.5) -> DataFrame:
+def transfer_database(classified: DataFrame, sampling_rate: float = 0.5, by: tuple[str, ...] = ()) -> DataFrame:
     """Per (day, from agency, to agency): sampled and estimated transfers and the
     two agencies' sampled and estimated ride counts.
 
     ``classified`` is the output of ``classify_rule_transfers``. Pairs with no
     transfer are not emitted, nor pairs whose from- or to-agency has no ride
     that day. Estimates are sampled counts divided by the sampling rate,
-    rounded to whole rides.
+    rounded to whole rides. ``by``: further columns that keep days apart.
 
-    One pass over the rides: a grouping-sets aggregate yields both the agency
-    rows (rides per day and agency) and the pair rows (rides and transfers per
-    day, previous agency and agency). Two windows over that small result
-    attach the to-agency total (partition by the agency) and the from-agency
-    total (partition by the previous agency) to each pair row.
+    One pass over the rides counts rides and transfers of each (day, previous
+    agency, agency); agency rows (rides per day and agency) are sums of these
+    few. Two windows over that small result attach the to-agency total
+    (partition by the agency) and the from-agency total (partition by the
+    previous agency) to each pair row.
     """
+    day_keys = [*by, *DAY_KEYS]
     days = with_circadian_day(classified).drop("DayID")
-    agency_set = [*DAY_KEYS, "participantname"]
-    pair_set = [*DAY_KEYS, "previous_participant", "participantname"]
-    counts = days.groupingSets([agency_set, pair_set], *pair_set).agg(
-        F.grouping("previous_participant").alias("_agency_row"),
+    agency_set = [*day_keys, "participantname"]
+    pair_set = [*day_keys, "previous_participant", "participantname"]
+    counts = days.groupBy(*pair_set).agg(
         F.count(F.lit(1)).alias("_rides"),
         F.count(F.when(F.col("is_rule_transfer"), F.lit(1))).alias("_transfers"),
     )
+    counts = counts.groupingSets([agency_set, pair_set], *pair_set).agg(
+        F.grouping("previous_participant").alias("_agency_row"),
+        F.sum("_rides").alias("_rides"),
+        F.sum("_transfers").alias("_transfers"),
+    )
     is_agency = F.col("_agency_row") == 1
     agency_rides = F.sum(F.when(is_agency, F.col("_rides")))
     from_key = F.when(is_agency, F.col("participantname")).otherwise(F.col("previous_participant"))
     counts = counts.withColumn("_from_key", from_key)
     with_totals = counts.select(
         "*",
-        agency_rides.over(Window.partitionBy(*DAY_KEYS, "participantname")).alias("_to_rides"),
-        agency_rides.over(Window.partitionBy(*DAY_KEYS, "_from_key")).alias("_from_rides"),
+        agency_rides.over(Window.partitionBy(*day_keys, "participantname")).alias("_to_rides"),
+        agency_rides.over(Window.partitionBy(*day_keys, "_from_key")).alias("_from_rides"),
     )
     pairs = with_totals.where(
         ~is_agency & (F.col("_transfers") > 0)
@@ -106,7 +111,7 @@ def transfer_database(classified: DataFrame, sampling_rate: float = 0.5) -> Data
         return F.round(F.col(c) / F.lit(float(sampling_rate))).cast("long")
 
     return pairs.select(
-        *DAY_KEYS,
+        *day_keys,
         F.col("participantname").alias("to_AgencyName"),
         F.col("previous_participant").alias("from_AgencyName"),
         F.col("_transfers").alias("sampled_transfers"),
