@@ -31,20 +31,24 @@ LONG_WORD = 200
 #: Entries after which the cache turns into the old one, which the next turn drops; results do not depend on it.
 KEPT = 500_000
 
+# A word's rows leave the recursion in the turn that finds no pair for it; words come in as live rows.
 ENCODE = """
-WITH RECURSIVE step(word, pos, token, turn) AS (
-    SELECT word, pos, token, 0 FROM bytes_in
+WITH RECURSIVE step(word, pos, token, live) AS (
+    SELECT word, pos, token, live FROM bytes_in
   UNION ALL
-    SELECT word, pos, CASE WHEN pos = best & 4294967295 THEN (best >> 32)::INTEGER ELSE token END, turn + 1
-    FROM (SELECT word, pos, token, turn, before, min((rank::BIGINT << 32) + pos) OVER (PARTITION BY word) AS best
-          FROM (SELECT word, pos, token, turn, lead(token) OVER w AS following, lag(pos) OVER w AS before
-                FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)) p
+    SELECT word, pos, CASE WHEN pos = best & 4294967295 THEN (best >> 32)::INTEGER ELSE token END, best IS NOT NULL
+    FROM (SELECT word, pos, token, before, min((rank::BIGINT << 32) + pos) OVER (PARTITION BY word) AS best
+          FROM (SELECT word, pos, token, lead(token) OVER w AS following, lag(pos) OVER w AS before
+                FROM step WHERE live WINDOW w AS (PARTITION BY word ORDER BY pos)) p
           LEFT JOIN merges m ON m.l = p.token AND m.r = p.following)
-    WHERE best IS NOT NULL AND before IS DISTINCT FROM best & 4294967295
+    WHERE best IS NULL OR before IS DISTINCT FROM best & 4294967295
 )
-SELECT word, list(token ORDER BY pos) AS ids
-FROM (SELECT word, pos, token, turn, max(turn) OVER (PARTITION BY word) AS last FROM step)
-WHERE turn = last GROUP BY word
+"""
+IDS = ENCODE + "SELECT word, list(token ORDER BY pos) AS ids FROM step WHERE NOT live GROUP BY word"
+#: The ids of each word as text, their number, and the bytes they stand for: decoding is the ordered aggregation of the ids' pieces.
+ROUND_TRIP = ENCODE + """
+SELECT word, string_agg(token, ',' ORDER BY pos) AS ids, count(*) AS n, string_agg(piece, '' ORDER BY pos) AS bytes
+FROM step JOIN pieces USING (token) WHERE NOT live GROUP BY word ORDER BY word
 """
 
 DECODE = """
@@ -104,15 +108,19 @@ class Coder:
         rest = [k for k in rest if out[k] is None]
         for i in range(0, len(rest), WORDS):
             part = rest[i: i + WORDS]
-            size = np.array([len(words[k]) for k in part])
-            flat = np.frombuffer(b"".join([words[k] for k in part]), np.uint8)
-            word = np.repeat(np.arange(len(part), dtype=np.int32), size)
-            at = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            found = self._query(ENCODE, "bytes_in", pa.table({"word": word, "pos": at.astype(np.int32), "token": self.byte[flat]}))
+            found = self._query(IDS, "bytes_in", self._rows([words[k] for k in part], [None] * len(part)))
             for w, ids in zip(found.column("word").to_pylist(), found.column("ids").to_pylist(), strict=True):
                 out[part[w]] = ids
         return out
 
+    def _rows(self, words: list[bytes], done: list[list[int] | None]) -> pa.Table:
+        """A live row a byte of each word, or a finished row a token of those whose ids are given."""
+        tokens = [self.byte[np.frombuffer(w, np.uint8)] if ids is None else ids for w, ids in zip(words, done, strict=True)]
+        size = np.array([len(x) for x in tokens], np.int64)
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), size), "pos": at.astype(np.int32),
+                         "token": np.concatenate([*tokens, []]).astype(np.int32), "live": np.repeat([x is None for x in done], size)})
+
     def _long(self, word: bytes) -> list[int]:
         """The same contraction for one long word: a heap of (rank, position) over linked positions."""
         token = [int(self.byte[b]) for b in word]
@@ -150,19 +158,21 @@ class Coder:
         return out
 
     def _learn(self, words: list[str]) -> None:
-        if not words:
-            return
-        ids = self.encode_words([w.encode() for w in words])
-        for w, x, raw in zip(words, ids, self.decode(ids), strict=True):
-            self.kept[w] = (",".join(map(str, x)), len(x), raw)
+        for i in range(0, len(words), WORDS):
+            part = words[i: i + WORDS]
+            raw = [w.encode() for w in part]
+            done = [[self.ranks[w]] if w in self.ranks else self._long(w) if len(w) > LONG_WORD else None for w in raw]
+            got = self._query(ROUND_TRIP, "bytes_in", self._rows(raw, done))
+            found = zip(got.column("ids").to_pylist(), got.column("n").to_pylist(), got.column("bytes").to_pylist(), strict=True)
+            self.kept.update(zip(part, [(ids, n, text.encode("latin-1")) for ids, n, text in found], strict=True))
 
     def _looked_up(self, words: list[str]) -> list[tuple[str, int, bytes]]:
         kept, old = self.kept, self.old
-        unknown = [w for w in dict.fromkeys(words) if w not in kept]
+        unknown = set(words).difference(kept)
         if unknown:
-            kept.update({w: old[w] for w in unknown if w in old})
-            self._learn([w for w in unknown if w not in kept])
-        out = [kept[w] for w in words]
+            kept.update({w: old[w] for w in unknown.intersection(old)})
+            self._learn(list(unknown.difference(old)))
+        out = list(map(kept.__getitem__, words))
         if len(kept) > KEPT:
             self.kept, self.old = {}, kept
         return out
