@@ -23,7 +23,8 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 PIECE = 1 << 20
 #: Entries after which the cache turns into the old one, which the next turn drops; results do not depend on it.
 KEPT = 400_000
-TOGETHER = 32
+#: Chunks that go to the library in one text.
+TOGETHER = 128
 
 _encoders: dict[str, ChunkEncoder] = {}
 
@@ -114,19 +115,30 @@ class ChunkEncoder:
         yield from self._encoded(group)
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
-        kept = self.kept
-        unknown = [c for c in dict.fromkeys(chunks) if c not in kept]
+        kept, old = self.kept, self.old
+        unknown = set(chunks).difference(kept)
         if unknown:
-            old = self.old
-            kept.update({c: old[c] for c in unknown if c in old})
-            self._learn([c for c in unknown if c not in kept])
-        out = [kept[c] for c in chunks]
+            kept.update({c: old[c] for c in unknown.intersection(old)})
+            self._learn(list(unknown.difference(old)))
+        out = list(map(kept.__getitem__, chunks))
         if len(kept) > KEPT:
             self.kept, self.old = {}, kept
         return out
 
     def _encoded(self, group: list[list[list]]) -> Iterator[bytes]:
-        flat = [c for parts in group for p in parts for c in p if isinstance(c, str)]
-        ids = iter(self._ids(flat))
+        """The ids of each text; a text's parts are lists of chunks, or of the ids of a part that is done."""
+        flat: list[str] = []
         for parts in group:
-            yield b"".join([c if isinstance(c, bytes) else next(ids) for p in parts for c in p])
+            for p in parts:
+                if not p or isinstance(p[0], str):
+                    flat += p
+        ids, at = self._ids(flat), 0
+        for parts in group:
+            out = []
+            for p in parts:
+                if not p or isinstance(p[0], str):
+                    out.append(b"".join(ids[at: at + len(p)]))
+                    at += len(p)
+                else:
+                    out += p
+            yield b"".join(out)

@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faretrail.llm.chunks import encoder
-from faretrail.llm.common import on_workers
+from faretrail.llm.common import on_workers, staged
 
 MAGIC, END = b"TPB1", b"TPBE"
 HEAD = struct.Struct("<4sIIQ")
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 20
+#: Blocks of a file; a block holds little more than ``BLOCK_IDS`` ids unless one document alone has more.
+FILE_BLOCKS = 128
 
 
 def bits_for(vocabulary: int) -> int:
@@ -105,7 +107,8 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary:
     """Encode every text, append ``end_id`` and write the ids to ``path`` in ascending order of ``doc``.
 
     Documents are dealt by ranges of (doc, text hash), so equal ids may share
-    several files; file order by name is document order. Null texts count as
+    several files; files in the order of their task's and their own number, both
+    in the name, are in document order. Null texts count as
     empty (the end id alone), null ids come first, rows with equal ids all stay
     (ordered by the text's hash). ``vocabulary`` defaults to the tokenizer's;
     ids are stored in the fewest bits that hold it.
@@ -133,7 +136,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary:
             yield pa.record_batch({"block": pa.array([block_bytes(docs, ids, bits)], pa.binary())})
 
     (rows.mapInArrow(encoded, "block binary").select(F.col("block").cast("string").alias("value"))
-     .write.option("lineSep", END.decode()).text(path))
+     .write.option("lineSep", END.decode()).option("maxRecordsPerFile", FILE_BLOCKS).text(path))
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -159,8 +162,10 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                         "ids_crc32": pa.array(crc, pa.int64())})
                     before += int(b.offsets[-1])
 
-    docs = files.mapInArrow(parsed, "file string, doc_id long, within long, n_tokens long, ids_crc32 long")
+    # a row a document, read twice: the ids are unpacked once
+    docs = staged(files.mapInArrow(parsed, "file string, doc_id long, within long, n_tokens long, ids_crc32 long"))
+    number = [F.regexp_extract("file", p, 1).cast("long") for p in (r"^part-(\d+)", r"-c(\d+)")]
     totals = docs.groupBy("file").agg(F.sum("n_tokens").alias("ids"))
-    order = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.orderBy(*number).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("file", F.coalesce(F.sum("ids").over(order), F.lit(0)).cast("long").alias("before"))
     return docs.join(totals, "file").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

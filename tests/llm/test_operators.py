@@ -253,8 +253,34 @@ def test_token_files_read_back(spark, odd, tmp_path, tokenizer, documents):
         assert tuple(r) == (doc, before, len(ids), zlib.crc32(ids.tobytes()))
         before += len(ids)
     token_files.write_ids(odd, str(tmp_path / "ids"), P.path("byte_bpe_50k.json"), 2)
-    rows = token_files.read_ids(spark, str(tmp_path / "ids")).collect()
-    assert len(rows) == len(ODD) and min(r.start for r in rows) == 0
+    rows = sorted(token_files.read_ids(spark, str(tmp_path / "ids")).collect(), key=lambda r: r.start)
+    coded = [(r[0], np.array(tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [2], "<u4")) for r in ODD]
+    assert sorted(((r.doc_id, r.n_tokens, r.ids_crc32) for r in rows), key=str) == sorted(((d, len(x), zlib.crc32(x.tobytes())) for d, x in coded), key=str)
+    # null ids first, then ascending, and no gap between documents
+    assert [r.doc_id for r in rows] == [None, *sorted(r[0] for r in ODD if r[0] is not None)]
+    assert [r.start for r in rows] == [sum(r.n_tokens for r in rows[:k]) for k in range(len(rows))]
+
+
+def test_token_files_of_many_parts_and_none(spark, odd, tmp_path, monkeypatch):
+    """Files are in the order of their numbers, not of their names as text; clashing columns and empty tables."""
+    monkeypatch.setattr(token_files, "FILE_BLOCKS", 2)
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat('a b ', cast(id % 5 AS int)) AS text", "1 AS doc", "2 AS h", "3 AS block")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        token_files.write_ids(docs, str(tmp_path / "ids"), P.path("byte_bpe_50k.json"), 2, block_ids=9)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = [f.name for f in (tmp_path / "ids").iterdir() if f.name.startswith("part-")]
+    assert len(files) > 20
+    last = max(files, key=lambda f: (int(f.split("-")[1]), f))
+    (tmp_path / "ids" / last).rename(tmp_path / "ids" / last.replace("part-", "part-1", 1))   # part-100011 comes after part-00010
+    rows = sorted(token_files.read_ids(spark, str(tmp_path / "ids")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == list(range(300))
+    token_files.write_ids(odd.limit(0), str(tmp_path / "none"), P.path("byte_bpe_50k.json"), 2)
+    assert token_files.read_ids(spark, str(tmp_path / "none")).count() == 0
 
 
 @settings(max_examples=40, deadline=None)
