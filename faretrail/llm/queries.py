@@ -38,8 +38,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From 32 hash shards to 40 of equal bytes."""
     path, moved = scratch_path(spark, "shards"), scratch_path(spark, "moved")
-    reshard.write_layout(table(spark, sf_dir, "documents"), path, 32)
-    shards = reshard.reshard(spark, path, moved, 40).shards
+    schema = reshard.write_layout(table(spark, sf_dir, "documents"), path, 32)
+    shards = reshard.reshard(spark, path, moved, 40, schema).shards
     return shards.select("doc_id", "size", F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
                          F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 

@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a block, and the fewest blocks of a shard.
 BLOCK_BYTES, LEAST_BLOCKS = 64 << 20, 8
@@ -81,14 +82,25 @@ def min_cost_flow(sizes: list[int], capacities: list[int], cost=lambda i, j: int
     return [(i, j, left[first + 2 * (i * m + j) + 1]) for i in range(n) for j in range(m) if left[first + 2 * (i * m + j) + 1] > 0]
 
 
-def write_layout(docs: DataFrame, path: str, shards: int, block_bytes: int = BLOCK_BYTES, doc: str = "doc_id", text: str = "text") -> None:
-    """Write ``docs`` as ``shards`` hash shards of blocks, each block a file with its rows in order.
+def schema_of(docs: DataFrame) -> T.StructType:
+    """The columns that a layout of ``docs`` has."""
+    own = ("shard", "block", "size", "position", "offset")
+    kept = [f for f in docs.schema.fields if f.name.lower() not in own]
+    return T.StructType([*kept, T.StructField("size", T.LongType()), T.StructField("position", T.IntegerType()), T.StructField("offset", T.LongType()),
+                         T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType())])
+
+
+def write_layout(docs: DataFrame, path: str, shards: int, block_bytes: int = BLOCK_BYTES, doc: str = "doc_id", text: str = "text") -> T.StructType:
+    """Write ``docs`` as ``shards`` hash shards of blocks, each block a file with its rows in order; returns the layout's schema.
 
     The id and the text decide a row's shard and block. Added columns: ``size``
     (UTF-8 bytes of the text, null: none, plus 16), ``position`` (row of the
     block) and ``offset`` (bytes before it). Columns of these names, ``shard``
-    and ``block`` are replaced.
+    and ``block`` are replaced. An empty table writes no block; its layout is
+    read by the schema. Rows with null ids or texts and repeated rows are rows
+    like others.
     """
+    schema = schema_of(docs)
     docs = docs.drop("shard", "block", "size", "position", "offset")
     size = (F.coalesce(F.octet_length(text), F.lit(0)) + 16).cast("long")
     total = docs.select(F.coalesce(F.sum(size), F.lit(0))).first()[0]
@@ -100,21 +112,29 @@ def write_layout(docs: DataFrame, path: str, shards: int, block_bytes: int = BLO
      .withColumn("position", F.row_number().over(order) - 1)
      .withColumn("offset", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
      .write.partitionBy("shard", "block").option("compression", "zstd").parquet(path))
+    return schema
 
 
-def reshard(spark: SparkSession, path: str, moved_path: str, new: int) -> Resharded:
+def reshard(spark: SparkSession, path: str, moved_path: str, new: int, schema: T.StructType | None = None) -> Resharded:
     """Reshard the layout at ``path`` to ``new`` shards of near equal bytes, rewriting affected blocks to ``moved_path``.
 
     A document goes where its middle byte falls, so a shard's size is off by at
     most half of the document at each of its few cuts. Slots count a shard's rows
-    from 0 without gaps, by old shard, block and position. An empty layout stays empty.
+    from 0 without gaps, by old shard, block and position. ``schema`` is what
+    :func:`write_layout` returned; with it an empty layout stays empty. Columns
+    of the documents may have any names but those of the layout; ``slot`` is
+    replaced.
     """
-    layout = spark.read.parquet(path)
-    if "shard" not in layout.columns:  # no rows, hence no folders that name the shards
-        return Resharded([], 0, layout.select(*[c for c in layout.columns if c not in ("position", "offset")], F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot")))
+    layout = (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
+    payload = [c for c in layout.columns if c.lower() not in ("shard", "block", "size", "position", "offset", "slot")]
+    # the documents' columns travel as one, so that no name of theirs meets one of ours
     light = layout.select("shard", "block", "size", "position", "offset")
+    layout = layout.select(F.struct(*[f"`{c}`" for c in payload]).alias("row"), *light.columns)
     blocks = light.groupBy("shard", "block").agg(F.sum("size").alias("bytes"))
     per_shard = blocks.groupBy("shard").agg(F.sum("bytes"), F.count("*")).collect()  # a row a shard
+    out = ["row.*", "size", "shard", "slot"]
+    if not per_shard:
+        return Resharded([], 0, layout.select("row", "size", "shard", F.lit(0).cast("long").alias("slot")).select(*out))
     held = {r[0]: r[1] for r in per_shard}
     few = (lambda df: F.broadcast(df)) if sum(r[2] for r in per_shard) <= BROADCAST_BLOCKS else (lambda df: df)
     old = max(held, default=-1) + 1
@@ -135,18 +155,19 @@ def reshard(spark: SparkSession, path: str, moved_path: str, new: int) -> Reshar
     rows = layout.join(few(placed), ["shard", "block"])
     gone = rows.where("NOT stays").withColumn("middle", F.expr("start + offset + size div 2"))
     gone = gone.join(cuts, "shard").where("middle >= lower AND middle < upper")
-    given = [c for c in layout.columns if c not in ("shard", "block", "position", "offset")]
+    given = ["row", "size"]
     order = Window.partitionBy("to", "shard", "block").orderBy("position")
     (gone.select(*given, "to", "shard", "block", (F.row_number().over(order) - 1).alias("position"))
      .withColumnRenamed("shard", "from_shard").withColumnRenamed("to", "shard").withColumnRenamed("block", "from_block")
      .write.partitionBy("shard").option("compression", "zstd").parquet(moved_path))
     kept = rows.where("stays").select(*given, "shard", F.col("shard").alias("from_shard"), F.col("block").alias("from_block"), "position")
-    moved = spark.read.parquet(moved_path)
-    after = kept.unionByName(moved.select(*kept.columns)) if "shard" in moved.columns else kept
+    # nothing may have moved, and then no file tells the columns
+    moved = spark.read.schema(kept.schema).parquet(moved_path)
+    after = kept.unionByName(moved.select(*kept.columns))
     # slots: the rows of each piece of a shard, added up in order; pieces are as many as blocks
     counted = after.groupBy("shard", "from_shard", "from_block").agg(F.count("*").alias("n"))
     order = Window.partitionBy("shard").orderBy("from_shard", "from_block").rowsBetween(Window.unboundedPreceding, -1)
     base = counted.select("shard", "from_shard", "from_block", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
     after = after.join(few(base), ["shard", "from_shard", "from_block"]).withColumn("slot", (F.col("base") + F.col("position")).cast("long"))
-    return Resharded(flow, sum(n for i, j, n in flow if i != j), after.drop("base", "position", "from_shard", "from_block"))
+    return Resharded(flow, sum(n for i, j, n in flow if i != j), after.select(*out))
 
