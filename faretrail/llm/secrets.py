@@ -115,18 +115,32 @@ def _candidates(docs: DataFrame, key: str, text: str, rules: tuple[Rule, ...]) -
     return met.groupBy(key).agg(F.collect_set("kind").alias("rules"))
 
 
-def _found(m: str, pieces: str, values: str | None, rank: int, rule: Rule) -> Column:
-    """Spans of a rule from its matches and the pieces between them, as structs (start, rank, end).
+def _once(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for the value of an expression, which is evaluated once: a lambda's variable is not merged into it as a column is."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    Ends are prefix sums of the lengths, by doubling the summed distance: as
-    many steps as the number of matches has binary digits.
+
+def _found(text: str, asked: str, rank: int, rule: Rule) -> Column:
+    """Spans of a rule in a text as structs (start, rank, end), if the rule is ``asked`` for.
+
+    Ends are prefix sums of the lengths of the matches and of the pieces between
+    them, by doubling the summed distance: as many steps as the number of
+    matches has binary digits. Each regular expression runs once a text, pieces
+    and values only where there are matches.
     """
-    sums = f"""aggregate(sequence(0, 30), transform({m}, (x, i) -> bigint(char_length({pieces}[i]) + char_length(x))),
+    pattern = rule.pattern.replace("\\", "\\\\").replace("'", "\\'")
+    none = "CAST(array() AS array<string>)"
+    sums = """aggregate(sequence(0, 30), transform(m, (x, i) -> bigint(char_length(p[i]) + char_length(x))),
         (acc, j) -> IF(shiftleft(1, j) >= size(acc), acc,
             transform(acc, (x, i) -> x + IF(i >= shiftleft(1, j), acc[i - shiftleft(1, j)], 0L))))"""
-    length = f"char_length({values}[i])" if values else f"char_length({m}[i])"
-    spans = f"""transform({sums}, (e, i) -> named_struct('start', e - char_length({m}[i]), 'rank', {rank}, 'end', e, 'ok', {length} >= {rule.least}))"""
-    return F.expr(f"transform(filter({spans}, s -> s.ok), s -> named_struct('start', s.start, 'rank', s.rank, 'end', s.end))")
+    spans = f"""transform({sums}, (e, i) -> named_struct('start', e - char_length(m[i]), 'rank', {rank}, 'end', e, 'ok', char_length({'v' if rule.value else 'm'}[i]) >= {rule.least}))"""
+    spans = f"transform(filter({spans}, s -> s.ok), s -> named_struct('start', s.start, 'rank', s.rank, 'end', s.end))"
+    if rule.value:
+        spans = _once(f"regexp_extract_all({text}, '{pattern}', {rule.value})", "v", spans)
+    spans = _once(f"split({text}, '{pattern}', -1)", "p", spans)
+    empty = f"CAST(array() AS array<struct<start: bigint, rank: int, end: bigint>>)"
+    matches = f"IF({asked}, regexp_extract_all({text}, '{pattern}', 0), {none})"
+    return F.expr(_once(matches, "m", f"IF(size(m) = 0, {empty}, {spans})"))
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: str = "text", doc: str | None = "doc_id") -> DataFrame:
@@ -139,33 +153,20 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text: str = "te
     with equal id and text share their postings, which is harmless as every
     candidate is searched anyway). A column of this name is replaced.
     """
-    key, body = fresh_name(docs, "posting_key"), fresh_name(docs, "scanned")
+    key, body, mine = (fresh_name(docs, x) for x in ("posting_key", "scanned", "asked_rules"))
     docs = docs.drop("secrets")
     names = [f"`{c}`" for c in docs.columns]
     docs = docs.withColumn(body, F.coalesce(F.col(text), F.lit("")))
     docs = docs.withColumn(key, F.xxhash64(*([F.col(doc)] if doc else []), F.col(body)))
     found = _candidates(docs, key, body, rules)
     if found is None:
-        out = docs.withColumn("rules", F.array().cast("array<string>"))
+        out = docs.withColumn(mine, F.array().cast("array<string>"))
     else:
-        mine = fresh_name(docs, "rules")
         out = docs.join(found.withColumnRenamed("rules", mine).hint("shuffle_hash"), key, "left")
-        if mine != "rules":
-            out = out.withColumnRenamed(mine, "rules_")
-    mine = out.columns[-1]
-    none = "CAST(array() AS array<string>)"
-    ranked = list(enumerate(rules))
-    inner = {r.kind: [fresh_name(docs, f"{part}_{r.kind}") for part in ("m", "p", "v")] for r in rules}
-    quoted = {r.kind: r.pattern.replace("\\", "\\\\").replace("'", "\\'") for r in rules}
-    when = {r.kind: f"array_contains(`{mine}`, '{r.kind}')" if trigram_query(r.pattern) else "true" for r in rules}
-    out = out.select(*names, F.col(body), *[F.expr(f"IF(coalesce({when[r.kind]}, false), regexp_extract_all(`{body}`, '{quoted[r.kind]}', 0), {none})").alias(inner[r.kind][0]) for r in rules])
-    # of matches, also what stands between them, and the values where a length holds for them
-    more = [F.expr(f"IF(size({inner[r.kind][0]}) > 0, split(`{body}`, '{quoted[r.kind]}', -1), {none})").alias(inner[r.kind][1]) for r in rules]
-    more += [F.expr(f"IF(size({inner[r.kind][0]}) > 0, regexp_extract_all(`{body}`, '{quoted[r.kind]}', {r.value}), {none})").alias(inner[r.kind][2]) for r in rules if r.value]
-    out = out.select(*names, *[inner[r.kind][0] for r in rules], *more)
+    asked = [f"coalesce(array_contains(`{mine}`, '{r.kind}'), false)" if trigram_query(r.pattern) else "true" for r in rules]
+    spans = F.array_sort(F.concat(*[_found(f"`{body}`", asked[i], i, r) for i, r in enumerate(rules)]))
     kinds = F.array(*[F.lit(r.kind) for r in rules])
-    spans = F.concat(*[_found(inner[r.kind][0], inner[r.kind][1], inner[r.kind][2] if r.value else None, i, r) for i, r in ranked])
-    spans = F.transform(F.array_sort(spans), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.get(kinds, s["rank"]).alias("kind")))
+    spans = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), F.get(kinds, s["rank"]).alias("kind")))
     return out.select(*names, spans.alias("secrets"))
 
 
@@ -174,14 +175,28 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Secrets of a text from which on it is taken apart into code points, instead of one substring a secret.
+MANY = 64
+
+
 def redact(docs: DataFrame, mask: str = "[SECRET]", text: str = "text", **given) -> DataFrame:
-    """Put ``mask`` in the place of every secret (overlapping ones count as one); other texts stay as they are."""
+    """Put ``mask`` in the place of every secret (overlapping ones count as one); other texts stay as they are.
+
+    A text is put together once from what stands between its secrets.
+    """
     out = scan(docs, text=text, **given)
-    body = F.col(text)
-    # each span: what stands before it from the farthest end so far, then the mask unless it overlaps
-    start = F.struct(F.lit("").alias("made"), F.lit(0).cast("long").alias("upto"))
-    joined = F.aggregate("secrets", start, lambda acc, s: F.struct(
-        F.when(s["start"] >= acc["upto"], F.concat(acc["made"], F.substring(body, (acc["upto"] + 1).cast("int"), (s["start"] - acc["upto"]).cast("int")), F.lit(mask)))
-        .otherwise(acc["made"]).alias("made"), F.greatest(acc["upto"], s["end"]).alias("upto")),
-        lambda acc: F.concat(acc["made"], F.substring(body, (acc["upto"] + 1).cast("int"), F.char_length(body))))
-    return out.withColumn(text, F.when(F.size("secrets") > 0, joined).otherwise(body)).drop("secrets")
+    body = f"`{text}`"
+    quoted = mask.replace("\\", "\\\\").replace("'", "\\'")
+    # the farthest end up to each span, by doubling the distance
+    ends = """aggregate(sequence(0, 30), transform(secrets, s -> s.end), (acc, j) -> IF(shiftleft(1, j) >= size(acc), acc,
+        transform(acc, (x, i) -> greatest(x, IF(i >= shiftleft(1, j), acc[i - shiftleft(1, j)], 0L)))))"""
+
+    def joined(part: str, rest: str) -> str:
+        return f"""concat(array_join(transform(secrets, (s, i) -> IF(s.start >= IF(i = 0, 0L, ends[i - 1]),
+            concat({part.format(a="IF(i = 0, 0L, ends[i - 1])", b="s.start")}, '{quoted}'), '')), ''), {rest.format(a="ends[size(ends) - 1]")})"""
+
+    few = joined(f"substring({body}, int({{a}} + 1), int({{b}} - {{a}}))", f"substring({body}, int({{a}} + 1))")
+    many = _once(f"split({body}, '')", "points", joined("array_join(slice(points, int({a} + 1), int({b} - {a})), '')",
+                                                        "array_join(slice(points, int({a} + 1), size(points)), '')"))
+    made = _once(ends, "ends", f"IF(size(ends) < {MANY}, {few}, {many})")
+    return out.withColumn(text, F.expr(f"IF(size(secrets) = 0, {body}, {made})")).drop("secrets")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,6 +16,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from brute import LOWER, ODD, SF, SPACED, base_features, base_spans, contamination, documents, linked_components, odd, sha  # noqa: F401
 from faretrail.llm import (byte_bpe, decontaminate, jaccard, paragraphs, perplexity, queries, reshard, secrets,
@@ -42,6 +44,28 @@ def test_secrets_of_odd_rows(spark, odd):
     assert masked[7].endswith("word [SECRET] end") and masked[1] is None and masked[6] == "日本語 😀 tēxt"
 
 
+def test_many_secrets_take_linear_time(spark):
+    """20,000 secrets in half a megabyte: as quick as a text of that size, with the spans and the masks of brute force."""
+    text = "".join(f"token=abcdefghijkl{k % 10} é😀 " for k in range(20_000))
+    odd = "password=secret:abcdefghijklmnop AKIA" + "B" * 20 + " x" * 40
+    clash = [(1, text, 1, 2, "p"), (2, odd * 30, 1, 2, "p"), (3, odd, 1, 2, "p")]
+    df = spark.createDataFrame(clash, "doc_id long, text string, rules int, rules_ int, m_assign string")
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.scan(df).collect()}
+    masked = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert time.time() - began < 60
+    for i, t, *_ in clash:
+        spans = sorted((s.start, s.end) for s in got[i].secrets)
+        assert ",".join(f"{s.kind}:{s.start}:{s.end}" for s in got[i].secrets if s.kind in ("assign", "access", "hex")) == base_spans(t)
+        want, upto = [], 0
+        for a, b in spans:
+            if a >= upto:
+                want += [t[upto:a], "[SECRET]"]
+            upto = max(upto, b)
+        assert masked[i] == "".join([*want, t[upto:]])
+    assert list(got[1].asDict()) == ["doc_id", "text", "rules", "rules_", "m_assign", "secrets"]
+
+
 def test_trigram_queries():
     assert secrets.trigram_query("abcd|xyz") == [frozenset({"abc", "bcd"}), frozenset({"xyz"})]
     assert secrets.trigram_query("[0-9a-f]{16,}") == []
@@ -124,6 +148,27 @@ def test_reshard_is_complete_and_near_equal(spark, documents):
     assert all(abs(sizes[k] - sum(sizes.values()) / 40) <= largest for k in range(40))
 
 
+def test_reshard_of_odd_and_empty_tables(spark, odd, tmp_path):
+    """Null ids and texts, repeated rows, a very long text, and columns with the names that the operator uses itself."""
+    names = ["to", "start", "stays", "lower", "from_shard", "from_block", "slot", "base", "middle", "row", "shard", "size"]
+    df = odd.select("doc_id", "text", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    schema = reshard.write_layout(df, str(tmp_path / "a"), 3)
+    done = reshard.reshard(spark, str(tmp_path / "a"), str(tmp_path / "b"), 5, schema)
+    got = done.shards.collect()
+    assert done.shards.columns == ["doc_id", "text", *names[:6], *names[7:10], "size", "shard", "slot"]
+    assert sorted(((r.doc_id, r.text, r.size, r.to, r.row) for r in got), key=str) == sorted(((i, t, len((t or "").encode()) + 16, 0, 9) for i, t, _, _ in ODD), key=str)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and set(slots) <= set(range(5))
+    schema = reshard.write_layout(df.limit(0), str(tmp_path / "c"), 3)
+    none = reshard.reshard(spark, str(tmp_path / "c"), str(tmp_path / "d"), 5, schema)
+    assert none.shards.count() == 0 and none.moved_bytes == 0 and none.shards.columns == done.shards.columns
+    # the same number of shards: what fits stays
+    schema = reshard.write_layout(df, str(tmp_path / "e"), 1)
+    assert reshard.reshard(spark, str(tmp_path / "e"), str(tmp_path / "f"), 1, schema).shards.count() == len(ODD)
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(0, 50), min_size=1, max_size=5), st.integers(1, 6))
 def test_flow_moves_the_fewest_bytes(sizes, new):
