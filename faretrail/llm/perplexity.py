@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 from faretrail.llm import textarrays as ta
 from faretrail.llm.common import fresh_name, on_workers, staged
@@ -148,11 +149,7 @@ def features(docs: DataFrame, text: str, lang: str, model: DataFrame | None) ->
             a, b = np.searchsorted(names, [name, name + "\0"])
             arrays[name] = (rows.column("gram").to_numpy()[a:b].copy(), rows.column("logp").to_numpy()[a:b].copy())
         shared = spark.sparkContext.broadcast(arrays)
-    hidden, lang_name = fresh_name(docs, "scored_text"), fresh_name(docs, "scored_lang")
     made = [*FEATURES, "n_grams", "score"]
-    keep = [c for c in docs.columns if c.lower() not in made]
-    given = docs.select(*[f"`{c}`" for c in keep], F.col(lang).cast("string").alias(lang_name), F.col(text).alias(hidden))
-    width = len(keep)
 
     def measured(langs: list[str | None], column: pa.Array) -> dict[str, np.ndarray]:
         raw, off = ta.utf8(column)
@@ -178,25 +175,30 @@ def features(docs: DataFrame, text: str, lang: str, model: DataFrame | None) ->
             for name, rows in by_language(langs).items():
                 key, doc = grams([units(texts[k]) for k in rows])
                 if len(key):
-                    keys, logp = shared.value[name]
-                    found = logp[np.searchsorted(keys, key)].astype(np.int64)
+                    keys, logp = shared.value.get(name, (np.zeros(0, np.int64), np.zeros(0, np.int32)))
+                    at = np.searchsorted(keys, key)
+                    if len(keys) == 0 or (keys[np.minimum(at, len(keys) - 1)] != key).any():
+                        raise ValueError("an n-gram that the model lacks: the documents differ from those counted")
+                    found = logp[at].astype(np.int64)
                     sums = np.concatenate([[0], np.cumsum(found)])
                     ends = np.searchsorted(doc, np.arange(len(rows) + 1))
                     out["n_grams"][rows] = np.diff(ends)
                     out["score"][rows] = sums[ends[1:]] - sums[ends[:-1]]
         return out
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, off = ta.utf8(batch.column(width + 1))
-            langs = batch.column(width).to_pylist()
-            parts = [measured(langs[i:j], batch.column(width + 1).slice(i, j - i)) for i, j in ta.blocks(off, GROUP)]
-            if parts:
-                columns = [pa.array(np.concatenate([p[m] for p in parts]).astype(np.int64)) for m in made]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *columns], [*batch.schema.names[:width], *made])
+    def scored(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for names, texts in batches:
+            _, off = ta.utf8(texts)
+            langs = names.to_pylist()
+            parts = [measured(langs[i:j], texts.slice(i, j - i)) for i, j in ta.blocks(off, GROUP)]
+            columns = [np.concatenate([np.zeros(0, np.int64), *[p[m] for p in parts]]).astype(np.int64) for m in made]
+            yield pa.StructArray.from_arrays([pa.array(c) for c in columns], made)
 
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:width]]
-    return given.mapInArrow(scored, ", ".join([*kinds, *[f"{m} bigint" for m in made]]))
+    # the text goes to Python once and only numbers come back; the row's other columns stay where they are
+    numbers = F.arrow_udf(scored, "struct<" + ",".join(f"{m}:bigint" for m in made) + ">", ArrowUDFType.SCALAR_ITER)
+    inner = fresh_name(docs, "measured")
+    keep = [f"`{c}`" for c in docs.columns if c.lower() not in made]
+    return docs.withColumn(inner, numbers(F.col(lang).cast("string"), F.col(text))).select(*keep, *[F.col(f"{inner}.{m}") for m in made])
 
 
 def _joined_scores(docs: DataFrame, text: str, lang: str, model: DataFrame) -> DataFrame:
@@ -227,8 +229,9 @@ def quality(docs: DataFrame, text: str = "text", lang: str = "lang", keep_text:
     are rejected, as are those with fewer than 50 words or with over half of
     their words in repeated 3-word windows. Null languages are one language of
     their own; null texts have no words, no perplexity, and fail. Repeated rows
-    count as often as they occur. Columns of these names are replaced; an empty
-    table stays empty. ``keep_text=False`` drops the text from the result.
+    count as often as they occur. Columns of these names, and of the names
+    ``n_grams``, ``score``, ``lowest``, ``highest`` and ``band_lang``, are
+    replaced; an empty table stays empty. ``keep_text=False`` drops the text from the result.
     """
     on_workers(docs.sparkSession)
     model = staged(kneser_ney(staged(counts(docs, text, lang))))
