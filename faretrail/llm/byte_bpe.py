@@ -13,6 +13,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,13 @@ from pyspark.sql.functions import ArrowUDFType
 from faretrail.llm.common import fresh_name, on_workers
 
 #: Bytes of text that are cut into words at a time.
-GROUP = 1 << 20
-#: Words in one recursive query.
-WORDS = 40_000
+GROUP = 4 << 20
+#: Words in one recursive query; they come in the order of their lengths, so that short ones do not wait for long ones.
+WORDS = 10_000
 #: Longer words (in bytes) take one contraction after another from a heap, as a recursion over them would not end soon.
 LONG_WORD = 200
 #: Entries after which the cache turns into the old one, which the next turn drops; results do not depend on it.
-KEPT = 500_000
+KEPT = 700_000
 
 # A word's rows leave the recursion in the turn that finds no pair for it; words come in as live rows.
 ENCODE = """
@@ -158,6 +159,7 @@ class Coder:
         return out
 
     def _learn(self, words: list[str]) -> None:
+        words = sorted(words, key=len)
         for i in range(0, len(words), WORDS):
             part = words[i: i + WORDS]
             raw = [w.encode() for w in part]
@@ -181,7 +183,7 @@ class Coder:
         """Of each text (null: empty) the ids joined by commas, their number and the decoded bytes."""
         group, size = [], 0
         for t in texts:
-            if t and len(t) > 4 * GROUP:  # a very long text: its words in turn
+            if t and len(t) > GROUP:  # a very long text: its words in turn
                 yield from self._group(group)
                 group, size = [], 0
                 yield self._very_long(t)
@@ -196,7 +198,7 @@ class Coder:
     def _group(self, group: list[list[str]]) -> Iterator[tuple[str, int, bytes]]:
         known = iter(self._looked_up([w for words in group for w in words]))
         for words in group:
-            yield self._joined([next(known) for _ in words])
+            yield self._joined(list(islice(known, len(words))))
 
     def _very_long(self, text: str) -> tuple[str, int, bytes]:
         parts, words, size = [], [], 0
@@ -211,7 +213,10 @@ class Coder:
 
     @staticmethod
     def _joined(found: list[tuple[str, int, bytes]]) -> tuple[str, int, bytes]:
-        return ",".join([x[0] for x in found]), sum([x[1] for x in found]), b"".join([x[2] for x in found])
+        if not found:
+            return "", 0, b""
+        ids, n, raw = zip(*found)
+        return ",".join(ids), sum(n), b"".join(raw)
 
 
 def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: bool = False) -> DataFrame:
