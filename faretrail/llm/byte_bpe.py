@@ -24,13 +24,13 @@ from pyspark.sql.functions import ArrowUDFType
 from faretrail.llm.common import fresh_name, on_workers
 
 #: Bytes of text that are cut into words at a time.
-GROUP = 4 << 20
+GROUP = 2 << 20
 #: Words in one recursive query; they come in the order of their lengths, so that short ones do not wait for long ones.
 WORDS = 10_000
 #: Longer words (in bytes) take one contraction after another from a heap, as a recursion over them would not end soon.
 LONG_WORD = 200
 #: Entries after which the cache turns into the old one, which the next turn drops; results do not depend on it.
-KEPT = 700_000
+KEPT = 450_000
 
 # A word's rows leave the recursion in the turn that finds no pair for it; words come in as live rows.
 ENCODE = """
@@ -183,7 +183,7 @@ class Coder:
         """Of each text (null: empty) the ids joined by commas, their number and the decoded bytes."""
         group, size = [], 0
         for t in texts:
-            if t and len(t) > GROUP:  # a very long text: its words in turn
+            if t and len(t) > 2 * GROUP:  # a very long text: its words in turn
                 yield from self._group(group)
                 group, size = [], 0
                 yield self._very_long(t)
