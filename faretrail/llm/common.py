@@ -38,6 +38,16 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(write_stage(df))
 
 
+def unstaged(df: DataFrame) -> None:
+    """Delete the copy that ``staged`` wrote for ``df``; nothing that is still to be computed may read it."""
+    jvm, root = df.sparkSession.sparkContext._jvm, checkpoint_dir(df.sparkSession).rstrip("/")
+    for folder in {posixpath.dirname(f) for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getParent().getName() != posixpath.basename(root) or not path.getName().startswith("faretrail-stage-"):
+            raise ValueError(f"not a staged copy: {folder}")
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def fresh_name(df: DataFrame, stem: str) -> str:
     """A column name that no column of ``df`` has (names are case-insensitive)."""
     taken = {c.lower() for c in df.columns}

@@ -8,8 +8,10 @@ that two documents share holds a piece that both have.
 
 Lines are banded: ``BANDS`` bands of ``ROWS`` MinHashes find 99.8 % of the pairs
 with a Jaccard similarity of 3/4; those of fewer than ``LEAST_BANDED`` shingles
-are similar only to their equals and need no band. Lines that collide in a band are verified by
-their exact similarity and clustered by connected components; pieces are equal
+are similar only to their equals and need no band. Lines that collide in a band
+are joined: each with the line of its buckets that collides most, and then those
+of one bucket that are not yet known to be of one component. The pairs are verified
+by their exact similarity and clustered by connected components; pieces are equal
 or not, and their class is their cluster. Of a cluster the first occurrence (by
 document, then place) stays and the others are spans to remove.
 
@@ -23,18 +25,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faretrail.llm import jaccard
 from faretrail.llm import textarrays as ta
-from faretrail.llm.common import components, on_workers, staged
+from faretrail.llm.common import components, on_workers, staged, unstaged
 
 #: Fewest shingles of a set that can have a similarity of 3/4 with another set than itself (3 of 4).
 LEAST_BANDED = 3
 BANDS, ROWS = 16, 4
 REACH, PIECE = 20, 31
-BITS = 10
+#: Bytes of texts whose band keys make a range, and the fewest bits that number the ranges.
+RANGE_BYTES, LEAST_BITS = 16 << 20, 8
+#: Slots of the sieve that keeps most lines without a collision from the shuffle: eight a line, within these bounds.
+LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 28
 GROUP = 2 << 20
 SEEDS = ta.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * ta.BASE) | np.uint64(1)
 
@@ -91,11 +96,11 @@ def _groups(column) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
 
 
 def _units(texts: DataFrame) -> DataFrame:
-    """``(class, start, end, print, line)``: every line and piece, its place in code points."""
+    """``(class, doc_id, top, start, end, print, line)``: every line and piece, its place in code points, its text's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for raw, off, i, _ in _groups(batch.column(1)):
+            for raw, off, i, _ in _groups(batch.column(3)):
                 points = ta.starts_of_points(raw)
                 w, cuts, of, _, names, _, _, prints = _line_sets(raw, off)
                 # a line's span is that of its words
@@ -105,13 +110,15 @@ def _units(texts: DataFrame) -> DataFrame:
                 if len(first):
                     parts.append((d, w.start[first], w.end[last], x, False))
                 for d, a, z, p, line in parts:
-                    yield pa.record_batch({"class": batch.column(0).take(pa.array(i + d)), "start": pa.array(points[a] - points[off[d]]),
+                    which = pa.array(i + d)
+                    yield pa.record_batch({**{c: batch.column(c).take(which) for c in ("class", "doc_id", "top")}, "start": pa.array(points[a] - points[off[d]]),
                                            "end": pa.array(points[z] - points[off[d]]), "print": pa.array(p), "line": pa.array(np.full(len(d), line))})
 
-    return texts.select("class", "text").mapInArrow(run, "class string, start long, end long, print long, line boolean")
+    return texts.select("class", "doc_id", "top", "text").mapInArrow(
+        run, "class long, doc_id long, top long, start long, end long, print long, line boolean")
 
 
-def _bands(docs: DataFrame, text: str) -> DataFrame:
+def _bands(docs: DataFrame, text: str, bits: int) -> DataFrame:
     """``(range, keys, prints)``: the band hashes of distinct lines of a batch, packed by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,10 +144,10 @@ def _bands(docs: DataFrame, text: str) -> DataFrame:
             if not seen:
                 continue
             key, prints = np.unique(np.concatenate([x for v in seen.values() for x in v], axis=1), axis=1)
-            where = (key >> np.uint64(64 - BITS)).astype(np.int32)
+            where = (key >> np.uint64(64 - bits)).astype(np.int32)
             names, at = np.unique(where, return_index=True)
             ends = np.append(at[1:], len(where))
-            low = ((key >> np.uint64(32 - BITS)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+            low = ((key >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
             yield pa.record_batch({"range": pa.array(names), "keys": pa.array([low[a:z].tobytes() for a, z in zip(at, ends, strict=True)], pa.binary()),
                                    "prints": pa.array([prints[a:z].tobytes() for a, z in zip(at, ends, strict=True)], pa.binary())})
 
@@ -162,46 +169,58 @@ def _collisions(table: pa.Table) -> pa.Table:
     return pa.table({"token": pa.array(token, pa.int64()), "print": pa.array(prints[keep].view(np.int64), pa.int64())})
 
 
-def _sets_of(docs: DataFrame, text: str) -> DataFrame:
-    """``(print, n, tokens)`` of the distinct lines of each batch; the tokens are the shingles, packed."""
+def _sieve(prints: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits of the slots that hold a print, in words of 64, and the shift that leads to a slot; its size is bounded."""
+    slots = min(MOST_SLOTS, max(LEAST_SLOTS, 1 << (8 * prints.count()).bit_length()))
+    shift = 65 - slots.bit_length()
+    slot = F.shiftrightunsigned("print", shift)
+    words = prints.select(F.shiftright(slot, 6).alias("word"), F.expr(f"shiftleft(1L, CAST(shiftrightunsigned(print, {shift}) & 63 AS INT))").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(slots >> 6, np.uint64)
+    bits[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return bits, shift
+
+
+def _sets_of(docs: DataFrame, text: str, asked: DataFrame) -> DataFrame:
+    """``(print, n, tokens, central)`` of the lines asked for; the tokens are the shingles, packed."""
+    shared = docs.sparkSession.sparkContext.broadcast(_sieve(asked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, shift = shared.value
         for batch in batches:
             for raw, off, _, _ in _groups(batch.column(0)):
-                *_, h, names, at, sizes, prints = _line_sets(raw, off)
+                *_, h, _, at, sizes, prints = _line_sets(raw, off)
                 _, one = np.unique(prints, return_index=True)
+                slot = prints[one].view(np.uint64) >> np.uint64(shift)
+                one = one[(bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)]
                 yield pa.record_batch({"print": pa.array(prints[one]), "n": pa.array(sizes[one].astype(np.int64)),
                                        "tokens": pa.array([h[at[k]: at[k] + sizes[k]].astype("<u8").tobytes() for k in one], pa.binary())})
 
-    return docs.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "print long, n long, tokens binary")
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column("tokens")]
-        yield pa.record_batch({"print": batch.column("print"), "shingles": pa.array(rows, pa.list_(pa.int64()))})
+    found = docs.select(text).where(F.col(text).isNotNull()).mapInArrow(run, "print long, n long, tokens binary")
+    # what the sieve lets through goes here
+    return found.join(asked, "print").dropDuplicates(["print"])
 
 
 def line_clusters(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(print, cluster)`` of the line sets that have a similar one."""
-    spark = docs.sparkSession
-    met = staged(_bands(docs, text).groupBy("range").applyInArrow(_collisions, "token long, print long"))
-    # the lines that collide; only their sets are kept for verification
-    asked = met.select("print").distinct()
-    sets = staged(_sets_of(docs, text).join(asked, "print", "left_semi").dropDuplicates(["print"]))
-    unpacked = sets.mapInArrow(_unpacked, "print long, shingles array<long>")
-    # the index of the verified join: rarest shingles first, those of no other line before them
-    own = unpacked.select("print", F.explode("shingles").alias("token"))
-    own = own.join(own.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "token")
-    line = Window.partitionBy("print")
-    own = own.select("print", "token", F.row_number().over(line.orderBy("times", "token")).alias("rank"), F.count("*").over(line).alias("common"))
-    index = own.join(sets.select("print", "n"), "print").withColumn("at", F.col("n") - F.col("common") + F.col("rank") - 1).where("4 * at <= n")
-    index = staged(index.select("print", "token", "n", "at", (F.col("common") * 1000 / F.col("n")).cast("long").alias("central"), F.col("print").alias("component")))
-    edges = spark.createDataFrame([], "a long, b long")
-    for k, step in enumerate((jaccard._star, jaccard._star, jaccard._across)):
-        if k:
-            index = jaccard._labelled(index.drop("component"), edges)
-        edges = staged(edges.union(jaccard._linked(step(index), sets)))
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    bits = max(LEAST_BITS, int(size // RANGE_BYTES).bit_length())
+    met = staged(_bands(docs, text, bits).groupBy("range").applyInArrow(_collisions, "token long, print long"))
+    # the lines that collide, and in how many bands; only their sets are kept for verification
+    asked = staged(met.groupBy("print").agg(F.count("*").alias("central")))
+    sets = staged(_sets_of(docs, text, asked))
+    # the buckets of the bands, joined centre first; nothing but sizes can tell two lines of a bucket apart beforehand
+    index = staged(met.join(sets.select("print", "n", "central"), "print").select(
+        "token", "print", "n", F.lit(0).cast("long").alias("at"), "central", F.col("print").alias("component")))
+    unstaged(met), unstaged(asked)
+    edges = None
+    for step in (jaccard._star, jaccard._star, jaccard._across):
+        if edges is not None:
+            before, index = index, jaccard._labelled(index.drop("component"), edges)
+            unstaged(before)
+        found = jaccard._linked(step(index), sets)
+        edges = staged(found if edges is None else edges.union(found))
+    unstaged(index), unstaged(sets)
     return components(edges).select(F.col("node").alias("print"), F.col("component").alias("cluster"))
 
 
@@ -219,12 +238,18 @@ def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", within: bo
     """
     on_workers(docs.sparkSession)
     given = docs.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    given = given.withColumn("class", F.md5(F.col("text").cast("binary")))
-    members = staged(given.groupBy("class", "doc_id").agg(F.count("*").alias("times")))
-    bounds = members.groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("top"))
-    texts = staged(given.select("class", "text").dropDuplicates(["class"]))
+    given = given.withColumn("digest", F.md5(F.col("text").cast("binary")))
+    # a text's documents are numbered by it; its lines and pieces carry the least and the greatest of them
+    texts = given.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("top"), F.first("text").alias("text"))
+    texts = staged(texts.withColumn("class", F.monotonically_increasing_id()))
+    members = given.groupBy("digest", "doc_id").agg(F.count("*").alias("times"))
+    members = staged(members.join(texts.select("digest", "class"), "digest").drop("digest"))
+    clusters = line_clusters(texts)
     units = staged(_units(texts))
-    units = units.join(line_clusters(texts), "print", "left").withColumn("cluster", F.coalesce("cluster", "print")).join(bounds, "class")
+    unstaged(texts)
+    # a piece's print is its cluster; so is that of a line without a similar one
+    named = units.where("line").join(clusters, "print", "left").withColumn("cluster", F.coalesce("cluster", "print"))
+    units = named.unionByName(units.where("NOT line").withColumn("cluster", F.col("print"))).drop("print")
     first = units.groupBy("line", "cluster").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("top").alias("other"), F.count("*").alias("copies"))
     first = first.withColumn("spans_documents", F.expr("first.doc_id != other")).where("spans_documents OR copies > 1" if within else "spans_documents")
     found = units.join(first, ["line", "cluster"])

@@ -230,6 +230,94 @@ def test_paragraph_near_copies_and_clean_documents(spark, odd):
     assert paragraphs.repeats(odd.limit(0)).count() == 0
 
 
+def line_sets(text):
+    """Span, in code points, and shingles of every line with words."""
+    at = 0
+    for x in (text or "").split("\n"):
+        m = list(SPACED.finditer(x.translate(LOWER)))
+        w = [y[0] for y in m]
+        if w:
+            yield at + m[0].start(), at + m[-1].end(), frozenset(tuple(w[k: k + 5]) for k in range(max(1, len(w) - 4)))
+        at += len(x) + 1
+
+
+def similar_sets(sets):
+    """The smallest index reachable by links of 3/4 or more, by brute force over the sets that share a shingle."""
+    sets = list(dict.fromkeys(sets))
+    holds, root = defaultdict(list), list(range(len(sets)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for k, x in enumerate(sets):
+        for j, both in Counter(j for g in x for j in holds[g]).items():
+            if 100 * both >= 75 * (len(x) + len(sets[j]) - both):
+                a, b = sorted((find(j), find(k)))
+                root[b] = a
+        for g in x:
+            holds[g].append(k)
+    return {x: find(k) for k, x in enumerate(sets)}
+
+
+def test_similar_lines_share_a_cluster(spark, documents):
+    """Recall of the bands over every pair of clusters of the table, and no cluster too large."""
+    texts = [r.text for r in documents.values()]
+    want = Counter(Counter(similar_sets([x for t in texts for *_, x in line_sets(t)]).values()).values())
+    got = paragraphs.line_clusters(spark.createDataFrame([(t,) for t in texts], "text string")).groupBy("cluster").count().groupBy("count").count().collect()
+    assert {r[0]: r[1] for r in got} == {size: n for size, n in want.items() if size > 1}
+
+
+def test_paragraph_rows_equal_brute_force(spark):
+    """Documents too short for pieces: kept documents, occurrences and spans of every cluster of lines."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdeé😀", k=6))
+    lines = [[word() for _ in range(20)] for _ in range(12)]
+    rows = []
+    for k in range(60):
+        w = list(rng.choice(lines))
+        if k % 3 == 1:
+            w[rng.choice((0, 19))] = word()
+        elif k % 3 == 2:
+            w = [word() for _ in range(20)] if k % 2 else [x.upper() for x in w]
+        rows.append((100 - k, "\n  " * (k % 4) + " ".join(w) + "\n" + rng.choice(["", "ab cd", word()])))
+    rows += rows[:3]
+    of = similar_sets([x for _, t in rows for *_, x in line_sets(t)])
+    held = defaultdict(list)
+    for i, t in rows:
+        for a, z, x in line_sets(t):
+            held[of[x]].append((i, a, z))
+    want = defaultdict(lambda: [set(), 0, set()])
+    for places in held.values():
+        if len({i for i, *_ in places}) > 1:
+            first = min(places)
+            for i, a, z in places:
+                want[i][0].add(first[0])
+                want[i][1] += 1
+                if (i, a) != first[:2]:
+                    want[i][2].add((a, z))
+    got = paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert (set(r.keep_doc_ids), r.n_repeated, {(s.start, s.end) for s in r.removals}) == tuple(want[r.doc_id]), r
+
+
+def test_paragraphs_of_odd_rows_and_a_very_long_text(spark, odd):
+    """Equal texts and repeated rows are found; null ids and texts are left out; a long text is cut up whole."""
+    got = {r.doc_id: r for r in paragraphs.repeats(odd).collect()}
+    assert set(got) == {4, 5} and got[4].n_repeated == 2 and not got[4].removals
+    assert [(s.start, s.end) for s in got[5].removals] == [(0, 24)]
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=7))
+    passage = " ".join(word() for _ in range(60))
+    long = " ".join(word() for _ in range(40_000))
+    rows = spark.createDataFrame([(1, long + " " + passage), (2, passage + " tail"), (3, "x")], "doc_id long, text string").selectExpr(
+        "*", "1 AS class", "2 AS `end`", "3 AS cluster", "4 AS digest")
+    got = {r.doc_id: r for r in paragraphs.repeats(rows).collect()}
+    assert set(got) == {1, 2} and got[2].keep_doc_ids == [1] and got[2].removals[0].end <= len(passage)
+
+
 # 7 byte-level BPE -------------------------------------------------------------------
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
