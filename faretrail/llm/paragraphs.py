@@ -224,6 +224,25 @@ def line_clusters(docs: DataFrame, text: str = "text") -> DataFrame:
     return components(edges).select(F.col("node").alias("print"), F.col("component").alias("cluster"))
 
 
+def _merged(spans: pa.Array) -> pa.Array:
+    """Each row's spans in order, those that overlap or touch as one."""
+    sizes = spans.value_lengths().fill_null(0).to_numpy()
+    flat = spans.flatten()
+    # a row's places lie in a range of their own
+    base = np.repeat(np.arange(len(spans), dtype=np.int64) << 40, sizes)
+    start, end = (flat.field(c).to_numpy() + base for c in ("start", "end"))
+    order = np.argsort(start, kind="stable")
+    start, top = start[order], np.maximum.accumulate(end[order])
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > top[:-1]
+    at = np.flatnonzero(new)
+    start, end = start[at], top[np.append(at[1:], len(top))[: len(at)] - 1]
+    row = start >> 40
+    off = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(spans)))]).astype(np.int32)
+    made = pa.StructArray.from_arrays([pa.array(start - (row << 40)), pa.array(end - (row << 40))], ["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(off), made)
+
+
 def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
     """A row for every document that holds a paragraph or piece repeated in another document; others have none.
 
@@ -260,11 +279,6 @@ def repeats(docs: DataFrame, doc: str = "doc_id", text: str = "text", within: bo
     rows = members.join(found, "class").select("doc_id", "spans_documents", "keeps", (F.col("n") * F.col("times")).alias("n"),
                                                F.when(F.col("doc_id") == F.col("low"), F.col("goes")).otherwise(F.array_union("goes", "own")).alias("spans"))
     rows = rows.groupBy("doc_id", "spans_documents").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("keeps")))).alias("keep_doc_ids"), F.sum("n").alias("n_repeated"),
-                                      F.sort_array(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    none = F.expr("CAST(array() AS array<struct<start:bigint,end:bigint>>)")
-    merged = F.aggregate("spans", F.struct(none.alias("done"), F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("z")), lambda acc, s: F.when(
-        s["start"] <= acc["z"], F.struct(acc["done"].alias("done"), acc["a"].alias("a"), F.greatest(acc["z"], s["end"]).alias("z"))).otherwise(
-        F.struct(F.when(acc["z"] >= 0, F.concat(acc["done"], F.array(F.struct(acc["a"].alias("start"), acc["z"].alias("end"))))).otherwise(acc["done"]).alias("done"),
-                 s["start"].alias("a"), s["end"].alias("z"))),
-        lambda acc: F.when(acc["z"] >= 0, F.concat(acc["done"], F.array(F.struct(acc["a"].alias("start"), acc["z"].alias("end"))))).otherwise(acc["done"]))
+                                      F.flatten(F.collect_list("spans")).alias("spans"))
+    merged = F.arrow_udf(_merged, "array<struct<start:bigint,end:bigint>>")("spans")
     return rows.select("doc_id", "keep_doc_ids", "n_repeated", merged.alias("removals"), *(["spans_documents"] if within else []))

@@ -269,6 +269,16 @@ def test_similar_lines_share_a_cluster(spark, documents):
     assert {r[0]: r[1] for r in got} == {size: n for size, n in want.items() if size > 1}
 
 
+def test_spans_are_merged_row_by_row():
+    rows = [[(5, 9), (0, 3), (3, 4), (6, 7)], [], [(0, 2)], [(1, 2), (1, 8), (9, 10)], []]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    given_rows = pa.array([[{"start": a, "end": z} for a, z in r] for r in rows], kind)
+    got = [[tuple(s.values()) for s in r] for r in paragraphs._merged(given_rows).to_pylist()]
+    assert got == [[(0, 4), (5, 9)], [], [(0, 2)], [(1, 8), (9, 10)], []]
+    assert paragraphs._merged(given_rows.slice(1, 1)).to_pylist() == [[]] and paragraphs._merged(given_rows[:0]).to_pylist() == []
+    assert paragraphs._merged(given_rows.slice(2, 2)).to_pylist()[1][1] == {"start": 9, "end": 10}
+
+
 def test_paragraph_rows_equal_brute_force(spark):
     """Documents too short for pieces: kept documents, occurrences and spans of every cluster of lines."""
     rng = random.Random(9)
