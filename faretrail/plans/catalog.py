@@ -37,6 +37,8 @@ TOP_K = 10
 PRODUCT_TOP = 6
 SAMPLING_RATE = 0.5
 CHART_AGENCY = "NATION_4"
+#: Years of the taps, the headings of the wide reports; a tap of another year makes these fail.
+REPORT_YEARS = [2023, 2024]
 SEGMENT_ROWS = 2_000_000
 
 KEY = ["cardid_anony", "sequencenumber", "transaction_time"]
@@ -405,6 +407,22 @@ def q_observed_days(i: Inputs) -> DataFrame:
     return reports.observed_days(i.transfer_db)
 
 
+def q_share_by_from_years(i: Inputs) -> DataFrame:
+    return reports.pivoted(reports.share_by_from(i.shares), "Year", ["median_transfers", "median_from_transactions", "median_from_share"], REPORT_YEARS)
+
+
+def q_share_by_to_years(i: Inputs) -> DataFrame:
+    return reports.pivoted(reports.share_by_to(i.shares), "Year", ["median_transfers", "median_to_transactions", "median_to_share"], REPORT_YEARS)
+
+
+def q_agency_transactions_weekdays(i: Inputs) -> DataFrame:
+    return reports.pivoted(reports.agency_transactions(i.transfer_db), "CircadianDayOfWeek", ["median_from_transactions"], list(range(1, 8)))
+
+
+def q_observed_days_years(i: Inputs) -> DataFrame:
+    return reports.pivoted(reports.observed_days(i.transfer_db), "Year", ["observed_weeks"], REPORT_YEARS)
+
+
 def q_transfers_with_totals(i: Inputs) -> DataFrame:
     return reports.transfers_with_totals(i.transfer_db)
 
@@ -462,6 +480,10 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "agency_transactions": q_agency_transactions,
     "observed_days": q_observed_days,
     "transfers_with_totals": q_transfers_with_totals,
+    "share_by_from_years": q_share_by_from_years,
+    "share_by_to_years": q_share_by_to_years,
+    "agency_transactions_weekdays": q_agency_transactions_weekdays,
+    "observed_days_years": q_observed_days_years,
     "sequences_by_date": q_sequences_by_date,
     "sequences_by_day_id": q_sequences_by_day_id,
     "sequences_sampled_trips": q_sequences_sampled_trips,

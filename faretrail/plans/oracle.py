@@ -553,6 +553,16 @@ SELECT from_AgencyName, to_AgencyName, Year, CAST(grouping(Year) AS BOOLEAN) AS
 FROM tdb
 GROUP BY GROUPING SETS ((from_AgencyName, to_AgencyName, Year), (from_AgencyName, to_AgencyName))"""
 
+    def wide(name: str, heading: str, headings: list, values: list[str], keys: str) -> str:
+        cells = ", ".join(f'max(CASE WHEN {heading} = {h} THEN {v} END) AS "{h}{"_" + v if len(values) > 1 else ""}"' for h in headings for v in values)
+        return f"SELECT {keys}, {cells} FROM ({q[name]}) GROUP BY ALL"
+
+    for way in ("from", "to"):
+        q[f"share_by_{way}_years"] = wide(f"share_by_{way}", "Year", cat.REPORT_YEARS, [
+            "median_transfers", f"median_{way}_transactions", f"median_{way}_share"], "from_AgencyName, to_AgencyName")
+    q["agency_transactions_weekdays"] = wide("agency_transactions", "CircadianDayOfWeek", list(range(1, 8)), ["median_from_transactions"], "Year, Month, from_AgencyName")
+    q["observed_days_years"] = wide("observed_days", "Year", cat.REPORT_YEARS, ["observed_weeks"], "Month, CircadianDayOfWeek")
+
     seq_base = _with(base_e, ",", rides_cte("enriched", "rides_e"), sequences_cte("rides_e"))
     q["sequences_by_date"] = seq_base + f""",
 pc AS (

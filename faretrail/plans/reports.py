@@ -187,6 +187,24 @@ def transfers_with_totals(db: DataFrame) -> DataFrame:
     )
 
 
+def pivoted(report: DataFrame, heading: str, values: list[str], headings: list | None = None) -> DataFrame:
+    """The wide form of a report: a column for each heading, and one a value where there are several.
+
+    Rows are told apart by the report's other columns. Columns are named by the
+    heading, followed by the value's name where several values are asked for; a
+    cell without a row is null. ``headings`` fixes the columns and their order,
+    and a row under any other heading, or none, is an error, so nothing is left
+    out silently. Without it Spark reads the headings first (at most
+    ``spark.sql.pivotMaxValues``), for which the report is computed once more.
+    """
+    keys = [c for c in report.columns if c != heading and c not in values]
+    if headings is not None:
+        known = F.coalesce(F.col(heading).isin(*headings), F.lit(False))
+        text = F.concat(F.lit(f"not among the headings of {heading}: "), F.coalesce(F.col(heading).cast("string"), F.lit("null")))
+        report = report.withColumn(heading, F.when(known, F.col(heading)).otherwise(F.raise_error(text).cast(report.schema[heading].dataType)))
+    return report.groupBy(*keys).pivot(heading, headings).agg(*[F.first(v, ignorenulls=True).alias(v) for v in values])
+
+
 def exact_stddev_samp(c: str) -> F.Column:
     """Sample standard deviation of an integer column from exact integer moments.
 

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pytest
+
 from conftest import make_taps
 
 from faretrail.operators import as_rides, extract_sequence_by_date, extract_sequence_for_random_week
@@ -79,3 +81,18 @@ def test_hour_histogram_skips_nulls(spark):
                                "t timestamp_ntz")
     h = reports.hour_histogram(df, "t", "x").collect()
     assert [(r["hour"], r["n"]) for r in h] == [(7, 2)]
+
+
+def test_wide_reports_keep_every_row_or_fail(spark):
+    rows = [("a", 1, 2023, 5.0, 1), ("a", 1, 2024, 6.0, None), ("b", 2, 2024, None, 3), (None, 2, 2023, 7.0, 4)]
+    long = spark.createDataFrame(rows, "name string, month int, year int, x double, n int")
+    wide = reports.pivoted(long, "year", ["x", "n"], [2024, 2023])
+    assert wide.columns == ["name", "month", "2024_x", "2024_n", "2023_x", "2023_n"]
+    assert sorted(map(tuple, wide.collect()), key=str) == sorted([("a", 1, 6.0, None, 5.0, 1), ("b", 2, None, 3, None, None), (None, 2, None, None, 7.0, 4)], key=str)
+    one = reports.pivoted(long.drop("n"), "year", ["x"])
+    assert one.columns == ["name", "month", "2023", "2024"] and one.count() == 3
+    assert reports.pivoted(long.limit(0), "year", ["x", "n"], [2023]).count() == 0
+    for bad in (2022, None):
+        more = long.union(spark.createDataFrame([("c", 1, bad, 1.0, 1)], long.schema))
+        with pytest.raises(Exception, match="not among the headings of year"):
+            reports.pivoted(more, "year", ["x", "n"], [2023, 2024]).collect()
