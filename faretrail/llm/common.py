@@ -29,12 +29,19 @@ def scratch_path(spark: SparkSession, stem: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame) -> DataFrame:
+#: Rows for which a copy of known length gets a file, and the fewest files it gets.
+FILE_ROWS, LEAST_FILES = 100_000, 16
+
+
+def staged(df: DataFrame, most_rows: int | None = None) -> DataFrame:
     """Write ``df`` once under ``spark.checkpoint.dir`` and go on from the copy.
 
     The copy cuts the lineage, is visible to every executor and survives the
-    loss of any of them.
+    loss of any of them. With ``most_rows``, which ``df`` does not exceed, it
+    has files for so many rows and not one for every shuffle partition.
     """
+    if most_rows is not None:
+        df = df.coalesce(max(LEAST_FILES, most_rows // FILE_ROWS))
     return df.sparkSession.read.parquet(write_stage(df))
 
 
@@ -77,20 +84,24 @@ def components(edges: DataFrame) -> DataFrame:
     (large star), then every neighbour below it (small star); both are a
     map-side combined minimum and an equi-join, so a node with very many edges
     is no single task's work. Rounds are logarithmic in practice and stop when
-    the edges are stars. Each round is a written copy.
+    the edges are stars. Each round is a written copy; none has more edges than
+    were given, which should come from a written copy themselves, since they are
+    counted first.
     """
+    most = edges.count()
     e = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     e = staged(e.where("a IS NOT NULL AND b IS NOT NULL AND a != b")
-               .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+               .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), most)
     while not _stars(e):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = staged(large.distinct())
+        large = staged(large.distinct(), most)
         # now every edge leads down: u above v
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = staged(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-                   .union(least.select("u", F.col("m").alias("v"))).distinct())
+        before, e = e, staged(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+                              .union(least.select("u", F.col("m").alias("v"))).distinct(), most)
+        unstaged(before), unstaged(large)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -206,9 +206,11 @@ def _fits(a: str, b: str) -> str:
     return f"100 * least({x['n']}, {y['n']}) >= 75 * greatest({x['n']}, {y['n']}) AND 7 * {left} >= 3 * ({x['n']} + {y['n']})"
 
 
-def _labelled(index: DataFrame, edges: DataFrame) -> DataFrame:
-    known = components(edges).withColumnRenamed("node", "print")
-    return staged(index.join(known, "print", "left").withColumn("component", F.coalesce("component", "print")))
+def _labelled(index: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index with the components that ``edges`` make, and the stars of these components, which stand for the edges from then on."""
+    known = components(edges)
+    rows = index.join(known.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
+    return staged(rows), known.where("node != component").select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def _star(index: DataFrame) -> DataFrame:
@@ -261,8 +263,8 @@ def join(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     index = staged(index.join(several, "token"))
     edges = staged(_linked(_star(index), kept))
     for step in (_star, _across):
-        index = _labelled(index.drop("component"), edges)
-        edges = staged(edges.union(_linked(step(index), kept)))
+        index, stars = _labelled(index.drop("component"), edges)
+        edges = staged(stars.union(_linked(step(index), kept)))
     label = components(edges).withColumnRenamed("node", "print")
     classes = sets.where("n > 0").groupBy("print").agg(F.min("doc_id").alias("least"))
     classes = classes.join(label, "print", "left").withColumn("component", F.coalesce("component", "print"))

@@ -213,13 +213,11 @@ def line_clusters(docs: DataFrame, text: str = "text") -> DataFrame:
     index = staged(met.join(sets.select("print", "n", "central"), "print").select(
         "token", "print", "n", F.lit(0).cast("long").alias("at"), "central", F.col("print").alias("component")))
     unstaged(met), unstaged(asked)
-    edges = None
-    for step in (jaccard._star, jaccard._star, jaccard._across):
-        if edges is not None:
-            before, index = index, jaccard._labelled(index.drop("component"), edges)
-            unstaged(before)
-        found = jaccard._linked(step(index), sets)
-        edges = staged(found if edges is None else edges.union(found))
+    edges = staged(jaccard._linked(jaccard._star(index), sets))
+    for step in (jaccard._star, jaccard._across):
+        before, (index, stars) = index, jaccard._labelled(index.drop("component"), edges)
+        unstaged(before)
+        edges = staged(stars.union(jaccard._linked(step(index), sets)))
     unstaged(index), unstaged(sets)
     return components(edges).select(F.col("node").alias("print"), F.col("component").alias("cluster"))
 
