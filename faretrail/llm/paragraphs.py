@@ -9,8 +9,10 @@ that two documents share holds a piece that both have.
 Lines are banded: ``BANDS`` bands of ``ROWS`` MinHashes find 99.8 % of the pairs
 with a Jaccard similarity of 3/4; those of fewer than ``LEAST_BANDED`` shingles
 are similar only to their equals and need no band. Lines that collide in a band
-are joined: each with the line of its buckets that collides most, and then those
-of one bucket that are not yet known to be of one component. The pairs are verified
+are joined: each, twice, with the line of its buckets that collides most. Lines that
+then still share a bucket with another component are joined by their rarest shingles,
+which are few enough to leave no pair of similarity 3/4 out: pairing all lines of a
+bucket would grow with the square of the lines around one common passage. The pairs are verified
 by their exact similarity and clustered by connected components; pieces are equal
 or not, and their class is their cluster. Of a cluster the first occurrence (by
 document, then place) stays and the others are spans to remove.
@@ -40,6 +42,8 @@ REACH, PIECE = 20, 31
 RANGE_BYTES, LEAST_BITS = 16 << 20, 8
 #: Slots of the sieve that keeps most lines without a collision from the shuffle: eight a line, within these bounds.
 LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 28
+#: Slots in which shingles are counted to order them, the rare ones first.
+ORDER_SLOTS = 1 << 20
 GROUP = 2 << 20
 SEEDS = ta.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * ta.BASE) | np.uint64(1)
 
@@ -201,6 +205,54 @@ def _sets_of(docs: DataFrame, text: str, asked: DataFrame) -> DataFrame:
     return found.join(asked, "print").dropDuplicates(["print"])
 
 
+def _rarest(index: DataFrame, sets: DataFrame) -> DataFrame:
+    """The lines that still share a bucket with another component, listed by their rarest shingles instead of by bucket.
+
+    Under any one order of the shingles, two sets with a similarity of 3/4 share
+    one of the first ``n - ceil(3n/4) + 1`` of each; with the rare ones first, lines
+    that merely hold the same common passage do not meet. The order is by the
+    counts of ``ORDER_SLOTS`` slots of shingles, a table of fixed size.
+    """
+    spark = index.sparkSession
+    mixed = index.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
+    rest = index.join(mixed, "token").select("print", "component").distinct()
+    rest = staged(rest.join(sets, "print").select("print", "n", "central", "component", "tokens"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        times = np.zeros(ORDER_SLOTS, np.int64)
+        for batch in batches:
+            flat = np.frombuffer(b"".join(x.as_py() for x in batch.column(0)), "<i8")
+            slot, n = np.unique(flat & (ORDER_SLOTS - 1), return_counts=True)
+            times[slot] += n
+        slot = np.flatnonzero(times)
+        yield pa.record_batch({"slot": pa.array(slot), "times": pa.array(times[slot])})
+
+    sums = rest.select("tokens").mapInArrow(counted, "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
+    times = np.zeros(ORDER_SLOTS, np.int64)
+    times[sums.column("slot").to_numpy()] = sums.column("times").to_numpy()
+    shared = spark.sparkContext.broadcast(times)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            firsts, counts = [np.zeros(0, np.int64)], []
+            for x in batch.column("tokens"):
+                own = np.unique(np.frombuffer(x.as_buffer(), "<i8"))
+                order = np.lexsort((own, shared.value[own & (ORDER_SLOTS - 1)]))
+                firsts.append(own[order[: len(own) - jaccard.least_overlap(len(own)) + 1]])
+                counts.append(len(firsts[-1]))
+            counts = np.array(counts, np.int64)
+            row = pa.array(np.repeat(np.arange(len(counts)), counts))
+            at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield pa.record_batch({"token": pa.array(np.concatenate(firsts)), "at": pa.array(at),
+                                   **{c: batch.column(c).take(row) for c in ("print", "n", "central", "component")}})
+
+    out = rest.mapInArrow(listed, "token long, at long, print long, n long, central long, component long")
+    several = out.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
+    made = staged(out.join(several, "token"))
+    unstaged(rest)
+    return made
+
+
 def line_clusters(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(print, cluster)`` of the line sets that have a similar one."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
@@ -214,9 +266,12 @@ def line_clusters(docs: DataFrame, text: str = "text") -> DataFrame:
         "token", "print", "n", F.lit(0).cast("long").alias("at"), "central", F.col("print").alias("component")))
     unstaged(met), unstaged(asked)
     edges = staged(jaccard._linked(jaccard._star(index), sets))
-    for step in (jaccard._star, jaccard._across):
+    for k, step in enumerate((jaccard._star, jaccard._star, jaccard._across)):
         before, (index, stars) = index, jaccard._labelled(index.drop("component"), edges)
         unstaged(before)
+        if k == 1:  # what the buckets' centres leave goes on by rare shingles
+            before, index = index, _rarest(index, sets)
+            unstaged(before)
         edges = staged(stars.union(jaccard._linked(step(index), sets)))
     unstaged(index), unstaged(sets)
     return components(edges).select(F.col("node").alias("print"), F.col("component").alias("cluster"))
