@@ -3,8 +3,10 @@
 A byte-level pre-tokenizer never joins a non-space to the space after it, so a
 text may be cut wherever white space follows something else: the ids of the
 text are those of its chunks in order. A full stop or comma after a letter or
-digit starts afresh too. Chunks repeat, so each is encoded once
-and kept; unknown chunks go to the library together, with its own special token
+digit starts afresh too. The cuts are found by table lookups over the column's
+bytes, and Arrow tells the distinct chunks of a group apart, so no Python object
+is made for a chunk that repeats in it. Distinct chunks are encoded once and
+kept; unknown ones go to the library together, with its own special token
 between them, which it never merges with its neighbours.
 """
 
@@ -13,14 +15,25 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
-
-CHUNK = re.compile(r"\s*+[^\s.,]++(?<=[^\W_])(?=[.,](?:\s|$))|\s*\S+|\s+")
-#: Python counts these as white space, the library does not: such texts stay whole.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
-#: Characters of text that are cut into chunks at a time.
-PIECE = 1 << 20
+import pyarrow as pa
+
+from faretrail.llm import textarrays as ta
+
+#: Where a text may be cut: before these, unless white space stands before them.
+BREAK = np.zeros(256, bool)
+BREAK[[0x20, 9, 10, 13]] = True
+#: Before full stop and comma too, if one of these stands before and nothing or a break follows.
+STOP, ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+STOP[[0x2C, 0x2E]] = True
+ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = True
+#: White space beyond ASCII, as the number that its last three bytes make (two-byte ones: its last two).
+WIDE = np.array([int.from_bytes(c.encode(), "big") for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))])
+CUT = re.compile(rb"(?<=[\x21-\x7e])(?=[ \n\t\r])")
+#: Bytes of text that are cut into chunks at a time.
+PIECE = 8 << 20
 #: Entries after which the cache turns into the old one, which the next turn drops; results do not depend on it.
 KEPT = 400_000
 #: Chunks that go to the library in one text.
@@ -36,16 +49,39 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
-def pieces(text: str, limit: int = PIECE) -> Iterator[str]:
-    """Cut a long text where white space follows something else; other texts stay whole."""
-    at = 0
-    while len(text) - at > limit:
-        cut = re.compile(r"(?<=\S)(?=[ \n\t\r])").search(text, at + limit)
-        if cut is None:
-            break
-        yield text[at: cut.start()]
-        at = cut.start()
-    yield text[at:] if at else text
+def chunk_starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """First bytes of the chunks of the texts ``raw[off[k]:off[k + 1]]``, in order; an empty text has none."""
+    n = len(raw)
+    first = np.zeros(n + 1, bool)
+    begin, blank = BREAK[raw], ~ta.SPACED[raw]
+    first[1:n] = begin[1:] & ~blank[:-1]
+    # white space of several bytes does not end a chunk before white space
+    if len(at := np.flatnonzero(first[1:n] & (raw[:-1] >= 0x80)) + 1):
+        two = raw[at - 1].astype(np.int64) | raw[np.maximum(at - 2, 0)].astype(np.int64) << 8
+        three = two | raw[np.maximum(at - 3, 0)].astype(np.int64) << 16
+        first[at[np.isin(two, WIDE) | np.isin(three, WIDE)]] = False
+    # what follows a full stop: a break, or the next text
+    after = np.ones(n + 1, bool)
+    after[:n] = begin
+    after[off] = True
+    first[1:n] |= STOP[raw[1:]] & ALNUM[raw[:-1]] & after[2: n + 1]
+    first[off] = True
+    return np.flatnonzero(first[:n])
+
+
+def _spans(raw: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
+    """Texts ``i`` to ``j`` of about ``PIECE`` bytes with the bytes they take; those of a longer text in several parts, cut where white space follows something else."""
+    for i, j in ta.blocks(off, PIECE):
+        at, end = int(off[i]), int(off[j])
+        parts = []
+        if j == i + 1 and end - at > PIECE:
+            text = memoryview(raw[at:end])
+            begin = 0
+            while len(text) - begin > PIECE and (cut := CUT.search(text, begin + PIECE)):
+                parts.append((at + begin, at + cut.start()))
+                begin = cut.start()
+            at += begin
+        yield i, j, [*parts, (at, end)]
 
 
 class ChunkEncoder:
@@ -92,53 +128,35 @@ class ChunkEncoder:
         return next(self.encode_many([text]))
 
     def encode_many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Encode texts in groups of about ``PIECE`` characters, learning a group's unknown chunks in one go."""
-        group: list[list[list[str]]] = []
-        size = 0
-        for t in texts:
-            if t and ODD_SPACE.search(t):
-                yield from self._encoded(group)
-                group, size = [], 0
-                yield self._whole(t)
-                continue
-            parts = []
-            for piece in pieces(t or ""):
-                parts.append(CHUNK.findall(piece))
-                size += len(piece)
-                if size > 8 * PIECE:  # a very long text: learn as it goes
-                    parts[:] = [[b"".join(self._ids(p))] if p and isinstance(p[0], str) else p for p in parts]
-                    size = 0
-            group.append(parts)
-            if size >= PIECE:
-                yield from self._encoded(group)
-                group, size = [], 0
-        yield from self._encoded(group)
+        """Encode a column or list of texts in groups of about ``PIECE`` bytes, learning a group's unknown chunks in one go."""
+        column = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.large_string())
+        raw, off = ta.utf8(column)
+        for i, j, parts in _spans(raw, off):
+            if j == i + 1:
+                yield b"".join(self._encoded(raw[a:z], np.array([0, z - a]))[0] for a, z in parts)
+            else:
+                (a, z), = parts
+                yield from self._encoded(raw[a:z], off[i: j + 1] - a)
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks."""
         kept, old = self.kept, self.old
-        unknown = set(chunks).difference(kept)
+        unknown = list(filterfalse(kept.__contains__, chunks))
         if unknown:
-            kept.update({c: old[c] for c in unknown.intersection(old)})
-            self._learn(list(unknown.difference(old)))
+            kept.update({c: old[c] for c in unknown if c in old})
+            self._learn(list(filterfalse(old.__contains__, unknown)))
         out = list(map(kept.__getitem__, chunks))
         if len(kept) > KEPT:
             self.kept, self.old = {}, kept
         return out
 
-    def _encoded(self, group: list[list[list]]) -> Iterator[bytes]:
-        """The ids of each text; a text's parts are lists of chunks, or of the ids of a part that is done."""
-        flat: list[str] = []
-        for parts in group:
-            for p in parts:
-                if not p or isinstance(p[0], str):
-                    flat += p
-        ids, at = self._ids(flat), 0
-        for parts in group:
-            out = []
-            for p in parts:
-                if not p or isinstance(p[0], str):
-                    out.append(b"".join(ids[at: at + len(p)]))
-                    at += len(p)
-                else:
-                    out += p
-            yield b"".join(out)
+    def _encoded(self, raw: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """The ids of each text of a group."""
+        if not len(raw):
+            return [b""] * (len(off) - 1)
+        starts = chunk_starts(raw, off)
+        chunks = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(raw))), pa.py_buffer(raw)).dictionary_encode()
+        ids = pa.array(self._ids(chunks.dictionary.to_pylist()), pa.large_binary()).take(chunks.indices)
+        _, ends, data = ids.buffers()
+        ends = np.frombuffer(ends, np.int64, len(ids) + 1)[np.searchsorted(starts, off)].tolist()
+        return [data[a:z].to_pybytes() for a, z in zip(ends, ends[1:])]

@@ -124,8 +124,7 @@ def write_ids(df: DataFrame, path: str, tokenizer: str, end_id: int, vocabulary:
         bits = bits_for(size)
         docs, ids, held = [], [], 0
         for batch in batches:
-            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for name, raw in zip(names, enc.encode_many(texts), strict=True):
+            for name, raw in zip(batch.column(0).to_pylist(), enc.encode_many(batch.column(1)), strict=True):
                 docs.append(name)
                 ids.append(np.append(np.frombuffer(raw, enc.dtype), np.array([end_id], enc.dtype)))
                 held += len(ids[-1])
