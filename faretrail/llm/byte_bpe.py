@@ -13,7 +13,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 
-from faretrail.llm.common import fresh_name, on_workers
+from faretrail.llm import textarrays as ta
+from faretrail.llm.common import fresh_name, on_workers, own_state, released
 
 #: Bytes of text that are cut into words at a time.
 GROUP = 2 << 20
@@ -30,7 +31,7 @@ WORDS = 10_000
 #: Longer words (in bytes) take one contraction after another from a heap, as a recursion over them would not end soon.
 LONG_WORD = 200
 #: Entries after which the cache turns into the old one, which the next turn drops; results do not depend on it.
-KEPT = 450_000
+KEPT = 300_000
 
 # A word's rows leave the recursion in the turn that finds no pair for it; words come in as live rows.
 ENCODE = """
@@ -57,14 +58,12 @@ SELECT word, string_agg(piece, '' ORDER BY pos) AS bytes
 FROM ids_in JOIN pieces USING (token) GROUP BY word
 """
 
-_coders: dict[tuple[str, str], Coder] = {}
-
-
 def coder(path: str, pattern: str) -> Coder:
     """One coder a process and vocabulary, so that tasks of one worker share the cache."""
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = Coder(path, pattern)
-    return _coders[path, pattern]
+    held = own_state("byte_bpe")
+    if (path, pattern) not in held:
+        held[path, pattern] = Coder(path, pattern)
+    return held[path, pattern]
 
 
 class Coder:
@@ -78,15 +77,18 @@ class Coder:
         self.byte = np.array([self.ranks[bytes([k])] for k in range(256)], np.int32)
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items()
                  for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        self.merges = {(a, b): r for a, b, r in pairs}
+        self.tokens = [b""] * (max(self.ranks.values()) + 1)
+        for t, r in self.ranks.items():
+            self.tokens[r] = t
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         l, r, rank = (pa.array(x, pa.int32()) for x in zip(*pairs, strict=True))
         self._load("merges", pa.table({"l": l, "r": r, "rank": rank}))
         # bytes as text of one character a byte, so that they can be put together in order
         self._load("pieces", pa.table({"token": pa.array(self.ranks.values(), pa.int32()),
                                        "piece": [t.decode("latin-1") for t in self.ranks]}))
-        self.kept: dict[str, tuple[str, int, bytes]] = {}
-        self.old: dict[str, tuple[str, int, bytes]] = {}
+        # of a word its ids, a blank and the decoded bytes: one object takes half the memory of several
+        self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
@@ -122,23 +124,27 @@ class Coder:
         return pa.table({"word": np.repeat(np.arange(len(words), dtype=np.int32), size), "pos": at.astype(np.int32),
                          "token": np.concatenate([*tokens, []]).astype(np.int32), "live": np.repeat([x is None for x in done], size)})
 
+    def _rank(self, a: int, b: int) -> int | None:
+        """The token that two neighbours make, if any."""
+        return self.ranks.get(self.tokens[a] + self.tokens[b])
+
     def _long(self, word: bytes) -> list[int]:
         """The same contraction for one long word: a heap of (rank, position) over linked positions."""
         token = [int(self.byte[b]) for b in word]
         n = len(token)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := self.merges.get((token[i], token[i + 1]))) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := self._rank(token[i], token[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             rank, i = heapq.heappop(heap)
             j = after[i]
-            if token[i] < 0 or j >= n or self.merges.get((token[i], token[j])) != rank:
+            if token[i] < 0 or j >= n or self._rank(token[i], token[j]) != rank:
                 continue
             token[i], token[j], after[i] = rank, -1, after[j]
             if after[i] < n:
                 before[after[i]] = i
             for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b < n and (r := self.merges.get((token[a], token[b]))) is not None:
+                if a >= 0 and b < n and (r := self._rank(token[a], token[b])) is not None:
                     heapq.heappush(heap, (r, a))
         return [t for t in token if t >= 0]
 
@@ -165,21 +171,22 @@ class Coder:
             raw = [w.encode() for w in part]
             done = [[self.ranks[w]] if w in self.ranks else self._long(w) if len(w) > LONG_WORD else None for w in raw]
             got = self._query(ROUND_TRIP, "bytes_in", self._rows(raw, done))
-            found = zip(got.column("ids").to_pylist(), got.column("n").to_pylist(), got.column("bytes").to_pylist(), strict=True)
-            self.kept.update(zip(part, [(ids, n, text.encode("latin-1")) for ids, n, text in found], strict=True))
+            found = zip(got.column("ids").to_pylist(), got.column("bytes").to_pylist(), strict=True)
+            self.kept.update(zip(part, [f"{ids} {text}".encode("latin-1") for ids, text in found], strict=True))
 
-    def _looked_up(self, words: list[str]) -> list[tuple[str, int, bytes]]:
+    def _looked_up(self, words: list[str]) -> list[tuple[bytes, bytes]]:
+        """Of distinct words the ids, a comma after each, and the decoded bytes."""
         kept, old = self.kept, self.old
-        unknown = set(words).difference(kept)
+        unknown = list(filterfalse(kept.__contains__, words))
         if unknown:
-            kept.update({w: old[w] for w in unknown.intersection(old)})
-            self._learn(list(unknown.difference(old)))
-        out = list(map(kept.__getitem__, words))
+            kept.update({w: old[w] for w in unknown if w in old})
+            self._learn(list(filterfalse(old.__contains__, unknown)))
+        found = [kept[w].partition(b" ") for w in words]
         if len(kept) > KEPT:
             self.kept, self.old = {}, kept
-        return out
+        return [(ids + b",", raw) for ids, _, raw in found]
 
-    def texts(self, texts: Iterable[str | None]) -> Iterator[tuple[str, int, bytes]]:
+    def texts(self, texts: Iterable[str | None]) -> Iterator[tuple[bytes, int, bytes]]:
         """Of each text (null: empty) the ids joined by commas, their number and the decoded bytes."""
         group, size = [], 0
         for t in texts:
@@ -195,28 +202,34 @@ class Coder:
                 group, size = [], 0
         yield from self._group(group)
 
-    def _group(self, group: list[list[str]]) -> Iterator[tuple[str, int, bytes]]:
-        known = iter(self._looked_up([w for words in group for w in words]))
-        for words in group:
-            yield self._joined(list(islice(known, len(words))))
+    def _group(self, group: list[list[str]]) -> Iterator[tuple[bytes, int, bytes]]:
+        words = pa.array(list(chain.from_iterable(group)), pa.large_string()).dictionary_encode()
+        found = self._looked_up(words.dictionary.to_pylist())
+        ends = np.cumsum([0, *map(len, group)])
+        ids, raws = (_in_order([x[k] for x in found], words.indices, ends) for k in (0, 1))
+        for joined, raw in zip(ids, raws, strict=True):
+            yield joined[:-1], joined.count(b","), raw
 
-    def _very_long(self, text: str) -> tuple[str, int, bytes]:
+    def _very_long(self, text: str) -> tuple[bytes, int, bytes]:
         parts, words, size = [], [], 0
         for m in self.pattern.finditer(text):
             words.append(m[0])
             size += len(m[0])
             if size >= GROUP:
-                parts.append(self._joined(self._looked_up(words)))
+                parts += self._group([words])
                 words, size = [], 0
-        parts.append(self._joined(self._looked_up(words)))
-        return self._joined([p for p in parts if p[1]])
+        parts += self._group([words])
+        ids, n, raw = zip(*[p for p in parts if p[1]])
+        return b",".join(ids), sum(n), b"".join(raw)
+
 
-    @staticmethod
-    def _joined(found: list[tuple[str, int, bytes]]) -> tuple[str, int, bytes]:
-        if not found:
-            return "", 0, b""
-        ids, n, raw = zip(*found)
-        return ",".join(ids), sum(n), b"".join(raw)
+def _in_order(values: list[bytes], which: pa.Array, ends: np.ndarray) -> Iterator[bytes]:
+    """The values that ``which`` names, put together for each text; its words end at ``ends``."""
+    taken = pa.array(values, pa.large_binary()).take(which)
+    _, at, data = taken.buffers()
+    at = np.frombuffer(at, np.int64, len(taken) + 1)[ends].tolist() if len(taken) else [0] * len(ends)
+    for a, z in zip(at, at[1:]):
+        yield data[a:z].to_pybytes() if z > a else b""
 
 
 def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: bool = False) -> DataFrame:
@@ -238,19 +251,22 @@ def encode(df: DataFrame, ranks: str, pattern: str, text: str = "text", ids: boo
         code = coder(ranks, pattern)
         for column in batches:
             n, a, b, tokens, raws = [], [], [], [], []
-            for joined, count, raw in code.texts(column.to_pylist()):
-                n.append(count)
-                a.append(hashlib.sha256(joined.encode()).hexdigest())
-                b.append(hashlib.sha256(raw).hexdigest())
-                if ids:
-                    tokens.append(np.fromstring(joined, np.int32, sep=",") if joined else np.zeros(0, np.int32))
-                    raws.append(raw.decode())
+            _, off = ta.utf8(column)
+            for i, j in ta.blocks(off, GROUP):
+                for joined, count, raw in code.texts(column.slice(i, j - i).to_pylist()):
+                    n.append(count)
+                    a.append(hashlib.sha256(joined).hexdigest())
+                    b.append(hashlib.sha256(raw).hexdigest())
+                    if ids:
+                        tokens.append(np.fromstring(joined.decode(), np.int32, sep=",") if joined else np.zeros(0, np.int32))
+                        raws.append(raw.decode())
             out = [pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             names = ["n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:
                 out += [pa.array(tokens, pa.list_(pa.int32())), pa.array(raws, pa.string())]
                 names += ["ids", "decoded"]
             yield pa.StructArray.from_arrays(out, names)
+        released()
 
     kinds = made.replace(" long", ":bigint").replace(" string", ":string").replace(" array", ":array")
     coded = F.arrow_udf(run, f"struct<{kinds}>", ArrowUDFType.SCALAR_ITER)(F.col(text))

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 
 from faretrail.llm import textarrays as ta
+from faretrail.llm.common import own_state
 
 #: Where a text may be cut: before these, unless white space stands before them.
 BREAK = np.zeros(256, bool)
@@ -39,14 +40,12 @@ KEPT = 400_000
 #: Chunks that go to the library in one text.
 TOGETHER = 128
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def encoder(path: str) -> ChunkEncoder:
     """One encoder a process and file, so that tasks of one worker share the cache."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    held = own_state("chunks")
+    if path not in held:
+        held[path] = ChunkEncoder(path)
+    return held[path]
 
 
 def chunk_starts(raw: np.ndarray, off: np.ndarray) -> np.ndarray:

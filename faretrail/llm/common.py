@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import posixpath
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from faretrail.llm import textarrays as ta
 from faretrail.session import checkpoint_dir, write_stage
 
 
@@ -24,6 +27,26 @@ def on_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
 
 
+_states: dict[str, dict] = {}
+
+
+def own_state(operator: str) -> dict:
+    """What an operator's tasks keep in this worker process for one another; what another operator's tasks have kept goes."""
+    if operator not in _states:
+        _states.clear()
+        released()
+        _states[operator] = {}
+    return _states[operator]
+
+
+def released() -> None:
+    """Give memory that a task needs no more back to the system; called at its end, since a worker outlives it."""
+    ta.forget_powers()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def scratch_path(spark: SparkSession, stem: str) -> str:
     """A path not yet used in the shared folder that ``spark.checkpoint.dir`` names."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex}"

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faretrail.llm import textarrays as ta
-from faretrail.llm.common import fresh_name, on_workers
+from faretrail.llm.common import fresh_name, on_workers, own_state, released
 
 #: Bytes of documents in a shard's index; a longer document is a shard of its own.
 SHARD_BYTES = 4 << 20
@@ -203,6 +203,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, text: s
         blocks.append(spark.sparkContext.broadcast(phrases([r[0] for r in part], [r[1] for r in part], size)))
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_state("decontaminate")
         for batch in batches:
             data, off = ta.utf8(batch.column(position))
             parts = [shard(data[off[i]: off[j]], off[i: j + 1] - off[i]) for i, j in ta.blocks(off, SHARD_BYTES)]
@@ -211,6 +212,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 13, text: s
                 continue
             columns = [batch.column(k) for k in kept] + [found.column(n).combine_chunks() for n in MADE]
             yield pa.RecordBatch.from_arrays(columns, [batch.schema.field(k).name for k in kept] + list(MADE))
+        released()
 
     def shard(raw: np.ndarray, off: np.ndarray) -> dict[str, pa.Array]:
         n = len(off) - 1

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faretrail.llm import textarrays as ta
-from faretrail.llm.common import components, on_workers, staged
+from faretrail.llm.common import components, on_workers, own_state, released, staged
 
 SHINGLE = 5
 #: Texts and bytes of a batch whose sets are packed together.
@@ -74,10 +74,12 @@ def _sets(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """``(doc_id, n, print)`` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_state("jaccard")
         for batch in batches:
             for i, j in _batches(batch.column(1)):
                 _, _, sizes, prints = shingle_sets(batch.column(1).slice(i, j - i))
                 yield pa.record_batch({"doc_id": batch.column(0).slice(i, j - i), "n": pa.array(sizes, pa.int64()), "print": pa.array(prints)})
+        released()
 
     return docs.select(F.col(doc).cast("long"), F.col(text)).mapInArrow(run, "doc_id long, n long, print long")
 
@@ -111,6 +113,7 @@ def _ranges(docs: DataFrame, text: str, bits: int) -> DataFrame:
                                        "tokens": pa.array([prints.astype("<i8").tobytes(), *[token[a:b].tobytes() for a, b in zip(at, ends, strict=True)]], pa.binary()),
                                        "places": pa.array([b"", *[place[a:b].tobytes() for a, b in zip(at, ends, strict=True)]], pa.binary()),
                                        "counts": pa.array([sizes.astype("<i8").tobytes(), *[None] * len(names)], pa.binary())})
+        released()
 
     return docs.select(text).mapInArrow(run, "range int, batch long, tokens binary, places binary, counts binary")
 

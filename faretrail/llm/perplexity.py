@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 
 from faretrail.llm import textarrays as ta
-from faretrail.llm.common import fresh_name, on_workers, staged
+from faretrail.llm.common import fresh_name, on_workers, own_state, released, staged
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ORDER = 4
@@ -83,6 +83,7 @@ def counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """``(lang, gram, n)`` over all documents; each task adds up its own before the shuffle."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_state("perplexity")
         for batch in batches:
             held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
             for langs, texts in _parts(batch, 0, 1):
@@ -93,7 +94,8 @@ def counts(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 key, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
                 n = np.bincount(which, np.concatenate([p[1] for p in parts]), len(key)).astype(np.int64)
                 if len(key):
-                    yield pa.record_batch({"lang": pa.array([name] * len(key)), "gram": pa.array(key), "n": pa.array(n)})
+                    yield pa.record_batch({"lang": pa.repeat(name, len(key)), "gram": pa.array(key), "n": pa.array(n)})
+        released()
 
     rows = docs.select(F.col(lang).cast("string"), F.col(text)).mapInArrow(counted, "lang string, gram long, n long")
     return rows.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -187,12 +189,14 @@ def features(docs: DataFrame, text: str, lang: str, model: DataFrame | None) ->
         return out
 
     def scored(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        own_state("perplexity")
         for names, texts in batches:
             _, off = ta.utf8(texts)
             langs = names.to_pylist()
             parts = [measured(langs[i:j], texts.slice(i, j - i)) for i, j in ta.blocks(off, GROUP)]
             columns = [np.concatenate([np.zeros(0, np.int64), *[p[m] for p in parts]]).astype(np.int64) for m in made]
             yield pa.StructArray.from_arrays([pa.array(c) for c in columns], made)
+        released()
 
     # the text goes to Python once and only numbers come back; the row's other columns stay where they are
     numbers = F.arrow_udf(scored, "struct<" + ",".join(f"{m}:bigint" for m in made) + ">", ArrowUDFType.SCALAR_ITER)

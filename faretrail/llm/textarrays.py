@@ -55,6 +55,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][: n + 1], _powers[1][: n + 1]
 
 
+def forget_powers() -> None:
+    """The tables of powers are as long as the largest block so far; the next block makes its own."""
+    _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string column; null counts as the empty text."""
     if isinstance(column, pa.ChunkedArray):
