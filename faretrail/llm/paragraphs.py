@@ -45,6 +45,10 @@ LEAST_SLOTS, MOST_SLOTS = 1 << 16, 1 << 28
 #: Slots in which shingles are counted to order them, the rare ones first.
 ORDER_SLOTS = 1 << 20
 GROUP = 2 << 20
+#: Lines whose MinHashes are taken together.
+TOGETHER = 2048
+#: Pairs a line, as the lists' sizes bound them, up to which all pairs left are verified; more are joined centre first once more.
+PAIRS_A_LINE = 2
 SEEDS = ta.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * ta.BASE) | np.uint64(1)
 
 
@@ -54,13 +58,38 @@ def _lines(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cuts, np.searchsorted(off, cuts[:-1], "right") - 1
 
 
+def _by_line(h: np.ndarray, line: np.ndarray, n: int) -> np.ndarray:
+    """The order by line and hash; one key of 64 bits tells it, unless two hashes of a line differ in their last bits alone."""
+    bits = n.bit_length()
+    key = line.astype(np.uint64) << np.uint64(64 - bits) | h >> np.uint64(bits)
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    if (h[order[1:]][same] != h[order[:-1]][same]).any():
+        return np.lexsort((h, line))
+    return order
+
+
+def _anchors(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The first least of every ``REACH`` hashes in a row of one text, each place once."""
+    low, size = h, 1
+    while size < REACH:  # least of runs twice as long, the last two overlapping
+        step = min(size, REACH - size)
+        low, size = np.minimum(low[:-step], low[step:]), size + step
+    # the place stays until it is left behind or a smaller hash comes
+    inside = doc[: len(low)] == doc[REACH - 1:]
+    new = inside.copy()
+    new[1:] &= ~inside[:-1] | (low[1:] != low[:-1]) | (h[: len(low) - 1] == low[:-1])
+    at = np.flatnonzero(new)
+    return np.unique(np.lib.stride_tricks.sliding_window_view(h, REACH)[at].argmin(axis=1) + at)
+
+
 def _line_sets(raw: np.ndarray, off: np.ndarray):
     """Words, lines with words, and their distinct shingles: hash and line, sizes and fingerprints by line."""
     cuts, of = _lines(raw, off)
     n = len(cuts) - 1
     w = ta.words(ta.LOWER[raw], cuts, ta.SPACED)
     h, line, _ = ta.windows(w, max(n, 1), jaccard.SHINGLE)
-    order = np.lexsort((h, line))
+    order = _by_line(h, line, max(n, 1))
     h, line = h[order], line[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -79,10 +108,7 @@ def _pieces(raw: np.ndarray, off: np.ndarray):
     if len(h) < REACH:
         z = np.zeros(0, np.int64)
         return w, z, z, z, z
-    view = np.lib.stride_tricks.sliding_window_view(h, REACH)
-    least = view.argmin(axis=1) + np.arange(len(view))
-    least = np.unique(least[doc[: len(view)] == doc[REACH - 1:]])
-    first = at[least]
+    first = at[_anchors(h, doc)]
     last = first + PIECE - 1
     ok = last < len(w.doc)
     ok[ok] = w.doc[last[ok]] == w.doc[first[ok]]
@@ -139,12 +165,18 @@ def _bands(docs: DataFrame, text: str, bits: int) -> DataFrame:
                 ends = np.cumsum(sizes)
                 h = h[np.repeat(at - ends + sizes, sizes) + np.arange(ends[-1])]
                 at = ends - sizes
-                for b in range(BANDS):
-                    key = np.full(len(one), np.uint64(b + 1))
-                    for k in range(ROWS):
-                        x = h * SEEDS[b * ROWS + k]
-                        key = ta.mix(key * ta.BASE + np.minimum.reduceat(x ^ (x >> np.uint64(29)), at))
-                    seen.setdefault(b, []).append(np.stack([key, prints.view(np.uint64)]))
+                for i in range(0, len(one), TOGETHER):  # few enough lines for the processor's cache
+                    own = at[i: i + TOGETHER] - at[i]
+                    part = h[at[i]: at[i] + own[-1] + sizes[min(i + TOGETHER, len(one)) - 1]]
+                    x, y = np.empty_like(part), np.empty_like(part)
+                    for b in range(BANDS):
+                        key = np.full(len(own), np.uint64(b + 1))
+                        for k in range(ROWS):
+                            np.multiply(part, SEEDS[b * ROWS + k], out=x)
+                            np.right_shift(x, np.uint64(29), out=y)
+                            np.bitwise_xor(x, y, out=x)
+                            key = ta.mix(key * ta.BASE + np.minimum.reduceat(x, own))
+                        seen.setdefault(b, []).append(np.stack([key, prints[i: i + TOGETHER].view(np.uint64)]))
             if not seen:
                 continue
             key, prints = np.unique(np.concatenate([x for v in seen.values() for x in v], axis=1), axis=1)
@@ -253,6 +285,13 @@ def _rarest(index: DataFrame, sets: DataFrame) -> DataFrame:
     return made
 
 
+def _pairs_left(index: DataFrame) -> int:
+    """How many pairs of different components meet in the lists, at most, from the lists' sizes."""
+    sizes = index.groupBy("token", "component").agg(F.count("*").cast("double").alias("n"))
+    lists = sizes.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    return int(lists.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.lit(0.0))).first()[0])
+
+
 def line_clusters(docs: DataFrame, text: str = "text") -> DataFrame:
     """``(print, cluster)`` of the line sets that have a similar one."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
@@ -266,12 +305,18 @@ def line_clusters(docs: DataFrame, text: str = "text") -> DataFrame:
         "token", "print", "n", F.lit(0).cast("long").alias("at"), "central", F.col("print").alias("component")))
     unstaged(met), unstaged(asked)
     edges = staged(jaccard._linked(jaccard._star(index), sets))
-    for k, step in enumerate((jaccard._star, jaccard._star, jaccard._across)):
+    lines, left, k, step = sets.count(), None, 0, jaccard._star
+    while step is jaccard._star:
         before, (index, stars) = index, jaccard._labelled(index.drop("component"), edges)
         unstaged(before)
         if k == 1:  # what the buckets' centres leave goes on by rare shingles
             before, index = index, _rarest(index, sets)
             unstaged(before)
+        if k > 1:  # centres go on as long as they halve what is left
+            last, left = left, _pairs_left(index)
+            if left <= PAIRS_A_LINE * lines or last is not None and 2 * left > last:
+                step = jaccard._across
+        k += 1
         edges = staged(stars.union(jaccard._linked(step(index), sets)))
     unstaged(index), unstaged(sets)
     return components(edges).select(F.col("node").alias("print"), F.col("component").alias("cluster"))
